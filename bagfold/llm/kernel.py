@@ -123,21 +123,42 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, family: int
     return out
 
 
-def windows(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the windows of ``n`` words that lie within one document, and their first words' places."""
-    m = len(h) - n + 1
-    if m <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+def raw_windows(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words, also those that cross documents."""
+    m = max(0, len(h) - n + 1)
     acc = np.full(m, np.uint64(n), np.uint64)
     for k in range(n):
-        acc = acc * _STEP + h[k : m + k]
+        acc *= _STEP
+        acc += h[k : m + k]
+    return mix(acc)
+
+
+def places(bounds: np.ndarray, n: int) -> np.ndarray:
+    """First words of the runs of ``n`` words that lie within one document."""
     count = np.diff(bounds)
     keep = np.repeat(count >= n, count)
     late = bounds[1:][count >= n]
     for k in range(1, n):
         keep[late - k] = False
-    at = np.flatnonzero(keep[:m])
-    return mix(acc[at]), at
+    return np.flatnonzero(keep)
+
+
+def slide_min(x: np.ndarray, n: int) -> np.ndarray:
+    """Minimum of each ``n`` neighbours, by doubling."""
+    have = 1
+    while have < n:
+        step = min(have, n - have)
+        if len(x) <= step:
+            return x[:0]
+        x = np.minimum(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def windows(h: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of ``n`` words that lie within one document, and their first words' places."""
+    at = places(bounds, n)
+    return raw_windows(h, n)[at], at
 
 
 def per_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -153,3 +174,38 @@ def signed(h: np.ndarray) -> np.ndarray:
 
 def binary_array(buf: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))])
+
+
+def complete_runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
+    """Tables from sorted batches that end where the first ``keys`` columns change."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy() for i in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        if held:
+            change[0] = any(held[-1].column(i)[-1].as_py() != c[0] for i, c in enumerate(cols))
+        cut = np.flatnonzero(change)
+        if len(cut):
+            at = int(cut[-1])
+            ready = [*held, batch.slice(0, at)]
+            if any(b.num_rows for b in ready):
+                yield pa.Table.from_batches(ready).combine_chunks()
+            held = [batch.slice(at)]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def run_starts(*keys: np.ndarray) -> np.ndarray:
+    """True where a sorted row differs from the one before it."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = False
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+    return new

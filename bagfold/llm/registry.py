@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import lines, rules_index, warc
+from . import lines, rules_index, substring, warc
 
 QUERIES = {
     "op3_url_rules": rules_index.op3_url_rules,
     "op7_warc": warc.op7_warc,
+    "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
 }
 ORACLES = {
     "op3_url_rules": rules_index.op3_sql(),
+    "op8_substring_dedup": substring.op8_sql(),
     "op9_line_dedup": lines.op9_sql(),
 }
