@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, ngram_join, rules_index, substring, warc
+from . import bpe, lines, ngram_join, rules_index, substring, warc
 
 QUERIES = {
     "op3_url_rules": rules_index.op3_url_rules,
     "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_warc": warc.op7_warc,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
