@@ -82,6 +82,20 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             at = to
 
 
+def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int = 2 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of about ``size`` bytes in column ``text``, so that Python objects made from them stay few."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(text)
+        off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(off, int(off[at]) + size, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 class Words:
     """Words of a block: ``start``, ``end`` (bytes), ``doc`` (index in block), ``count`` per document."""
 

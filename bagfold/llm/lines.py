@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, shuffle_width, ship
-from .kernel import as_text
+from .kernel import as_text, pieces
 
 BLANK = b" \t\n\v\f\r"
 NULL_ID = -(1 << 63)
@@ -47,7 +47,7 @@ def _hashes(least: int):
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
+        for batch in pieces(batches, 2):
             texts = as_text(batch.column(2)).cast(pa.binary())
             digests, pos, owner, size = [], [], [], []
             for i, text in enumerate(texts):
@@ -152,7 +152,7 @@ def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", te
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches, 1):
         out = [kept_text(t or "", k) for t, k in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in out], pa.string())],
@@ -171,7 +171,7 @@ def line_dedup(docs: DataFrame, least: int = 10, doc_id: str = "doc_id", text: s
     schema, at = docs.schema, docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = [t if k is None else kept_text(t or "", k)[2] for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, shuffle_width, ship
 from .components import components
-from .kernel import LOWER, Words, blocks, complete_runs, mix, places, raw_windows, run_starts, signed
+from .kernel import LOWER, Words, blocks, complete_runs, mix, pieces, places, raw_windows, run_starts, signed
 from .lines import doc_key
 from .substring import squeezed, unsqueeze
 
@@ -217,7 +217,7 @@ def sketch(x: np.ndarray) -> bytes:
 
 def _fetch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:  # sid, blob
+        for batch in pieces(batches, 1):  # sid, blob
             whole = []
             for blob in batch.column(1):
                 buf = np.frombuffer(unsqueeze(blob), np.uint8)

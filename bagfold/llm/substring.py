@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, shuffle_width, ship
-from .kernel import Words, binary_array, blocks, complete_runs, places, raw_windows, run_starts, signed, slide_min
+from .kernel import Words, binary_array, blocks, complete_runs, pieces, places, raw_windows, run_starts, signed, slide_min
 from .lines import doc_key
 
 WINDOW = 20
@@ -48,13 +48,9 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:  # several rows at a time, so that few texts are held twice
-            part = batch.slice(at, 500)
-            blob = [packer.compress(t.as_buffer()) for t in part.column(3)]
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blob, pa.binary())], names=["did", "th", "th2", "blob"])
-            at += 500
+    for part in pieces(batches, 3):
+        blob = [packer.compress(t.as_buffer()) for t in part.column(3)]
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(blob, pa.binary())], names=["did", "th", "th2", "blob"])
 
 
 def squeezed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -271,7 +267,7 @@ def kept_mask(n_words: int, copy: bool, runs: list[bytes] | None, n: int = WINDO
 
 
 def _result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:  # did, blob, copy, runs
+    for batch in pieces(batches, 1):  # did, blob, copy, runs
         n_words, n_removed, sha = [], [], []
         for blob, copy, runs in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             words = unsqueeze(blob).split()
