@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, lines, ngram_join, rules_index, substring, warc
+from . import bpe, fertility, lines, ngram_join, packing, rules_index, substring, warc
 
 QUERIES = {
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op2_tokeniser_fertility": fertility.op2_tokeniser_fertility,
     "op3_url_rules": rules_index.op3_url_rules,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_byte_bpe": bpe.op5_byte_bpe,
