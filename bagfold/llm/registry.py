@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, fertility, lines, ngram_join, packing, rules_index, substring, warc
+from . import bpe, disclosure, fertility, lines, ngram_join, packing, rules_index, substring, warc
 
 QUERIES = {
+    "op1_disclosure_sanitiser": disclosure.op1_disclosure_sanitiser,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op2_tokeniser_fertility": fertility.op2_tokeniser_fertility,
     "op3_url_rules": rules_index.op3_url_rules,
