@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, disclosure, fertility, lines, ngram_join, packing, rules_index, substring, warc
+from . import bpe, disclosure, fertility, fingerprint, lines, ngram_join, packing, rules_index, substring, warc
 
 QUERIES = {
     "op1_disclosure_sanitiser": disclosure.op1_disclosure_sanitiser,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_url_rules": rules_index.op3_url_rules,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_improbable_features": fingerprint.op6_improbable_features,
     "op7_warc": warc.op7_warc,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op9_line_dedup": lines.op9_line_dedup,
