@@ -17,8 +17,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import materialize, ship
 from .kernel import SPACE, Words, as_text, blocks, mix, per_doc, run_starts, windows
@@ -27,6 +28,8 @@ SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, RUN, MOST_REPEATED_PERCENT = 20, 8, 30
 #: Documents that a band needs; interquartile ranges (and absolute margins) that a text may lie beyond the quartiles.
 LEAST_DOCS, RANGES = 30, 6.0
+#: Limits are broadcast up to so many rows (a few hundred bytes each); beyond, the join shuffles.
+BROADCAST_BANDS = 10_000
 MARGIN = {"chars_per_token": 0.15, "byte_share": 0.03, "entropy_ratio": 0.08}
 
 # First bytes of UTF-8 sequences by script.
@@ -40,7 +43,7 @@ SCRIPTS = {
 }
 
 MEASURES = (
-    "doc_id long, band_key string, n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "band_key string, n_chars long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_tokens long, chars_per_token double, byte_share double, token_entropy double, entropy_ratio double"
 )
 
@@ -99,63 +102,74 @@ def _script(buf: np.ndarray, off: np.ndarray) -> list[str]:
     return [f"script:{names[i]}" if m else "script:other" for i, m in zip(share.argmax(0).tolist(), share.max(0).tolist(), strict=True)]
 
 
-def _measure(path: str):
+def _measure(path: str, carry: list[str], lang: str, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, is_byte = _model(path)
-        for batch, buf, off in blocks(batches):  # doc_id, lang, text
+        names = [x.split()[0] for x in MEASURES.split(", ")]
+        for batch, buf, off in blocks(batches, text):
             words = Words(buf, off)
             lead = (buf & 0xC0) != 0x80
             chars = per_doc(lead, off)
-            texts = as_text(batch.column(2))
-            tokens, fallback, entropy = token_measures(model.encode(texts.to_pylist(), num_threads=1), is_byte)
-            lang = batch.column(1).to_pylist()
-            if None in lang:
-                lang = [f"lang:{x}" if x is not None else s for x, s in zip(lang, _script(buf, off), strict=True)]
-            else:
-                lang = [f"lang:{x}" for x in lang]
+            tokens, fallback, entropy = token_measures(model.encode(as_text(batch.column(text)).to_pylist(), num_threads=1), is_byte)
+            key = batch.column(lang).to_pylist()
+            script = _script(buf, off) if None in key else key
+            key = [f"lang:{x}" if x is not None else s for x, s in zip(key, script, strict=True)]
             some = np.maximum(tokens, 1)
             raw = buf.tobytes()
             lines = [dup_lines(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             columns = [chars, words.count, per_doc(lead & ~SPACE[buf], off), per_doc(_SYMBOL[buf], off), np.array(lines, np.int64), repeated_run_words(words), tokens]
             ratios = [chars / some, fallback / some, entropy, entropy / np.maximum(np.log2(some), 1.0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), *(pa.array(c.astype(np.int64)) for c in columns), *(pa.array(c) for c in ratios)], names=[x.split()[0] for x in MEASURES.split(", ")])
+            m = pa.StructArray.from_arrays([pa.array(key, pa.string()), *(pa.array(c.astype(np.int64)) for c in columns), *(pa.array(c) for c in ratios)], names)
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([batch.column(c) for c in carry], carry), m], names=["doc", "m"])
 
     return run
 
 
-def measures(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Base counts and fertility of every text, with ``band_key`` and the base verdict."""
+def measures(docs: DataFrame, path: str, carry: list[str], text: str = "text", lang: str = "lang") -> DataFrame:
+    """``doc`` (the columns ``carry``) and ``m`` (base counts, fertility, base verdict, size class) of every row."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    found = rows.mapInArrow(_measure(path), MEASURES)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
-    return found.withColumn("base_failed", failed).withColumn("size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    own = T.StructType([docs.schema[c] for c in carry])
+    schema = T.StructType([T.StructField("doc", own), T.StructField("m", T._parse_datatype_string(MEASURES))])
+    rows = docs.select(*[f"`{c}`" for c in dict.fromkeys([*carry, lang, text])])
+    found = rows.mapInArrow(_measure(path, carry, lang, text), schema)
+    failed = (F.col("m.n_words") < LEAST_WORDS) | (100 * F.col("m.n_repeat_words") > MOST_REPEATED_PERCENT * F.col("m.n_words"))
+    size = F.floor(F.log2(F.greatest("m.n_tokens", F.lit(1)))).cast("int")
+    return found.withColumn("m", F.col("m").withField("base_failed", failed).withField("size_class", size))
 
 
 def bands(found: DataFrame) -> DataFrame:
     """Limits for each band key and size class, from all documents that pass the base rules."""
-    sums = found.filter("not base_failed").groupBy("band_key", "size_class").agg(F.count("*").alias("docs"), *[F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MARGIN])
+    sums = found.select("m.*").filter("not base_failed").groupBy("band_key", "size_class").agg(F.count("*").alias("docs"), *[F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MARGIN])
     out = sums.filter(F.col("docs") >= LEAST_DOCS)
     for m, margin in MARGIN.items():
         reach = F.greatest(RANGES * (F.col(m)[1] - F.col(m)[0]), F.lit(margin))
         out = out.withColumn(f"{m}_low", F.col(m)[0] - reach).withColumn(f"{m}_high", F.col(m)[1] + reach)
-    return out.select("band_key", "size_class", *[f"{m}_{s}" for m in MARGIN for s in ("low", "high")])
-
-
-def _inside(measure: str) -> Column:
-    return F.coalesce(F.col(measure).between(F.col(f"{measure}_low"), F.col(f"{measure}_high")), F.lit(True))
+    return out.select("band_key", "size_class", F.struct(*[f"{m}_{s}" for m in MARGIN for s in ("low", "high")]).alias("band"))
 
 
 def verdicts(found: DataFrame) -> DataFrame:
-    """``found`` with ``kept``; it is read twice, so it should be a written table."""
-    judged = found.join(bands(found), ["band_key", "size_class"], "left")
-    good = _inside("chars_per_token") & _inside("entropy_ratio") & (F.col("byte_share") <= F.coalesce("byte_share_high", F.lit(1.0)))
-    return judged.withColumn("kept", ~F.col("base_failed") & good)
+    """doc, m and ``kept``. ``found`` is read twice, so it should be a written table."""
+    limits = materialize(bands(found), "bands")
+    if limits.count() <= BROADCAST_BANDS:
+        limits = F.broadcast(limits)
+    inside = {m: (F.col(f"m.{m}") >= F.col(f"band.{m}_low"), F.col(f"m.{m}") <= F.col(f"band.{m}_high")) for m in MARGIN}
+    # few fallback bytes are never a fault
+    good = inside["chars_per_token"][0] & inside["chars_per_token"][1] & inside["entropy_ratio"][0] & inside["entropy_ratio"][1] & inside["byte_share"][1]
+    judged = found.withColumns({"band_key": F.col("m.band_key"), "size_class": F.col("m.size_class")}).join(limits, ["band_key", "size_class"], "left")
+    return judged.select("doc", "m", (~F.col("m.base_failed") & F.coalesce(good, F.lit(True))).alias("kept"))
 
 
 def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
-    found = materialize(measures(docs, public_tokenizers.path("piece_bpe_32k.model")), "fertility")
-    return verdicts(found).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_tokens", "chars_per_token", "byte_share", "token_entropy", "entropy_ratio", "band_key")
+    found = materialize(measures(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"]), "fertility")
+    return verdicts(found).select(
+        "doc.doc_id", *[f"m.{c}" for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], "kept", *[f"m.{c}" for c in ("n_tokens", "chars_per_token", "byte_share", "token_entropy", "entropy_ratio", "band_key")]
+    )
+
+
+def keep_fit(docs: DataFrame, path: str, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, all columns unchanged."""
+    found = materialize(measures(docs, path, docs.columns, text, lang), "fertility")
+    return verdicts(found).filter("kept").select("doc.*")
