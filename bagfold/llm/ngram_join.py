@@ -107,7 +107,7 @@ def frequent_shingles(rows: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _profile(k: int, percent: int, frequent):
-    """(did, th, doc_id, n, sid, gid, prefix) of each document."""
+    """(did, th, doc_id, n, sid, gid, prefix, sketch) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -121,8 +121,9 @@ def _profile(k: int, percent: int, frequent):
                 late = np.where(common[i] == flat, rank[i], 0)
             else:
                 late = np.zeros(len(flat), np.int64)
-            at, n, sid, gid, prefix = 0, [], [], [], []
+            at, n, sid, gid, prefix, marks = 0, [], [], [], [], []
             for x in whole:
+                marks.append(sketch(x))
                 r = late[at : at + len(x)]
                 at += len(x)
                 n.append(len(x))
@@ -139,8 +140,8 @@ def _profile(k: int, percent: int, frequent):
                 prefix.append(early[:p].tobytes())
                 gid.append(xxhash.xxh3_64_intdigest(prefix[-1], len(x)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(np.array(gid, np.uint64).view(np.int64)), pa.array(prefix, pa.binary())],
-                names=["did", "th", "doc_id", "n", "sid", "gid", "prefix"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(n, pa.int64()), pa.array(np.array(sid, np.uint64).view(np.int64)), pa.array(np.array(gid, np.uint64).view(np.int64)), pa.array(prefix, pa.binary()), pa.array(marks, pa.binary())],
+                names=["did", "th", "doc_id", "n", "sid", "gid", "prefix", "sketch"],
             )
 
     return run
@@ -195,7 +196,7 @@ def _neighbours(percent: int):
             i = i[100 * n[i] >= percent * n[i + 1]]
             if len(i):
                 pairs = np.unique(np.stack([np.minimum(gid[i], gid[i + 1]), np.maximum(gid[i], gid[i + 1])], 1), axis=0)
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     fresh = [p for p in map(tuple, pairs.tolist()) if p not in seen]
                     seen.update(fresh)
                     pairs = np.array(fresh, np.int64).reshape(-1, 2)
@@ -222,7 +223,7 @@ def _fetch(k: int):
             for blob in batch.column(1):
                 buf = np.frombuffer(unsqueeze(blob), np.uint8)
                 whole.append(next(sets(buf, np.array([0, len(buf)], np.int64), k)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in whole], pa.int64()), pa.array([x.tobytes() for x in whole], pa.binary()), pa.array([sketch(x) for x in whole], pa.binary())], names=["sid", "n", "items", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in whole], pa.binary())], names=["sid", "items"])
 
     return run
 
@@ -242,10 +243,33 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """The candidate pairs of sets (a, b) that reach the threshold."""
+def _links(pairs: DataFrame, docs: DataFrame, marks: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of sets (a, b) that reach the threshold; ``docs`` are squeezed, ``marks`` has sid, did and th.
+
+    Whole sets are made only for the documents in ``pairs``.
+    """
+    wanted = marks.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", "did", "th")
+    items = docs.join(wanted, ["did", "th"]).dropDuplicates(["sid"]).select("sid", "blob").mapInArrow(_fetch(k), "sid long, items binary")
+    items = materialize(items, "sets")
     left, right = items.select(F.col("sid").alias("a"), F.col("items").alias("x")), items.select(F.col("sid").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
+
+
+def _may_link(percent: int):
+    """Pairs (a, b, n and sketch of both) whose sketches allow a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(4).to_numpy()
+            ok = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(3), batch.column(5), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8)[None], np.frombuffer(y.as_buffer(), np.uint8)[None]
+                size = min(x.shape[1], y.shape[1])
+                ok[i] = int(np.bitwise_count(_fold(x, size) ^ _fold(y, size)).sum()) * (100 + percent) <= (100 - percent) * int(na[i] + nb[i])
+            ok &= 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
+
+    return run
 
 
 def _fold(x: np.ndarray, size: int) -> np.ndarray:
@@ -314,7 +338,7 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     width = shuffle_width(spark)
     rows = docs.select(*doc_key(doc_id, text), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     frequent = spark.sparkContext.broadcast(frequent_shingles(rows, k))
-    profile = materialize(rows.mapInArrow(_profile(k, percent, frequent), "did long, th long, doc_id long, n long, sid long, gid long, prefix binary"), "profiles")
+    profile = materialize(rows.mapInArrow(_profile(k, percent, frequent), "did long, th long, doc_id long, n long, sid long, gid long, prefix binary, sketch binary"), "profiles")
     full = profile.filter("n > 0")
     # candidates among neighbours
     order = ["token", "n", "gid"]
@@ -332,13 +356,14 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     tails = first.select(F.col("gid").alias("b"), F.col("head").alias("y"))
     chain = pairs.join(heads, "a").join(tails, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     within = member.join(first.filter("size > 1"), "gid").filter("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
-    candidates = materialize(chain.unionByName(within).filter("a <> b").distinct(), "candidates")
-    # sets of all members of groups that share a token or have several members
-    met = found.filter(F.col("kind") == SHARED).select(F.col("a").alias("gid")).distinct().unionByName(first.filter("size > 1").select("gid"))
-    one = full.groupBy("sid").agg(F.min_by(F.struct("did", "th", "gid"), F.struct("did", "th")).alias("d")).select("sid", "d.did", "d.th", "d.gid")
-    wanted = one.join(met.distinct(), "gid", "left_semi").select("sid", "did", "th")
-    items = materialize(squeezed(docs, doc_id, text).join(wanted, ["did", "th"]).dropDuplicates(["sid"]).select("sid", "blob").mapInArrow(_fetch(k), "sid long, n long, items binary, sketch binary"), "sets")
-    links = materialize(_links(candidates, items, percent), "links")
+    marks = full.groupBy("sid").agg(F.min_by(F.struct("did", "th", "n", "sketch"), F.struct("did", "th")).alias("d")).select("sid", "d.*")
+    marks = materialize(marks, "sketches")
+    candidates = chain.unionByName(within).filter("a <> b").distinct()
+    of = lambda side: marks.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    candidates = candidates.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    candidates = materialize(candidates.mapInArrow(_may_link(percent), "a long, b long"), "candidates")
+    texts = squeezed(docs, doc_id, text)
+    links = _links(candidates, texts, marks, k, percent)
     roots = materialize(components(links), "roots")
     # pairs across components
     named = member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("root", "sid").alias("root"))
@@ -351,11 +376,11 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     count = left.groupBy("token").agg(F.count("*").alias("size"))
     left = left.join(count, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("long"))
     left = left.withColumn("own", F.pmod(F.xxhash64("sid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(items.select("sid", "n", "sketch"), "sid")
+    left = left.join(marks.select("sid", "n", "sketch"), "sid")
     cells = left.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "n", "sid", "root", "sketch")
     cells = cells.repartition(width, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
     rest = materialize(cells.mapInArrow(_across(percent), "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
-    more = _links(rest, items, percent)
+    more = _links(rest, texts, marks, k, percent)
     both = links.unionByName(more)
     final = components(both)
     return profile.join(final.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "did", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
