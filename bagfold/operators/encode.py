@@ -78,6 +78,29 @@ class Encoder:
                 nearest = np.bitwise_count(bits[lo:hi, None] ^ aim[None, empty]).argmin(0)
                 out[i, empty] = projected[lo + nearest]
 
+    def encode_counted(self, look: tuple[np.ndarray, list[np.ndarray]], which: np.ndarray, times: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bags of dictionary vectors with multiplicities -> dense (bags, reps, buckets, width); ``look`` is ``looked_up``."""
+        c, n = self.config, len(offsets) - 1
+        parts, projected = look
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        out = np.zeros((n, len(self.reps), c.buckets, c.width))
+        for j in range(len(self.reps)):
+            slot = owner * c.buckets + parts[which, j]
+            order = np.argsort(slot, kind="stable")
+            first = np.flatnonzero(np.diff(slot[order], prepend=-1))
+            if len(first):
+                flat = np.zeros((n * c.buckets, c.width))
+                flat[slot[order][first]] = np.add.reduceat(projected[j][which[order]] * times[order, None], first, axis=0)
+                if c.encoding is Encoding.AVERAGE:
+                    flat /= np.maximum(np.bincount(slot, times, n * c.buckets), 1)[:, None]
+                out[:, j] = flat.reshape(n, c.buckets, c.width)
+        return out
+
+    def looked_up(self, vectors: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Buckets and projections of dictionary vectors, worked out once for all bags."""
+        wide = vectors.astype(float)
+        return self.parts(self.bits(vectors)), [wide @ p for p in self.projections]
+
     def final(self, dense: np.ndarray) -> np.ndarray:
         """The flat vectors, after the final count sketch if there is one."""
         flat = dense.reshape(len(dense), -1)

@@ -167,6 +167,82 @@ def text_bags(texts: DataFrame, embeddings: DataFrame, id: str, text: str = "tex
     return texts.select(F.col(id).alias("id")).join(lists, "id", "left").withColumn("vecs", F.coalesce("vecs", F.expr("cast(array() as array<array<float>>)")))
 
 
+#: Largest dictionary of vectors (with buckets and projections) that is broadcast.
+DICTIONARY_BYTES = 128 << 20
+
+
+def dictionary(embeddings: DataFrame, config: EncoderConfig, reps: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted ids and vectors, or None if they are too many to broadcast."""
+    if embeddings.count() * 8 * (config.dimension + reps * (config.width + 1)) > DICTIONARY_BYTES:
+        return None
+    table = embeddings.select("vec_id", "embedding").orderBy("vec_id").toArrow()
+    return table.column(0).to_numpy(), pca.vectors_of(table.column(1).combine_chunks())
+
+
+def counted_texts(texts: DataFrame, vectors: int, id: str, text: str = "text") -> DataFrame:
+    """(id, vec_ids, times): which vectors a text has, and how often."""
+    counted = tk.text_tokens(texts, vectors, id, text).groupBy("id", "vec_id").agg(F.count("*").alias("n"))
+    return counted.groupBy("id").agg(F.collect_list("vec_id").alias("vec_ids"), F.collect_list("n").alias("times"))
+
+
+def _counted_encoder(config: EncoderConfig, reps: list[int], ids: np.ndarray, vectors: np.ndarray):
+    encoder = enc.Encoder(config, reps)
+    look = encoder.looked_up(vectors)
+
+    def run(batch: pa.RecordBatch) -> np.ndarray:
+        off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(batch.column(1).offsets)))])
+        which = np.searchsorted(ids, batch.column(1).flatten().to_numpy())
+        return encoder.encode_counted(look, which, batch.column(2).flatten().to_numpy(), off).reshape(batch.num_rows, -1)
+
+    return run
+
+
+def encoded_search(documents: DataFrame, queries: DataFrame, words: tuple[np.ndarray, np.ndarray], config: EncoderConfig, k: int, reps: list[int] | None = None) -> DataFrame:
+    """The best k documents for each query, both as counted texts over one dictionary.
+
+    A document is encoded and scored in the same task and leaves nothing but hits; queries are few and are broadcast in blocks of checked size.
+    """
+    spark = documents.sparkSession
+    ship(spark)
+    reps = config.chosen(reps)
+    shared = spark.sparkContext.broadcast(words)
+    q_config, d_config = config.for_queries(), config.for_documents(fill=False)
+    step = enc.rows_at_once(config, len(reps))
+
+    def encode_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = _counted_encoder(q_config, reps, *shared.value)
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), enc.float_lists(encode(batch))], names=["qid", "vec"])
+
+    q_type, d_type = dict(queries.dtypes)["id"], dict(documents.dtypes)["id"]
+    encoded = queries.mapInArrow(encode_queries, f"qid {q_type}, vec array<double>")
+    out = None
+    for ids, block in search._query_blocks(encoded):
+        asked = spark.sparkContext.broadcast((ids, block))
+
+        def score(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            encode = _counted_encoder(d_config, reps, *shared.value)
+            qids, matrix = asked.value
+            best, kind = search.Best(len(qids), k), None
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    part = batch.slice(at, step)
+                    kind = part.column(0).type
+                    # rounded, so that copies of a document tie and rank by id
+                    scores, own = np.round(matrix @ encode(part).T, 9), np.array(part.column(0).to_pylist(), object)
+                    for i in range(len(qids)):
+                        best.add(i, scores[i], own)
+            if kind is not None:
+                yield from best.batches(qids, kind, pa.int64() if q_type == "bigint" else pa.string())
+
+        hits = documents.select("id", "vec_ids", "times").mapInArrow(score, f"qid {q_type}, did {d_type}, score double")
+        out = hits if out is None else out.unionByName(hits)
+    if out is None:
+        return spark.createDataFrame([], f"qid {q_type}, did {d_type}, rank int, score double")
+    return search.ranked(out, k)
+
+
 def single_vectors(texts: DataFrame, embeddings: DataFrame, id: str, text: str = "text") -> DataFrame:
     """(id, sv): the mean of a text's vectors; texts without tokens have the zero vector."""
     bags = text_bags(texts, embeddings, id, text)
