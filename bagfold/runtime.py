@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import urllib.parse
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,12 +52,41 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``materialize`` writes within the block."""
+    made: list[str] = []
+    _RECORDS.append(made)
+    try:
+        yield made
+    finally:
+        _RECORDS.remove(made)
+
+
+def drop_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> list[str]:
+    """Delete those of ``paths`` that ``docs`` does not read from; returns the others."""
+    read = {urllib.parse.urlparse(f).path for f in docs.inputFiles()}
+    kept = []
+    for path in paths:
+        if any(f.startswith(urllib.parse.urlparse(path).path + "/") for f in read):
+            kept.append(path)
+        else:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return kept
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage is cut there, and
     a lost executor costs a file read instead of everything before it."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    for made in _RECORDS:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
