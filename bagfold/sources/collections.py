@@ -7,6 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens
+
 
 def default_split(dataset: str) -> str:
     """Collections named msmarco... are evaluated on dev, others on test."""
@@ -47,3 +49,14 @@ def load_single_vectors(spark: SparkSession, path: str, keys: DataFrame | None =
         if lone:
             raise ValueError(f"{lone} ids have a vector or a key, not both")
     return rows
+
+
+def load_embeddings(spark: SparkSession, root: str, dataset: str, mv_encoder: str, sv_encoder: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Corpus bags and single vectors, then those of the split's queries.
+
+    They lie at ``root/dataset/<encoder>/{corpus,query}{suffix}_{mv,sv}``, as parquet with columns (id, vecs) or (id, sv).
+    """
+    suffix = tokens.split_suffix(split)
+    bags = lambda side: tokens.load_bags(spark, f"{root}/{dataset}/{mv_encoder}/{side}_mv")
+    single = lambda side: load_single_vectors(spark, f"{root}/{dataset}/{sv_encoder}/{side}_sv")
+    return bags("corpus"), single("corpus"), bags(f"query{suffix}"), single(f"query{suffix}")

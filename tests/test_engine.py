@@ -462,3 +462,21 @@ def test_streamed_documents_equal_the_index(spark, collection, tmp_path):
     query.stop()
     got = {r.id: r.vec for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert len(got) == 60 and all(np.allclose(got[r.did], r.vec) for r in built.documents.collect())
+
+
+def test_command_line(spark, collection, tmp_path):
+    from bagfold import cli
+
+    corpus, queries, d_sv, q_sv, qrels = collection
+    base = tmp_path / "c" / "toy"
+    (base / "qrels").mkdir(parents=True)
+    for split in ("test", "train"):
+        (base / "qrels" / f"{split}.tsv").write_text("query-id\tcorpus-id\tscore\n" + "".join(f"{r.qid}\t{r.did}\t{r.rel}\n" for r in qrels.collect()))
+    for name, frame in (("corpus_mv", corpus), ("query_mv", queries), ("query_train_mv", queries)):
+        frame.write.parquet(f"{tmp_path}/v/toy/mv/{name}")
+    for name, frame in (("corpus_sv", d_sv), ("query_sv", q_sv), ("query_train_sv", q_sv)):
+        frame.write.parquet(f"{tmp_path}/v/toy/sv/{name}")
+    given = ["--dataset", "toy", "--collections", f"{tmp_path}/c", "--vectors", f"{tmp_path}/v", "--choose-rate", "0.5", "--repetitions", "6", "--bits", "2", "--projection-dimension", "4", "--keep-dimensions", "20", "--sampling-rate", "0.8"]
+    out = cli.main([*given, "--train-fusion", "--fusion-epochs", "2", "--fusion-negatives", "4"], spark)
+    assert out["metrics"]["recall@10"] > 0.8 and set(out["seconds"]) == {"offline", "fusion", "online"}
+    assert cli.main([*given, "--no-hybrid", "--cells", "5"], spark)["metrics"]["recall@10"] > 0.5
