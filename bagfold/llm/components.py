@@ -1,7 +1,8 @@
 """Connected components of an edge table, without gathering it anywhere.
 
-Edges are first contracted to spanning stars within each partition (union-find in memory bounded by the partition),
+Edges are first contracted to spanning stars within each partition (union-find over at most ``PART_EDGES`` edges or so),
 then large-star and small-star steps alternate until the edges stay the same. Each round is written to the scratch folder.
+Edges that fit in one partition are done after the first step.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship
 
 EDGE = "u long, v long"
+PART_EDGES = 500_000
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,9 +53,6 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a.append(batch.column(0).to_numpy())
         b.append(batch.column(1).to_numpy())
         held += batch.num_rows
-        if held > 2_000_000:
-            yield close()
-            a, b, held = [], [], 0
     if held:
         yield close()
 
@@ -62,7 +61,11 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
     """(node, root): each node that has an edge, with the least node of its component."""
     ship(edges.sparkSession)
     a, b = edges.columns
-    stars = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(_contract, EDGE), label)
+    rows = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v"), label)
+    parts = 1 + rows.count() // PART_EDGES
+    stars = materialize(rows.coalesce(parts).mapInArrow(_contract, EDGE), label)
+    if parts == 1:
+        return _named(stars)
     before = None
     while True:
         # large star: every larger neighbour moves to the least neighbour
@@ -76,5 +79,9 @@ def components(edges: DataFrame, label: str = "edges") -> DataFrame:
         stars = materialize(small.filter("u <> v").distinct(), label)
         now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         if now[0] == now[2] and before == tuple(now):
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            return _named(stars)
         before = tuple(now)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -8,9 +8,11 @@ near copies enter the join once.
    the others by hash. Any order gives the same links; a better one fewer candidates.
 2. Groups: (shingle, size, group) for every shingle of a prefix, range-partitioned and sorted; neighbours in this order, and
    the members of a group with its first, are candidates. Verified ones make components.
-3. What is left: wherever a shingle (or a group) joins several components, all pairs across components whose sizes
+3. What is left: wherever a shingle (or a group) joins several components, pairs across components whose sizes
    and parity sketches allow a link are verified as well. A sketch has a bit for the parity of the shingles hashed
-   to it; as two sketches differ in no more bits than the sets differ in shingles, no link is lost.
+   to it; as two sketches differ in no more bits than the sets differ in shingles, no link is lost. A few rounds try
+   some partners of each document only, by hash, so that components which many links join have grown together before
+   the last round tries every pair that is left.
 
 So every link between different texts is found or lies within a component that others already hold together, and a
 large group of near copies costs its size, not its square. Components come from ``components``.
@@ -39,6 +41,8 @@ from .substring import squeezed, unsqueeze
 FREQUENT, FREQUENT_CHUNK, CHUNK_SHINGLES = 1 << 17, 1 << 14, 2_000_000
 #: Rows of one block where many documents of different components share a shingle.
 BLOCK_ROWS = 2000
+#: Rounds with so many partners a document and shingle, before the one with all.
+SPARSE_ROUNDS, SPARSE_PARTNERS = 3, 3
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,14 +212,28 @@ def _neighbours(percent: int):
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """Parity sketch of a set: about one bit a shingle, 64 at least, a power of two."""
+    """Parity sketch of a set: four to eight bits a shingle, 64 at least, a power of two."""
     bits = 64
-    while bits < len(x):
+    while bits < 4 * len(x):
         bits *= 2
     slot = (mix(x) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(slot, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def coarse(marks: DataFrame) -> DataFrame:
+    """``marks`` with ``coarse``: the sketch folded to a quarter, which is what the many rows of shared tokens carry."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            small = []
+            for x in batch.column(4):
+                mark = np.frombuffer(x.as_buffer(), np.uint8)[None]
+                small.append(_fold(mark, max(8, mark.shape[1] // 4)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(small, pa.binary())], names=["sid", "did", "th", "n", "sketch", "coarse"])
+
+    return marks.select("sid", "did", "th", "n", "sketch").mapInArrow(run, "sid long, did long, th long, n long, sketch binary, coarse binary")
+
+
 def _fetch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 1):  # sid, blob
@@ -243,14 +261,19 @@ def _verify(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, marks: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of sets (a, b) that reach the threshold; ``docs`` are squeezed, ``marks`` has sid, did and th.
-
-    Whole sets are made only for the documents in ``pairs``.
-    """
-    wanted = marks.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("sid", "did", "th")
+def _fetched(pairs: DataFrame, have: DataFrame | None, docs: DataFrame, marks: DataFrame, k: int) -> DataFrame:
+    """(sid, items): whole sets of the documents in ``pairs``, made only where ``have`` lacks them; ``docs`` are squeezed."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    if have is not None:
+        wanted = wanted.join(have.select("sid"), "sid", "left_anti")
+    wanted = marks.join(wanted, "sid", "left_semi").select("sid", "did", "th")
     items = docs.join(wanted, ["did", "th"]).dropDuplicates(["sid"]).select("sid", "blob").mapInArrow(_fetch(k), "sid long, items binary")
     items = materialize(items, "sets")
+    return items if have is None else have.unionByName(items)
+
+
+def _links(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+    """The pairs of sets (a, b) that reach the threshold."""
     left, right = items.select(F.col("sid").alias("a"), F.col("items").alias("x")), items.select(F.col("sid").alias("b"), F.col("items").alias("y"))
     return materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long"), "links")
 
@@ -272,6 +295,13 @@ def _may_link(percent: int):
     return run
 
 
+def _sifted(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sketches allow a link."""
+    of = lambda side: marks.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
+    return both.mapInArrow(_may_link(percent), "a long, b long")
+
+
 def _fold(x: np.ndarray, size: int) -> np.ndarray:
     while x.shape[1] > size:
         half = x.shape[1] // 2
@@ -279,11 +309,12 @@ def _fold(x: np.ndarray, size: int) -> np.ndarray:
     return x
 
 
-def _across(percent: int):
-    """Rows (key, side pair, n, sid, root, sketch) sorted by key: pairs across components that may link."""
+def _across(percent: int, partners: int | None, turn: int):
+    """Rows (key, side pair, own side, n, sid, root, coarse sketch) sorted by key: pairs across components that may link, all or ``partners`` a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
+        alive: set[int] = set()
         for table in complete_runs(batches, 3):
             key = [table.column(i).to_numpy() for i in range(3)]
             own, n, sid, root = (table.column(i).to_numpy() for i in range(3, 7))
@@ -313,6 +344,11 @@ def _across(percent: int):
                         apart_bits = np.bitwise_count(diff).sum(1, dtype=np.int64)
                         # |x ^ y| <= (100 - p) / (100 + p) * (|x| + |y|) for a link
                         good = group[apart_bits * (100 + percent) <= (100 - percent) * (nn[group] + nn[j])]
+                        if len(good):
+                            alive.add(int(key[0][lo]))
+                        if partners is not None and len(good) > partners:
+                            lot = mix(ss[good].view(np.uint64) ^ ss[j : j + 1].view(np.uint64) ^ np.uint64(turn))
+                            good = good[np.argpartition(lot, partners)[:partners]]
                         for c in good.tolist():
                             p = (min(int(ss[j]), int(ss[c])), max(int(ss[j]), int(ss[c])))
                             if p not in seen:
@@ -322,6 +358,8 @@ def _across(percent: int):
                 seen.clear()
         if seen:
             yield _pair_batch(seen)
+        if alive:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(alive), pa.int64()), pa.nulls(len(alive), pa.int64())], names=["a", "b"])
 
     return run
 
@@ -357,33 +395,49 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     chain = pairs.join(heads, "a").join(tails, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     within = member.join(first.filter("size > 1"), "gid").filter("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
     marks = full.groupBy("sid").agg(F.min_by(F.struct("did", "th", "n", "sketch"), F.struct("did", "th")).alias("d")).select("sid", "d.*")
-    marks = materialize(marks, "sketches")
+    marks = materialize(coarse(marks), "sketches")
     candidates = chain.unionByName(within).filter("a <> b").distinct()
-    of = lambda side: marks.select(F.col("sid").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}"))
-    candidates = candidates.join(of("a"), "a").join(of("b"), "b").select("a", "b", "n_a", "s_a", "n_b", "s_b")
-    candidates = materialize(candidates.mapInArrow(_may_link(percent), "a long, b long"), "candidates")
+    candidates = materialize(_sifted(candidates, marks, percent), "candidates")
     texts = squeezed(docs, doc_id, text)
-    links = _links(candidates, texts, marks, k, percent)
+    items = _fetched(candidates, None, texts, marks, k)
+    links = _links(candidates, items, percent)
     roots = materialize(components(links), "roots")
-    # pairs across components
-    named = member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("root", "sid").alias("root"))
-    named = materialize(named, "members")
-    span = named.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     shared = found.filter(F.col("kind") == SHARED).select("token", F.col("a").alias("gid")).unionByName(first.filter("size > 1").select(F.col("gid").alias("token"), "gid"))
-    open_ = shared.join(span, "gid")
-    mixed = open_.groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("rows")).filter("low <> high").select("token", "rows")
-    left = shared.join(mixed, "token").join(named, "gid").select("token", "rows", "sid", "root").distinct()
+    tested = candidates
+    turn = 0
+    while turn <= SPARSE_ROUNDS:
+        partners = SPARSE_PARTNERS if turn < SPARSE_ROUNDS else None
+        across = materialize(_pairs_across(shared, member, roots, marks, percent, partners, turn), "across")
+        # a token none of whose pairs may link needs no further look, for components only grow
+        shared = materialize(shared.join(across.filter("b is null").select(F.col("a").alias("token")).distinct(), "token", "left_semi"), "shared")
+        rest = across.filter("b is not null").distinct().join(tested, ["a", "b"], "left_anti")
+        rest = materialize(_sifted(rest, marks, percent), "rest")
+        tested = tested.unionByName(rest)
+        more = None
+        if not rest.isEmpty():
+            items = _fetched(rest, items, texts, marks, k)
+            more = _links(rest, items, percent)
+        if more is None or more.isEmpty():
+            turn = max(turn + 1, SPARSE_ROUNDS)  # on to the round with all partners, or out of it
+            continue
+        roots = materialize(components(roots.select("node", "root").unionByName(more.select(F.col("a").alias("node"), F.col("b").alias("root")))), "roots")
+        turn += 1
+    return profile.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "did", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
+
+
+def _pairs_across(shared: DataFrame, member: DataFrame, roots: DataFrame, marks: DataFrame, percent: int, partners: int | None, turn: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components that share a token (or a group) and may link, and (token, null) where there are any."""
+    named = materialize(member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("root", "sid").alias("root")), "members")
+    span = named.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = shared.join(span, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("token")
+    left = materialize(shared.join(mixed, "token").join(named, "gid").select("token", "sid", "root").distinct(), "mixed")
     count = left.groupBy("token").agg(F.count("*").alias("size"))
-    left = left.join(count, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("long"))
-    left = left.withColumn("own", F.pmod(F.xxhash64("sid"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(marks.select("sid", "n", "sketch"), "sid")
-    cells = left.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "n", "sid", "root", "sketch")
-    cells = cells.repartition(width, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
-    rest = materialize(cells.mapInArrow(_across(percent), "a long, b long").distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
-    more = _links(rest, texts, marks, k, percent)
-    both = links.unionByName(more)
-    final = components(both)
-    return profile.join(final.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "did", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
+    left = left.join(count, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = left.join(marks.select("sid", F.col("n").cast("int").alias("n"), "coarse"), "sid")
+    cells = left.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "n", "sid", "root", "coarse")
+    cells = cells.repartition(shuffle_width(shared.sparkSession), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
+    return cells.mapInArrow(_across(percent, partners, turn), "a long, b long")
 
 
 def with_component_id(linked: DataFrame) -> DataFrame:
