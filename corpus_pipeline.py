@@ -1,42 +1,66 @@
 """The corpus pipeline: quality rules, line dedup, one of each group of near copies, sanitised texts, packed sequences.
 
-Each stage reads what its predecessor wrote. ``ORACLE_SQL`` is None: SQL expresses neither tokenisers nor packing; the
+Each stage reads what its predecessor wrote, so the scratch tables of earlier stages are deleted when one begins, unless its
+input still reads from them. ``ORACLE_SQL`` is None: SQL expresses neither tokenisers nor packing; the
 tests hold run() against a brute-force version.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagfold.llm import disclosure, fertility, lines, ngram_join, packing
-from bagfold.runtime import materialize
+from bagfold.runtime import drop_unread, materialize, recorded
 
 ORACLE_SQL = None
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_SCRATCH: list[str] = []
+
+
+def _tidy(stage: Stage) -> Stage:
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _SCRATCH[:] = drop_unread(spark, _SCRATCH, docs)
+        with recorded() as made:
+            out = stage(spark, docs, sf_dir)
+        _SCRATCH.extend(made)
+        return out
+
+    return run
+
 
 def _measured(docs: DataFrame) -> DataFrame:
     """``n_chars`` follows the text."""
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 
+@_tidy
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return fertility.keep_fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@_tidy
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _measured(lines.line_dedup(docs))
 
 
+@_tidy
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.keep_one(docs, k=5, percent=80)
 
 
+@_tidy
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _measured(disclosure.sanitise(docs))
 
 
+@_tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
