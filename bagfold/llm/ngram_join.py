@@ -451,6 +451,20 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_component_id(linked_components(docs, 4, 85)).select("doc_id", "n_shingles", "component_id")
 
 
+def op4_sql(k: int = 4, percent: int = 85) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{upper}', '{lower}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + {k} - 1], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {k} + 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= {percent} * (x.n + y.n - inter)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT reach.doc_id, edge.b FROM reach JOIN edge ON edge.a = reach.other)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.first AS component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS first FROM reach GROUP BY doc_id) m USING (doc_id)"""
+
+
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: the one of smallest doc_id (then text hash), all columns kept."""
     linked = linked_components(docs, k, percent, doc_id, text)

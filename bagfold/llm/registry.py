@@ -18,6 +18,8 @@ QUERIES = {
 }
 ORACLES = {
     "op3_url_rules": rules_index.op3_sql(),
+    "op4_ngram_join": ngram_join.op4_sql(),
+    "op7_warc": warc.op7_sql(),
     "op8_substring_dedup": substring.op8_sql(),
     "op9_line_dedup": lines.op9_sql(),
 }

@@ -205,4 +205,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     directory = scratch_path(spark, "warc")
     index = write_archive(pages, directory)
-    return read_archive(spark, directory, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset")
+    return read_archive(spark, directory, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_sql() -> str:
+    five = "('0x' || substr(hex, 1 + 10 * g, 10))::BIGINT"
+    letter = f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({five} >> (35 - 5 * j)) & 31)::INT, 1)"
+    return f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS raw, sha1(encode(coalesce(html, ''))) AS hex FROM pages),
+f AS (SELECT hex, min(page_id) AS first FROM p GROUP BY hex)
+SELECT page_id, octet_length(raw)::BIGINT AS payload_bytes,
+       array_to_string(flatten(list_transform(range(0, 4), lambda g: list_transform(range(0, 8), lambda j: {letter}))), '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN f USING (hex)"""
