@@ -49,7 +49,12 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new path in the scratch folder, with its file system's scheme; it is deleted when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    path = files.makeQualified(path)
+    files.deleteOnExit(path)
+    return path.toString()
 
 
 _RECORDS: list[list[str]] = []
