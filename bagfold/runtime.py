@@ -48,13 +48,21 @@ def scratch_root(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path in the scratch folder, with its file system's scheme; it is deleted when the application ends."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    path = files.makeQualified(path)
-    files.deleteOnExit(path)
-    return path.toString()
+    """A new path in the scratch folder, with its file system's scheme."""
+    files, place = _files(spark, f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}")
+    return files.makeQualified(place).toString()
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """What is at ``path`` (it must be there already) goes when the application ends."""
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
 
 
 _RECORDS: list[list[str]] = []
@@ -79,8 +87,8 @@ def drop_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> list[
         if any(f.startswith(urllib.parse.urlparse(path).path + "/") for f in read):
             kept.append(path)
         else:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            files, place = _files(spark, path)
+            files.delete(place, True)
     return kept
 
 
@@ -90,6 +98,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
+    delete_at_end(spark, path)
     for made in _RECORDS:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
