@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, scratch_path, ship
+from ..runtime import delete_at_end, materialize, scratch_path, ship
 
 # Fixed values of the seekable Zstandard format (a skippable frame with a seek table).
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -205,7 +205,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     directory = scratch_path(spark, "warc")
     index = write_archive(pages, directory)
-    return read_archive(spark, directory, index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = read_archive(spark, directory, index)
+    if _local(directory) is not None:
+        delete_at_end(spark, directory)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_sql() -> str:
