@@ -35,12 +35,16 @@ from ..runtime import materialize, shuffle_width, ship
 from .components import components
 from .kernel import LOWER, Words, blocks, complete_runs, mix, pieces, places, raw_windows, run_starts, signed
 from .lines import doc_key
-from .substring import squeezed, unsqueeze
+from .substring import SQUEEZED, squeeze, text_rows, unsqueeze
 
 #: Length of the list of frequent shingles, and of what one chunk of documents may name for it.
 FREQUENT, FREQUENT_CHUNK, CHUNK_SHINGLES = 1 << 17, 1 << 14, 2_000_000
 #: Rows of one block where many documents of different components share a shingle.
 BLOCK_ROWS = 2000
+#: Keys of a few numbers each are broadcast up to so many rows (some 30 MB); beyond, both sides are shuffled.
+BROADCAST_KEYS = 500_000
+#: Fixed value: how a Zstandard frame begins. No UTF-8 text does.
+ZSTD_MAGIC = bytes([0x28, 0xB5, 0x2F, 0xFD])
 #: Rounds with so many partners a document and shingle, before the one with all.
 SPARSE_ROUNDS, SPARSE_PARTNERS = 3, 3
 
@@ -236,10 +240,11 @@ def coarse(marks: DataFrame) -> DataFrame:
 
 def _fetch(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 1):  # sid, blob
+        for batch in pieces(batches, 1):  # sid, body
             whole = []
-            for blob in batch.column(1):
-                buf = np.frombuffer(unsqueeze(blob), np.uint8)
+            for body in batch.column(1):
+                raw = body.as_py()
+                buf = np.frombuffer(unsqueeze(body) if raw[:4] == ZSTD_MAGIC else raw, np.uint8)
                 whole.append(next(sets(buf, np.array([0, len(buf)], np.int64), k)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in whole], pa.binary())], names=["sid", "items"])
 
@@ -261,14 +266,25 @@ def _verify(percent: int):
     return run
 
 
+def _small(keys: DataFrame) -> DataFrame:
+    """``keys`` (a written table of a few numbers a row), broadcast if they are no more than BROADCAST_KEYS."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def _fetched(pairs: DataFrame, have: DataFrame | None, docs: DataFrame, marks: DataFrame, k: int) -> DataFrame:
-    """(sid, items): whole sets of the documents in ``pairs``, made only where ``have`` lacks them; ``docs`` are squeezed."""
+    """(sid, items): whole sets of the documents in ``pairs``, made only where ``have`` lacks them; ``docs`` are ``text_rows``.
+
+    Few wanted documents are picked where they are read; for many, both sides are shuffled, the texts compressed.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     if have is not None:
         wanted = wanted.join(have.select("sid"), "sid", "left_anti")
-    wanted = marks.join(wanted, "sid", "left_semi").select("sid", "did", "th")
-    items = docs.join(wanted, ["did", "th"]).dropDuplicates(["sid"]).select("sid", "blob").mapInArrow(_fetch(k), "sid long, items binary")
-    items = materialize(items, "sets")
+    wanted = materialize(marks.join(wanted, "sid", "left_semi").select("sid", "did", "th"), "wanted")
+    if wanted.count() <= BROADCAST_KEYS:
+        bodies = docs.join(F.broadcast(wanted), ["did", "th"]).select("sid", F.encode("text", "UTF-8").alias("body"))
+    else:
+        bodies = docs.mapInArrow(squeeze, SQUEEZED).join(wanted, ["did", "th"]).select("sid", F.col("blob").alias("body"))
+    items = materialize(bodies.dropDuplicates(["sid"]).mapInArrow(_fetch(k), "sid long, items binary"), "sets")
     return items if have is None else have.unionByName(items)
 
 
@@ -398,7 +414,7 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     marks = materialize(coarse(marks), "sketches")
     candidates = chain.unionByName(within).filter("a <> b").distinct()
     candidates = materialize(_sifted(candidates, marks, percent), "candidates")
-    texts = squeezed(docs, doc_id, text)
+    texts = text_rows(docs, doc_id, text)
     items = _fetched(candidates, None, texts, marks, k)
     links = _links(candidates, items, percent)
     roots = materialize(components(links), "roots")
@@ -468,11 +484,17 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS first FROM
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component: the one of smallest doc_id (then text hash), all columns kept."""
     linked = linked_components(docs, k, percent, doc_id, text)
-    named = linked.withColumn("group", F.coalesce("root", F.xxhash64("did", "th")))
-    stay = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("did").alias("did"), F.col("th").alias("th"))).alias("s")).select("s.did", "s.th")
+    named = materialize(linked.withColumn("group", F.coalesce("root", F.xxhash64("did", "th"))).select("group", "doc_id", "did", "th"), "groups")
+    stay = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("did").alias("did"), F.col("th").alias("th"))).alias("s")).select("s.did", "s.th").distinct()
+    keys = [F.col("did").alias("__did"), F.col("th").alias("__th")]
+    gone = materialize(named.select("did", "th").distinct().join(stay, ["did", "th"], "left_anti").select(*keys), "gone")
+    twice = materialize(named.groupBy("did", "th").count().filter("count > 1").join(stay, ["did", "th"], "left_semi").select(*keys), "twice")
     did, th = doc_key(doc_id, text)
-    keyed = docs.withColumns({"__did": did, "__th": th}).join(stay.select(F.col("did").alias("__did"), F.col("th").alias("__th")), ["__did", "__th"], "left_semi")
-    return keyed.dropDuplicates(["__did", "__th"]).select(*[f"`{n}`" for n in docs.columns])
+    on = ["__did", "__th"]
+    kept = docs.withColumns({"__did": did, "__th": th}).join(_small(gone), on, "left_anti")
+    if not twice.isEmpty():  # of repeated rows one stays
+        kept = kept.join(_small(twice), on, "left_anti").unionByName(kept.join(_small(twice), on, "left_semi").dropDuplicates(on))
+    return kept.select(*[f"`{n}`" for n in docs.columns])
 
 
 def op4_brute(rows: list[tuple[int, str | None]], k: int, percent: int) -> dict[int, tuple[int, int]]:

@@ -36,6 +36,7 @@ CHUNK_ROWS = 400_000
 _LOW = np.uint64((1 << 24) - 1)
 
 ASK, ASK_REPEATED, SETTLED = 0, 1, 2
+SQUEEZED = "did long, th long, th2 long, blob binary"
 
 
 def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -44,7 +45,7 @@ def text_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(*doc_key(doc_id, text), F.xxhash64(F.lit("second"), whole).alias("th2"), whole.alias("text"))
 
 
-def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=1)
@@ -55,7 +56,7 @@ def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def squeezed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts compressed before a shuffle (``blob``)."""
-    return text_rows(docs, doc_id, text).mapInArrow(_squeeze, "did long, th long, th2 long, blob binary")
+    return text_rows(docs, doc_id, text).mapInArrow(squeeze, SQUEEZED)
 
 
 def unsqueeze(blob: pa.BinaryScalar) -> bytes:
