@@ -28,6 +28,8 @@ SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, RUN, MOST_REPEATED_PERCENT = 20, 8, 30
 #: Documents that a band needs; interquartile ranges (and absolute margins) that a text may lie beyond the quartiles.
 LEAST_DOCS, RANGES = 30, 6.0
+#: Measures are rounded to so many places for the quartiles, which are then exact, the same in every run, and need a bounded count of values.
+BAND_PLACES = 3
 #: Limits are broadcast up to so many rows (a few hundred bytes each); beyond, the join shuffles.
 BROADCAST_BANDS = 10_000
 MARGIN = {"chars_per_token": 0.15, "byte_share": 0.03, "entropy_ratio": 0.08}
@@ -139,7 +141,7 @@ def measures(docs: DataFrame, path: str, carry: list[str], text: str = "text", l
 
 def bands(found: DataFrame) -> DataFrame:
     """Limits for each band key and size class, from all documents that pass the base rules."""
-    sums = found.select("m.*").filter("not base_failed").groupBy("band_key", "size_class").agg(F.count("*").alias("docs"), *[F.percentile_approx(m, [0.25, 0.75], 1000).alias(m) for m in MARGIN])
+    sums = found.select("m.*").filter("not base_failed").groupBy("band_key", "size_class").agg(F.count("*").alias("docs"), *[F.percentile(F.round(m, BAND_PLACES), [0.25, 0.75]).alias(m) for m in MARGIN])
     out = sums.filter(F.col("docs") >= LEAST_DOCS)
     for m, margin in MARGIN.items():
         reach = F.greatest(RANGES * (F.col(m)[1] - F.col(m)[0]), F.lit(margin))
