@@ -46,7 +46,7 @@ BROADCAST_KEYS = 500_000
 #: Fixed value: how a Zstandard frame begins. No UTF-8 text does.
 ZSTD_MAGIC = bytes([0x28, 0xB5, 0x2F, 0xFD])
 #: Rounds with so many partners a document and shingle, before the one with all.
-SPARSE_ROUNDS, SPARSE_PARTNERS = 3, 3
+SPARSE_ROUNDS, SPARSE_PARTNERS = 3, 1
 
 
 def shingles(buf: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
