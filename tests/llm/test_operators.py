@@ -120,6 +120,21 @@ def test_op2_bands_reject_what_is_far_off(spark):
     assert 1000 not in {r.doc_id for r in fertility.keep_fit(docs.unionByName(more), public_tokenizers.path("piece_bpe_32k.model")).collect()}
 
 
+def test_op2_thin_classes_have_a_band(spark):
+    """Junk alone in its size class, its language or both is judged by a wider class."""
+    import random
+
+    draw = random.Random(3)
+    words = ["the", "house", "water", "people", "green", "river", "stone", "light", "night", "table", "window", "garden", "morning", "letter", "music", "corner"]
+    plain = lambda n: " ".join(draw.choice(words) + draw.choice(["", "s", "ed"]) for _ in range(n))
+    junk = lambda n: "".join(draw.choice("ꙮ𒀀𓀀🜀") + " " for _ in range(n))
+    rows = [(i, plain(60), "en") for i in range(80)] + [(100, junk(60), "en"), (101, junk(60), "xx"), (102, junk(3000), "en"), (103, junk(3000), None)]
+    rows += [(200, plain(60), "yy"), (201, plain(100), "en"), (202, plain(100), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id for r in fertility.keep_fit(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert out == {*range(80), 200, 201, 202}
+
+
 # ---- op3
 
 URLS = ["http://a.example.com/en/7x", "https://EXAMPLE.com/en/8?q=/de/", "http://example.net/de/81", "http://x.example.net/de/7#a", "http://net/de/", "http://notexample.com/en/7", "http://com?x=/en/", "http://a.org/es", "ftp://a.org/es/1", "no url", None, "", "http://", "http:///en/", "http://example-x.net/de/8", "http://b.com/x://y/en/", "http://a.net/de/8", "https://example.com.net/en/7"]
