@@ -92,7 +92,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not first_run and len(starts):
             held = None  # a run that began and ended within the range is settled
         if len(starts) and held is not None:
-            out.append(held.append_column("open", pa.array(np.ones(len(held), bool))))
+            # the run may end within this batch
+            run = pa.concat_tables([held, table.slice(0, int(lead)).filter(pa.array(~lost[:lead]))])
+            out.append(run.append_column("open", pa.array(np.ones(len(run), bool))))
             held, first_run = None, False
         if len(starts) and first_run and lead == 0 and len(starts) > 1:
             run = table.slice(0, int(starts[1])).filter(pa.array(~lost[: starts[1]]))

@@ -395,6 +395,29 @@ def test_op9_runs_over_several_ranges(spark, tables):
     assert out[0].n_dropped == 0 and all(out[i].n_dropped == 2 for i in range(1, 301))
 
 
+def test_op9_runs_over_several_batches(spark, tables):
+    """A long document of one line that an earlier one holds too, cut by ranges and by batches."""
+    import pyarrow as pa
+
+    names = ["h1", "h2", "did", "th", "pos", "n_lines"]
+    batch = lambda h, pos: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (h, h, [7] * len(h), [7] * len(h))] + [pa.array(c, pa.int32()) for c in (pos, [9] * len(h))], names=names)
+    out = [r for b in lines._stream(iter([batch([1] * 3, [0, 1, 2]), batch([1, 1, 2, 3], [3, 4, 5, 6])])) for r in b.to_pylist()]
+    assert [r["pos"] for r in out if r["open"] and r["h1"] == 1] == [0, 1, 2, 3, 4]
+
+    rows = [(0, "the common line\nfirst line of all"), (1, "\n".join(["the common line"] * 3000)), (2, "the common line\nlast line of all")]
+    folder = tables(documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    own = {"spark.sql.shuffle.partitions": "16", "spark.sql.execution.arrow.maxRecordsPerBatch": "50"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        got = {i: r.n_dropped for i, r in by_id(registry.QUERIES["op9_line_dedup"](spark, folder)).items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {0: 0, 1: 3000, 2: 1}
+
+
 def test_op9_odd_tables(odd_docs, no_docs):
     kept = lines.line_dedup(odd_docs)
     assert kept.columns == odd_docs.columns and kept.count() > 0
