@@ -477,6 +477,26 @@ def test_op10_engine_equals_tokenizers_on_all_code_points():
         assert own(t, disallowed_special=()).tolist() == model.encode(t, add_special_tokens=False).ids
 
 
+def test_op10_added_tokens_in_texts(spark):
+    """The library's default settings: an added token within a text is its one id."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, own = Tokenizer.from_file(path), packing.encoder(path, public_tokenizers.PATTERN)
+    end = "<|endoftext|>"
+    texts = [f"a{end}b", end, end * 3, f" {end} ", f"word {end}\n\n{end}  word's {end[:-1]} <{end}>", f"é{end}é" * 700, "<|endoftext", "<|ENDOFTEXT|>", "plain", ""]
+    want = [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 50256, 65]
+    assert [own(t, allowed_special="all").tolist() for t in texts] == want
+    got = defaultdict(list)
+    for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, public_tokenizers.PATTERN).collect():
+        got[r.doc_id].append(r)
+    for i, ids in enumerate(want):
+        raw = np.array([*ids, 2], "<u4")
+        assert sum(r.length for r in got[i]) == len(raw)
+        assert all(zlib.crc32(raw[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for r in got[i])
+
+
 def test_sum_of_squares_places_where_the_sum_is_least():
     draw = np.random.default_rng(0)
     lengths = np.sort(draw.integers(1, 50, 300))[::-1]
