@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, ship
 from .kernel import LOWER, Words, as_text, blocks, mix, per_doc, pieces, run_starts, signed, span_hashes
 from .lines import doc_key
+from .ngram_join import _small
 
 # Kinds in their order and patterns.
 KINDS = ["email", "ip", "card", "phone", "generalise", "remove"]
@@ -192,6 +193,18 @@ def _bit_map(terms: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _each_text(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``text`` of one of the rows of each text hash; ``found`` is a written table with the rows' keys."""
+    keys = found.groupBy("did", "th").agg(F.count("*").alias("rows"))
+    first = keys.groupBy("th").agg(F.min("did").alias("first"))
+    keys = materialize(keys.join(first, "th").filter("did > first or rows > 1").select("did", "th", (F.col("did") > F.col("first")).alias("later")), "copies")
+    later, twice = (_small(keys.filter(c).select("did", "th")) for c in ("later", "not later"))
+    once = rows.select("did", "th", "text").join(later, ["did", "th"], "left_anti")
+    if not twice.isEmpty():  # of repeated rows one counts
+        once = once.join(twice, ["did", "th"], "left_anti").unionByName(once.join(twice, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]))
+    return once.select("text")
+
+
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """FOUND (without ``near``) and ``terms``: the spans of disclosing terms."""
     spark = docs.sparkSession
@@ -201,11 +214,11 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     near = found.filter(F.size("near") > 0).select("did", "th", F.explode("near").alias("c")).select("did", "th", "c.*")
     pairs = near.select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= LEAST_TEXTS)
     pairs = materialize(pairs, "entity-terms")
-    total = found.count()
+    total = found.select("th").distinct().count()
     wanted = spark.sparkContext.broadcast(_bit_map(pairs.select("term").distinct()))
-    counts = rows.select("text").mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    counts = _each_text(rows, found).mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     owners = near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # copies of a text count once with an entity, and a term's documents never fewer than its texts with the entity
+    # a term's texts are never fewer than those with the entity
     share = pairs.join(owners, "entity").join(counts, "term").withColumn("n_term", F.greatest("n_term", "both"))
     pmi = F.log2(F.lit(float(max(total, 2))) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
     information = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))

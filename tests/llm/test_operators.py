@@ -62,6 +62,20 @@ def test_disclosing_terms_are_found_and_masked(spark):
     assert disclosure.masked("abcdef", [(1, 0, 3), (2, 1, 4)]) == "a[EMAIL]ef"
 
 
+def test_copies_of_a_text_count_once(spark):
+    """An exclusive term of two texts with many copies each (some of them repeated rows) is removed."""
+    texts = [f"filler{i} words about nothing in particular {i}" for i in range(40)]
+    own = [f"mail Zebulon a@example.org number {i}" for i in (1, 2)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, own[i % 2]) for i in range(80)] + [(500, own[0]), (500, own[0]), (None, own[1]), (None, own[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = disclosure.personal_data(docs)
+    assert found.count() == len(rows)
+    for r in disclosure.with_spans(found).collect():
+        assert ("remove:5:12" in r.spans.split(",")) == (r.doc_id is None or r.doc_id >= 100)
+    every = disclosure._each_text(docs.select(*disclosure.doc_key(), "text"), found)
+    assert sorted(r.text for r in every.collect()) == sorted([*texts, *own])
+
+
 def test_op1_odd_tables(odd_docs, no_docs, rows):
     out = disclosure.with_spans(disclosure.personal_data(odd_docs))
     assert out.count() == odd_docs.count()
