@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
-from .kernel import LOWER, Words, as_text, blocks, mix, per_doc, pieces, run_starts, signed, span_hashes
+from .kernel import LOWER, as_text, blocks, mix, per_doc, pieces, run_starts, signed, span_hashes
 from .lines import doc_key
 from .ngram_join import _small
 
@@ -89,23 +89,35 @@ def entity_hash(kind: int, value: str) -> int:
 
 
 def term_hash(terms: list[str]) -> np.ndarray:
-    """The hash that ``term_counts`` has for words."""
+    """Hashes without regard to ASCII case."""
     raw = [t.encode() for t in terms]
     end = np.cumsum([len(t) for t in raw])
     return span_hashes(LOWER[np.frombuffer(b"".join(raw), np.uint8)], end - np.array([len(t) for t in raw]), end)
 
 
+def doc_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end): the terms of a text, outside all spans (in order)."""
+    out, i, far = [], 0, 0
+    for m in TERM.finditer(text):
+        while i < len(spans) and spans[i][0] < m.end():
+            far = max(far, spans[i][2])
+            i += 1
+        if far <= m.start():
+            out.append((m.group(), m.start(), m.end()))
+    return out
+
+
 def context_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
     """(entity, term, start, end): words within ``NEAR_WORDS`` words of an entity in its line, outside all spans."""
-    out = []
+    out, terms = [], doc_terms(text, spans)
     for start, kind, end in spans:
         entity = entity_hash(kind, text[start:end])
         left, right = text.rfind("\n", 0, start) + 1, text.find("\n", end)
         right = len(text) if right < 0 else right
         left, right = max(left, start - 40 * NEAR_WORDS), min(right, end + 40 * NEAR_WORDS)
-        before = [m for m in TERM.finditer(text, left, start) if m.end() < start][-NEAR_WORDS:]
-        behind = [m for _, m in zip(range(NEAR_WORDS), TERM.finditer(text, end, right), strict=False)]
-        out += [(entity, m.group(), m.start(), m.end()) for m in before + behind if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        before = [t for t in terms if left <= t[1] and t[2] < start][-NEAR_WORDS:]
+        behind = [t for t in terms if end <= t[1] and t[2] <= right][:NEAR_WORDS]
+        out += [(entity, *t) for t in before + behind]
     return out
 
 
@@ -116,13 +128,18 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 _DIGIT = np.isin(np.arange(256), np.arange(48, 58))
 
 
+def _maybe(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Documents of a block that may hold base spans."""
+    return (per_doc(_DIGIT[buf], off) >= 4) | (per_doc(buf == 64, off) > 0)
+
+
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()),
                         ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))), ("near", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
     for batch, buf, off in blocks(batches):  # doc_id, did, th, text
         texts = as_text(batch.column(3))
-        maybe = (per_doc(_DIGIT[buf], off) >= 4) | (per_doc(buf == 64, off) > 0)
+        maybe = _maybe(buf, off)
         count, sha, base, near = np.zeros((4, batch.num_rows), np.int64), [nothing] * batch.num_rows, [[]] * batch.num_rows, [[]] * batch.num_rows
         for i in np.flatnonzero(maybe).tolist():
             text = texts[i].as_py()
@@ -140,24 +157,21 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(wanted):
-    """(term, n): documents that hold a word whose bit is set, summed over as much of the task as fits in COUNT_ROWS."""
-    edge = np.array([not (chr(i).isalnum()) for i in range(128)] + [False] * 128)
+    """(term, n): texts that hold a term whose bit is set, summed over as much of the task as fits in COUNT_ROWS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
         parts, rows = [], 0
-        for _, buf, off in blocks(batches):
-            low = LOWER[buf]
-            words = Words(low, off)
-            start, end = words.start.copy(), words.end.copy()
-            for side, step, at in ((start, 1, 0), (end, -1, -1)):  # ASCII marks around a word don't belong to the term
-                todo = np.arange(len(start))
-                while len(todo):
-                    todo = todo[start[todo] < end[todo]]
-                    todo = todo[edge[low[side[todo] + at]]]
-                    side[todo] += step
-            keep = start < end
-            h, doc = span_hashes(low, start[keep], end[keep]), words.doc[keep]
+        for batch, buf, off in blocks(batches):
+            maybe, terms, doc = _maybe(buf, off), [], []
+            for i, text in enumerate(as_text(batch.column(0)).to_pylist()):
+                spans = base_spans(text) if maybe[i] else []
+                own = {t for t, _, _ in doc_terms(text, spans)} if spans else set(TERM.findall(text))
+                terms += own
+                doc += [i] * len(own)
+            if not terms:
+                continue
+            h, doc = term_hash(terms), np.array(doc, np.int64)
             slot = (mix(h) & np.uint64(MAP_BITS - 1)).astype(np.int64)
             hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
             h, doc = h[hit], doc[hit]
@@ -219,7 +233,7 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     counts = _each_text(rows, found).mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     owners = near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     # a term's texts are never fewer than those with the entity
-    share = pairs.join(owners, "entity").join(counts, "term").withColumn("n_term", F.greatest("n_term", "both"))
+    share = pairs.join(owners, "entity").join(counts, "term", "left").withColumn("n_term", F.greatest("n_term", "both"))
     pmi = F.log2(F.lit(float(max(total, 2))) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
     information = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
     share = share.withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0)).filter(F.col("share") >= GENERALISE)

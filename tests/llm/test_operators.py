@@ -76,6 +76,18 @@ def test_copies_of_a_text_count_once(spark):
     assert sorted(r.text for r in every.collect()) == sorted([*texts, *own])
 
 
+def test_terms_beside_inner_and_wide_marks(spark):
+    """Terms are counted as they are found, whatever marks stand beside them."""
+    texts = [f"filler{i} (x/pay/y) words number" for i in range(40)] + [f"<b>Smith</b> Kowalski。 pay a@example.org “Zebulon” user:jdoe number {i}" for i in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = by_id(disclosure.with_spans(disclosure.personal_data(docs)))
+    for i in (40, 41):
+        terms = {texts[i][int(a) : int(b)]: k for k, a, b in (s.split(":") for s in found[i].spans.split(","))}
+        assert all(terms[t] == "remove" for t in ("Smith", "Kowalski", "Zebulon", "jdoe"))
+        assert "pay" not in terms and "number" not in terms
+    assert all(found[i].spans == "" for i in range(40))
+
+
 def test_op1_odd_tables(odd_docs, no_docs, rows):
     out = disclosure.with_spans(disclosure.personal_data(odd_docs))
     assert out.count() == odd_docs.count()
