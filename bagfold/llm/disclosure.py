@@ -1,12 +1,12 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (email, ip, card, phone) come from fixed patterns. The values found are the protected entities. A word near an entity is a term;
+Base spans (email, ip, card, phone) come from fixed patterns. The values found are the protected entities. Every word of a document that holds an entity is a term;
 over the whole corpus, with documents counted by distinct text,
 
     PMI(e, t) = log2(N n(e, t) / (n(e) n(t)))      IC(e) = log2(N / n(e))
 
 so PMI / IC is the share of the entity's information that the term gives away (1: the term occurs with the entity alone). Terms with two
-texts of evidence at least are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they stand near that entity.
+texts of evidence at least are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they stand in the documents that hold that entity.
 Document frequencies are exact; a bit map of fixed size over the candidate terms thins what the count has to shuffle.
 
 Nulls and defects: a null text is empty. Rows are told apart by doc_id (null: an own one) and text hash; repeated rows get equal results. Documents
@@ -39,13 +39,13 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 
-NEAR_WORDS, LEAST_TEXTS, GENERALISE, REMOVE = 5, 2, 0.8, 0.95
+LEAST_TEXTS, GENERALISE, REMOVE = 2, 0.8, 0.95
 TERM = re.compile(r"[^\W\d_](?:[^\W_]|['’-])*[^\W_]")
 MAP_BITS, COUNT_ROWS = 1 << 22, 4_000_000
 
 SPAN = "struct<start:int,kind:int,end:int>"
-CONTEXT = "struct<entity:long,term:long,start:int,end:int>"
-FOUND = f"doc_id long, did long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, near array<{CONTEXT}>"
+PLACE = "struct<term:long,start:int,end:int>"
+FOUND = f"doc_id long, did long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, entities array<long>, near array<{PLACE}>"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -107,20 +107,6 @@ def doc_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, i
     return out
 
 
-def context_terms(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end): words within ``NEAR_WORDS`` words of an entity in its line, outside all spans."""
-    out, terms = [], doc_terms(text, spans)
-    for start, kind, end in spans:
-        entity = entity_hash(kind, text[start:end])
-        left, right = text.rfind("\n", 0, start) + 1, text.find("\n", end)
-        right = len(text) if right < 0 else right
-        left, right = max(left, start - 40 * NEAR_WORDS), min(right, end + 40 * NEAR_WORDS)
-        before = [t for t in terms if left <= t[1] and t[2] < start][-NEAR_WORDS:]
-        behind = [t for t in terms if end <= t[1] and t[2] <= right][:NEAR_WORDS]
-        out += [(entity, *t) for t in before + behind]
-    return out
-
-
 def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
@@ -136,11 +122,11 @@ def _maybe(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()),
-                        ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))), ("near", pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
+                        ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))), ("entities", pa.list_(pa.int64())), ("near", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
     for batch, buf, off in blocks(batches):  # doc_id, did, th, text
         texts = as_text(batch.column(3))
         maybe = _maybe(buf, off)
-        count, sha, base, near = np.zeros((4, batch.num_rows), np.int64), [nothing] * batch.num_rows, [[]] * batch.num_rows, [[]] * batch.num_rows
+        count, sha, base, entities, near = np.zeros((4, batch.num_rows), np.int64), [nothing] * batch.num_rows, *([[]] * batch.num_rows for _ in range(3))
         for i in np.flatnonzero(maybe).tolist():
             text = texts[i].as_py()
             spans = base_spans(text)
@@ -150,10 +136,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count[k, i] += 1
             sha[i] = hashlib.sha256(joined(spans).encode()).hexdigest()
             base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in spans]
-            if terms := context_terms(text, spans):
-                hashes = signed(term_hash([t for _, t, _, _ in terms])).tolist()
-                near[i] = [{"entity": e, "term": h, "start": a, "end": b} for (e, _, a, b), h in zip(terms, hashes, strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in count), pa.array(sha), pa.array(base, schema.field("base").type), pa.array(near, schema.field("near").type)], schema=schema)
+            entities[i] = sorted({entity_hash(k, text[a:b]) for a, k, b in spans})
+            if terms := doc_terms(text, spans):
+                hashes = signed(term_hash([t for t, _, _ in terms])).tolist()
+                near[i] = [{"term": h, "start": a, "end": b} for (_, a, b), h in zip(terms, hashes, strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in count), pa.array(sha), pa.array(base, schema.field("base").type), pa.array(entities, schema.field("entities").type), pa.array(near, schema.field("near").type)], schema=schema)
 
 
 def _counts(wanted):
@@ -220,27 +207,35 @@ def _each_text(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """FOUND (without ``near``) and ``terms``: the spans of disclosing terms."""
+    """FOUND (without ``entities`` and ``near``) and ``terms``: the spans of disclosing terms."""
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *doc_key(doc_id, text), F.col(f"`{text}`").alias("text"))
     found = materialize(rows.mapInArrow(_find, FOUND), "personal-data")
-    near = found.filter(F.size("near") > 0).select("did", "th", F.explode("near").alias("c")).select("did", "th", "c.*")
-    pairs = near.select("entity", "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= LEAST_TEXTS)
+    # entities with too few texts can't have a term with enough
+    held = found.filter(F.size("entities") > 0).select("did", "th", F.explode("entities").alias("entity"))
+    owners = held.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= LEAST_TEXTS)
+    owners = materialize(owners, "entities")
+    held = materialize(held.join(owners.select("entity"), "entity").groupBy("did", "th").agg(F.collect_set("entity").alias("owned")), "holders")
+    first = _small(materialize(held.groupBy("th").agg(F.min("did").alias("did")).select("did", "th"), "first-holders"))
+    texts = found.select("did", "th", "near").join(first, ["did", "th"], "left_semi").join(held, ["did", "th"])
+    words = texts.select("th", "owned", F.explode(F.array_distinct(F.col("near.term"))).alias("term"))
+    pairs = words.select(F.explode("owned").alias("entity"), "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= LEAST_TEXTS)
     pairs = materialize(pairs, "entity-terms")
     total = found.select("th").distinct().count()
     wanted = spark.sparkContext.broadcast(_bit_map(pairs.select("term").distinct()))
     counts = _each_text(rows, found).mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    owners = near.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     # a term's texts are never fewer than those with the entity
     share = pairs.join(owners, "entity").join(counts, "term", "left").withColumn("n_term", F.greatest("n_term", "both"))
     pmi = F.log2(F.lit(float(max(total, 2))) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
     information = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
     share = share.withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0)).filter(F.col("share") >= GENERALISE)
     level = F.when(F.col("share") >= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    told = near.join(share.select("entity", "term", level.alias("kind")), ["entity", "term"]).groupBy("did", "th", "start", "end").agg(F.max("kind").alias("kind"))
+    told = held.select("did", "th", F.explode("owned").alias("entity")).join(share.select("entity", "term", level.alias("kind")), "entity").groupBy("did", "th", "term").agg(F.max("kind").alias("kind"))
+    places = found.filter(F.size("near") > 0).join(held.select("did", "th"), ["did", "th"], "left_semi").select("did", "th", F.explode("near").alias("c")).select("did", "th", "c.*")
+    told = places.join(told, ["did", "th", "term"]).groupBy("did", "th", "start", "end").agg(F.max("kind").alias("kind"))
     spans = told.groupBy("did", "th").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
-    return found.drop("near").join(spans, ["did", "th"], "left")
+    return found.drop("entities", "near").join(spans, ["did", "th"], "left")
 
 
 def with_spans(found: DataFrame) -> DataFrame:

@@ -88,6 +88,18 @@ def test_terms_beside_inner_and_wide_marks(spark):
     assert all(found[i].spans == "" for i in range(40))
 
 
+def test_disclosing_terms_anywhere_in_the_document(spark):
+    """A heading, a far line and the end of a long line are masked like words beside the entity."""
+    words = "this and that was then said by some of them about it all day long"
+    texts = [f"{words}\n{words} {words}" for _ in range(40)]
+    texts += [f"Zebulon\n{words}\n{words} a@example.org {words} Zebulon\n\n{words}\n" + "- " * i + "by zebulon" for i in range(3)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = by_id(disclosure.sanitise(docs))
+    assert all(clean[i].text == texts[i] for i in range(40))
+    for i in range(40, 43):
+        assert clean[i].text == texts[i].replace("Zebulon", "").replace("zebulon", "").replace("a@example.org", "[EMAIL]")
+
+
 def test_op1_odd_tables(odd_docs, no_docs, rows):
     out = disclosure.with_spans(disclosure.personal_data(odd_docs))
     assert out.count() == odd_docs.count()
