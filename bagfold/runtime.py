@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
-import urllib.parse
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a private one only where none is set (tests)."""
+    """The shared folder that the cluster names. Only a local session, whose executors are the driver, may do without."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), f"bagfold-{spark.sparkContext.applicationId}")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -65,31 +66,22 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     files.deleteOnExit(place)
 
 
-_RECORDS: list[list[str]] = []
+#: Tables that ``materialize`` wrote: application, path, and a weak reference to what every plan that reads the table holds.
+_TABLES: list[tuple[str, str, object]] = []
 
 
-@contextmanager
-def recorded() -> Iterator[list[str]]:
-    """The paths of the tables that ``materialize`` writes within the block."""
-    made: list[str] = []
-    _RECORDS.append(made)
-    try:
-        yield made
-    finally:
-        _RECORDS.remove(made)
-
-
-def drop_unread(spark: SparkSession, paths: list[str], docs: DataFrame) -> list[str]:
-    """Delete those of ``paths`` that ``docs`` does not read from; returns the others."""
-    read = {urllib.parse.urlparse(f).path for f in docs.inputFiles()}
-    kept = []
-    for path in paths:
-        if any(f.startswith(urllib.parse.urlparse(path).path + "/") for f in read):
-            kept.append(path)
-        else:
-            files, place = _files(spark, path)
+def drop_unread(spark: SparkSession) -> None:
+    """Delete the scratch tables that no plan reads any more, whoever made them. A table stays while any DataFrame built on it lives."""
+    gc.collect()
+    spark._jvm.System.gc()
+    app, kept = spark.sparkContext.applicationId, []
+    for entry in _TABLES:
+        if entry[0] == app and entry[2].get() is None:
+            files, place = _files(spark, entry[1])
             files.delete(place, True)
-    return kept
+        elif entry[0] == app:
+            kept.append(entry)
+    _TABLES[:] = kept
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -99,9 +91,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     delete_at_end(spark, path)
-    for made in _RECORDS:
-        made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    read = out._jdf.queryExecution().analyzed().relation().location()
+    _TABLES.append((spark.sparkContext.applicationId, path, spark._jvm.java.lang.ref.WeakReference(read)))
+    return out
 
 
 def shuffle_width(spark: SparkSession) -> int:
