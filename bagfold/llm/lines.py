@@ -6,7 +6,8 @@ run of a range may go on in a neighbouring range, so their rows that look first
 in a small second step. Decisions come back as compressed keep bitmaps, one for each document that loses lines.
 
 Nulls and defects: null and empty texts are one empty line. A null doc_id sorts before all others and counts as
-one document, as do rows that share a doc_id. Repeated rows get equal results. Other columns pass by.
+one document, as do rows that share a doc_id. Repeated rows get equal results. Very long texts are split whole, one line list at a time. Other columns pass by;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -169,17 +170,19 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(docs: DataFrame, least: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the lost lines cut from ``text``, other columns unchanged; a document of which nothing is left goes."""
+    """``docs`` with the lost lines cut from ``text``, other columns unchanged; a document that lost lines and has only blanks left goes."""
     schema, at = docs.schema, docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, at):
-            texts = [t if k is None else kept_text(t or "", k)[2] for t, k in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            keep = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [t if k is None else kept_text(t or "", k)[2] for t, k in zip(batch.column(at).to_pylist(), keep, strict=True)]
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            left = pa.array([k is None or bool(t.strip(BLANK.decode())) for t, k in zip(texts, keep, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(left)
 
     rows = with_bitmaps(docs, keep_bitmaps(docs, least, doc_id, text), doc_id, text).select("doc.*", F.col("keep").alias("__keep"))
-    return rows.mapInArrow(cut, schema).filter(F.length(F.trim(F.col(f"`{text}`"))) > 0)
+    return rows.mapInArrow(cut, schema)
 
 
 def op9_sql() -> str:

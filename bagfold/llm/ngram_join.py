@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize, shuffle_width, ship
 from .components import components
 from .kernel import LOWER, Words, blocks, complete_runs, mix, pieces, places, raw_windows, run_starts, signed
+from .keys import few, small
 from .lines import doc_key
 from .substring import SQUEEZED, squeeze, text_rows, unsqueeze
 
@@ -41,8 +42,6 @@ from .substring import SQUEEZED, squeeze, text_rows, unsqueeze
 FREQUENT, FREQUENT_CHUNK, CHUNK_SHINGLES = 1 << 17, 1 << 14, 2_000_000
 #: Rows of one block where many documents of different components share a shingle.
 BLOCK_ROWS = 2000
-#: Keys of a few numbers each are broadcast up to so many rows (some 30 MB); beyond, both sides are shuffled.
-BROADCAST_KEYS = 500_000
 #: Fixed value: how a Zstandard frame begins. No UTF-8 text does.
 ZSTD_MAGIC = bytes([0x28, 0xB5, 0x2F, 0xFD])
 #: Rounds with so many partners a document and shingle, before the one with all.
@@ -266,11 +265,6 @@ def _verify(percent: int):
     return run
 
 
-def _small(keys: DataFrame) -> DataFrame:
-    """``keys`` (a written table of a few numbers a row), broadcast if they are no more than BROADCAST_KEYS."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def _fetched(pairs: DataFrame, have: DataFrame | None, docs: DataFrame, marks: DataFrame, k: int) -> DataFrame:
     """(sid, items): whole sets of the documents in ``pairs``, made only where ``have`` lacks them; ``docs`` are ``text_rows``.
 
@@ -280,7 +274,7 @@ def _fetched(pairs: DataFrame, have: DataFrame | None, docs: DataFrame, marks: D
     if have is not None:
         wanted = wanted.join(have.select("sid"), "sid", "left_anti")
     wanted = materialize(marks.join(wanted, "sid", "left_semi").select("sid", "did", "th"), "wanted")
-    if wanted.count() <= BROADCAST_KEYS:
+    if few(wanted):
         bodies = docs.join(F.broadcast(wanted), ["did", "th"]).select("sid", F.encode("text", "UTF-8").alias("body"))
     else:
         bodies = docs.mapInArrow(squeeze, SQUEEZED).join(wanted, ["did", "th"]).select("sid", F.col("blob").alias("body"))
@@ -491,9 +485,9 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_
     twice = materialize(named.groupBy("did", "th").count().filter("count > 1").join(stay, ["did", "th"], "left_semi").select(*keys), "twice")
     did, th = doc_key(doc_id, text)
     on = ["__did", "__th"]
-    kept = docs.withColumns({"__did": did, "__th": th}).join(_small(gone), on, "left_anti")
+    kept = docs.withColumns({"__did": did, "__th": th}).join(small(gone), on, "left_anti")
     if not twice.isEmpty():  # of repeated rows one stays
-        kept = kept.join(_small(twice), on, "left_anti").unionByName(kept.join(_small(twice), on, "left_semi").dropDuplicates(on))
+        kept = kept.join(small(twice), on, "left_anti").unionByName(kept.join(small(twice), on, "left_semi").dropDuplicates(on))
     return kept.select(*[f"`{n}`" for n in docs.columns])
 
 

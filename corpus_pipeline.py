@@ -1,8 +1,12 @@
 """The corpus pipeline: quality rules, line dedup, one of each group of near copies, sanitised texts, packed sequences.
 
-Each stage reads what its predecessor wrote, so the scratch tables of earlier stages are deleted when one begins, unless its
-input still reads from them. ``ORACLE_SQL`` is None: SQL expresses neither tokenisers nor packing; the
+Each stage takes all that its predecessor kept. Scratch tables are deleted when a stage begins and no DataFrame is built on them any more; so results of
+this and of other runs stay readable as long as somebody holds them. ``ORACLE_SQL`` is None: SQL expresses neither tokenisers nor packing; the
 tests hold run() against a brute-force version.
+
+Nulls and defects: a document with a null or empty text fails the quality rules and goes; a null language falls to the script; a null doc_id sorts before all others;
+rows that repeat each other share one verdict, and one of them stays in the third stage. Texts of any length are taken whole. ``n_chars``
+follows the text where there is such a column; other columns pass unchanged through the first four stages. An empty table gives no sequences.
 """
 
 from __future__ import annotations
@@ -15,22 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bagfold.llm import disclosure, fertility, lines, ngram_join, packing
-from bagfold.runtime import drop_unread, materialize, recorded
+from bagfold.runtime import drop_unread, materialize
 
 ORACLE_SQL = None
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_SCRATCH: list[str] = []
 
 
 def _tidy(stage: Stage) -> Stage:
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _SCRATCH[:] = drop_unread(spark, _SCRATCH, docs)
-        with recorded() as made:
-            out = stage(spark, docs, sf_dir)
-        _SCRATCH.extend(made)
-        return out
+        drop_unread(spark)
+        return stage(spark, docs, sf_dir)
 
     return run
 
