@@ -1,9 +1,14 @@
 """WARC archives as seekable Zstandard bundles.
 
-Records are grouped into frames that decompress independently; a bundle ends in a skippable frame
-that holds the seek table (compressed and plain size of each frame), and an index maps each record
-identifier to its bundle, frame and offset within the plain frame. Equal payloads are stored once:
-the record with the smallest identifier is the ``response``, others are ``revisit`` records that name it.
+Records are grouped into frames that decompress independently. A bundle's last but one part is a skippable frame with its index (for each record
+its identifier, frame, offset and length within the plain frame), the last a skippable frame with the seek table (compressed and plain size
+of each frame). So a bundle describes itself: a record is found by the index entry and read by decompressing its own frame only.
+Equal payloads are stored once: the record with the smallest identifier is the ``response``, others are ``revisit`` records that name it.
+
+Bundles are one file each, written by Spark's own text writer (a bundle is a row whose line end is the last byte of the bundle), so they are files in
+any store that Spark can write, appear with the job's commit, and attempts that are lost leave none. They are read by Spark's binary file reader.
+Only identifiers and hashes of payloads are shuffled, unless so many payloads repeat that their list can't be broadcast; then
+the rows meet it by identifier and hash.
 
 Nulls and defects: a null payload is empty, a null url an empty target. A null identifier never is the
 smallest (unless all are null, then each is a response); rows that repeat the smallest identifier
@@ -15,10 +20,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 import urllib.parse
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,30 +29,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import delete_at_end, materialize, scratch_path, ship
+from . import keys
 
-# Fixed values of the seekable Zstandard format (a skippable frame with a seek table).
-SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
+# Fixed values of the seekable Zstandard format (skippable frames, the last with a seek table).
+INDEX_MAGIC, SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 4 << 20
 
-INDEX_SCHEMA = "record_id string, bundle string, frame int, offset long, length long, content binary"
+INDEX_SCHEMA = "record_id string, bundle string, frame int, offset long, length long"
 RECORD_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, bundle string, frame int, offset long"
 
+#: (record identifier, frame, offset in the plain frame, length)
+Entry = tuple[str, int, int, int]
+
+
+def seal(frames: list[tuple[bytes, int]], entries: list[Entry]) -> bytes:
+    """A bundle of compressed frames (with their plain sizes), its index and its footer."""
+    import zstandard
 
-def seal(frames: list[tuple[bytes, int]]) -> bytes:
-    """A bundle of compressed frames (with their plain sizes) and its footer."""
-    table = b"".join(struct.pack("<II", len(f), n) for f, n in frames)
-    footer = struct.pack("<IBI", len(frames), 0, SEEKABLE_MAGIC)
-    return b"".join(f for f, _ in frames) + struct.pack("<II", SKIPPABLE_MAGIC, len(table) + len(footer)) + table + footer
+    listed = zstandard.ZstdCompressor(level=3).compress("\n".join(f"{k} {o} {n} {r}" for r, k, o, n in entries).encode())
+    index = struct.pack("<II", INDEX_MAGIC, len(listed)) + listed
+    table = b"".join(struct.pack("<II", len(f), n) for f, n in [*frames, (index, 0)])
+    footer = struct.pack("<IBI", len(frames) + 1, 0, SEEKABLE_MAGIC)
+    return b"".join(f for f, _ in frames) + index + struct.pack("<II", SKIPPABLE_MAGIC, len(table) + len(footer)) + table + footer
 
 
-def seek_table(tail: bytes) -> list[tuple[int, int, int]]:
-    """(place, compressed size, plain size) of each frame, from a bundle or its last bytes."""
-    count, flags, magic = struct.unpack("<IBI", tail[-9:])
+def seek_table(bundle: bytes | memoryview) -> list[tuple[int, int, int]]:
+    """(place, compressed size, plain size) of each frame; plain size 0: the index."""
+    count, flags, magic = struct.unpack("<IBI", bundle[-9:])
     if magic != SEEKABLE_MAGIC:
         raise ValueError("no seek table at the end of the bundle")
     width = 12 if flags & 0x80 else 8
-    body = tail[-9 - count * width : -9]
+    body = bundle[-9 - count * width : -9]
     out, at = [], 0
     for i in range(count):
         packed, plain = struct.unpack_from("<II", body, i * width)
@@ -58,12 +69,29 @@ def seek_table(tail: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def fetch(bundle: bytes, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
-    """One record by its index entry; only its own frame is decompressed."""
+def entries(bundle: bytes | memoryview) -> list[Entry]:
+    """The bundle's index; no record is decompressed."""
+    import zstandard
+
+    at, packed, _ = seek_table(bundle)[-1]
+    magic, size = struct.unpack("<II", bundle[at : at + 8])
+    if magic != INDEX_MAGIC or size + 8 != packed:
+        raise ValueError("no index before the seek table")
+    listed = zstandard.ZstdDecompressor().decompress(bytes(bundle[at + 8 : at + packed])).decode()
+    cut = (x.split(" ", 3) for x in listed.split("\n") if x)
+    return [(r, int(k), int(o), int(n)) for k, o, n, r in cut]
+
+
+def unframe(bundle: bytes | memoryview, frame: int) -> bytes:
     import zstandard
 
     at, packed, plain = seek_table(bundle)[frame]
-    return parse(zstandard.ZstdDecompressor().decompress(bundle[at : at + packed], max_output_size=plain), offset)[:2]
+    return zstandard.ZstdDecompressor().decompress(bytes(bundle[at : at + packed]), max_output_size=plain)
+
+
+def fetch(bundle: bytes | memoryview, frame: int, offset: int) -> tuple[dict[str, str], bytes]:
+    """One record by its index entry; only its own frame is decompressed."""
+    return parse(unframe(bundle, frame), offset)[:2]
 
 
 def record(identifier: object, url: str | None, payload: bytes, digest: str, refers_to: object | None) -> bytes:
@@ -95,120 +123,129 @@ def _identifier(text: str) -> int | None:
     return None if value == "null" else int(value)
 
 
-def _local(directory: str) -> str | None:
-    parts = urllib.parse.urlparse(directory)
-    return parts.path if parts.scheme in ("", "file") else None
-
-
-def _writer(directory: str):
-    here = _local(directory)
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        packer = zstandard.ZstdCompressor(level=3)
-        frames: list[tuple[bytes, int]] = []
-        buffer, index, entries = [], [], []
-        state = {"size": 0, "packed": 0}
-
-        def close_frame() -> None:
-            if buffer:
-                plain = b"".join(buffer)
-                frames.append((packer.compress(plain), len(plain)))
-                state["packed"] += len(frames[-1][0])
-                buffer.clear()
-                state["size"] = 0
-
-        def close_bundle() -> pa.RecordBatch | None:
-            close_frame()
-            if not frames:
-                return None
-            name, content = f"{uuid.uuid4().hex}.warc.zst", seal(frames)
-            if here is not None:
-                os.makedirs(here, exist_ok=True)
-                with open(f"{here}/.{name}", "wb") as f:
-                    f.write(content)
-                os.replace(f"{here}/.{name}", f"{here}/{name}")
-            rows = [(r, name, k, o, n, content if here is None and i == 0 else None) for i, (r, k, o, n) in enumerate(index)]
-            frames.clear()
-            index.clear()
-            state["packed"] = 0
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["record_id", "bundle", "frame", "offset", "length", "content"])
-
-        for batch in batches:
-            for page, url, html, sha, first in zip(*(batch.column(i) for i in range(5)), strict=True):
-                page, first = page.as_py(), first.as_py()
-                raw = record(page, url.as_py(), (html.as_py() or "").encode(), base64.b32encode(bytes.fromhex(sha.as_py())).decode(), None if first is None or first == page else first)
-                index.append((f"<urn:x-page:{page}>", len(frames), state["size"], len(raw)))
-                buffer.append(raw)
-                state["size"] += len(raw)
-                if state["size"] >= FRAME_BYTES:
-                    close_frame()
-                if state["packed"] >= BUNDLE_BYTES and (out := close_bundle()) is not None:
-                    yield out
-        if (out := close_bundle()) is not None:
-            yield out
-        del entries
-
-    return write
-
-
-def write_archive(pages: DataFrame, directory: str, identifier: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """Write ``pages`` as bundles under ``directory``; returns the index (``INDEX_SCHEMA``).
-
-    Payloads smaller than ``least`` bytes are not deduplicated. In a store that Python cannot open, bundles are kept in the index
-    table's ``content`` column (with the first record of each).
-    """
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bundles without their last byte, which the writer puts at the end of each."""
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    frames: list[tuple[bytes, int]] = []
+    index: list[Entry] = []
+    buffer: list[bytes] = []
+    plain = packed = 0
+
+    def close_frame() -> None:
+        nonlocal plain, packed
+        if buffer:
+            frames.append((packer.compress(b"".join(buffer)), plain))
+            packed += len(frames[-1][0])
+            buffer.clear()
+            plain = 0
+
+    def close_bundle() -> pa.RecordBatch:
+        nonlocal packed
+        content = seal(frames, index)
+        frames.clear()
+        index.clear()
+        packed = 0
+        return pa.RecordBatch.from_arrays([pa.array([content[:-1]], pa.binary())], names=["content"])
+
+    for batch in batches:
+        for page, url, html, sha, first in zip(*(batch.column(i) for i in range(5)), strict=True):
+            page, first = page.as_py(), first.as_py()
+            raw = record(page, url.as_py(), (html.as_py() or "").encode(), base64.b32encode(bytes.fromhex(sha.as_py())).decode(), None if first is None or first == page else first)
+            index.append((f"<urn:x-page:{'null' if page is None else page}>", len(frames), plain, len(raw)))
+            buffer.append(raw)
+            plain += len(raw)
+            if plain >= FRAME_BYTES:
+                close_frame()
+            if packed >= BUNDLE_BYTES:
+                yield close_bundle()
+    close_frame()
+    if frames:
+        yield close_bundle()
+
+
+def _with_first(rows: DataFrame, least: int) -> DataFrame:
+    """``rows`` with ``first``: the smallest identifier with the same payload, null where no other row has it."""
+    copies = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).filter("rows > 1 and first is not null")
+    copies = materialize(copies.select("sha", "first"), "payload-copies")
+    if keys.few(copies):
+        return rows.join(F.broadcast(copies), "sha", "left")
+    # identifiers meet the copies by hash, where a hot hash is a few numbers a row; the payloads meet the result by identifier
+    again = rows.select("page_id", "sha").join(copies, "sha").filter("page_id is null or page_id <> first").distinct()
+    again = again.select(F.coalesce("page_id", F.lit(0)).alias("__id"), F.col("page_id").isNull().alias("__none"), "sha", "first")
+    keyed = rows.withColumns({"__id": F.coalesce("page_id", F.lit(0)), "__none": F.col("page_id").isNull()})
+    return keyed.join(again, ["__id", "__none", "sha"], "left")
+
+
+def write_archive(pages: DataFrame, directory: str, identifier: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> None:
+    """Write ``pages`` as bundles, one file each, under ``directory`` (which must not exist); payloads smaller than ``least`` bytes are not deduplicated."""
     ship(pages.sparkSession)
     rows = pages.select(F.col(f"`{identifier}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.coalesce(F.col(f"`{payload}`"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    firsts = rows.filter(F.octet_length("html") >= least).groupBy("sha").agg(F.min("page_id").alias("first"))
-    rows = rows.join(firsts, "sha", "left").select("page_id", "url", "html", "sha", "first")
-    return materialize(rows.mapInArrow(_writer(directory), INDEX_SCHEMA), "warc-index")
+    made = _with_first(rows, least).select("page_id", "url", "html", "sha", "first").mapInArrow(_bundles, "content binary")
+    end = struct.pack("<I", SEEKABLE_MAGIC)[-1:].decode("latin-1")
+    made.select(F.col("content").cast("string").alias("value")).write.options(encoding="ISO-8859-1", lineSep=end, maxRecordsPerFile=1).text(directory)
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _files(spark: SparkSession, directory: str) -> DataFrame:
+    """bundle (file name) and content."""
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(directory).filter("length > 0")
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
 
-    unpack = zstandard.ZstdDecompressor()
+
+def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for bundle, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = entries(memoryview(content.as_buffer()))
+            cols = [[e[i] for e in own] for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array([bundle] * len(own)), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["record_id", "bundle", "frame", "offset", "length"])
+
+
+def read_index(spark: SparkSession, directory: str) -> DataFrame:
+    """INDEX_SCHEMA: where each record of the archive lies."""
+    return _files(spark, directory).mapInArrow(_list, INDEX_SCHEMA)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """bundle, content and (or all) ``wanted`` entries (frame, offset, record_id): the records, each by its index entry, their payloads held against their digests."""
     names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "bundle", "frame", "offset")
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64())
     for batch in batches:
-        for bundle, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            data, out = content.as_buffer(), []
-            for k, (at, packed, plain) in enumerate(seek_table(data[-min(len(data), 1 << 20) :].to_pybytes())):
-                text, offset = unpack.decompress(data[at : at + packed].to_pybytes(), max_output_size=plain), 0
-                while offset < plain:
-                    head, block, end = parse(text, offset)
-                    cut = block.index(b"\r\n\r\n") + 4
-                    size = int(next(x for x in block[:cut].split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
-                    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if head["WARC-Type"] == "response" and (len(block) - cut != size or base64.b32encode(hashlib.sha1(block[cut:]).digest()).decode() != digest):
-                        raise ValueError(f"damaged record {head['WARC-Record-ID']}")
-                    out.append((_identifier(head["WARC-Record-ID"]), size, digest, head["WARC-Type"], _identifier(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None, bundle, k, offset))
-                    offset = end
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-
-
-def read_archive(spark: SparkSession, directory: str, index: DataFrame) -> DataFrame:
-    """Every record of the bundles that ``index`` names; bundles of lost attempts are left out."""
-    ship(spark)
-    here = _local(directory)
-    if here is None:
-        return index.filter("content is not null").select("bundle", "content").mapInArrow(_reader, RECORD_SCHEMA)
-    os.makedirs(here, exist_ok=True)
-    files = spark.read.format("binaryFile").load(directory).select(F.element_at(F.split("path", "/"), -1).alias("bundle"), "content")
-    return files.join(index.select("bundle").distinct(), "bundle", "left_semi").mapInArrow(_reader, RECORD_SCHEMA)
+        wanted = batch.column(2).to_pylist() if batch.num_columns > 2 else [None] * batch.num_rows
+        for bundle, content, some in zip(batch.column(0).to_pylist(), batch.column(1), wanted, strict=True):
+            data, out, frame, plain = memoryview(content.as_buffer()), [], None, b""
+            places = sorted((x["frame"], x["offset"], x["record_id"]) for x in some) if some is not None else sorted((k, o, r) for r, k, o, _ in entries(data))
+            for k, offset, name in places:
+                if k != frame:
+                    frame, plain = k, unframe(data, k)
+                head, block, _ = parse(plain, offset)
+                cut = block.index(b"\r\n\r\n") + 4
+                size = int(next(x for x in block[:cut].split(b"\r\n") if x.lower().startswith(b"content-length:")).split(b":")[1])
+                digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+                if head["WARC-Record-ID"] != name or head["WARC-Type"] == "response" and (len(block) - cut != size or base64.b32encode(hashlib.sha1(block[cut:]).digest()).decode() != digest):
+                    raise ValueError(f"damaged record {name}")
+                out.append((_identifier(name), size, digest, head["WARC-Type"], _identifier(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None, bundle, k, offset))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+
+def read_archive(spark: SparkSession, directory: str, wanted: DataFrame | None = None) -> DataFrame:
+    """RECORD_SCHEMA: every record of the archive, or those of ``wanted`` (entries of its index), of which only the frames are decompressed."""
+    files = _files(spark, directory)
+    if wanted is not None:
+        listed = wanted.groupBy("bundle").agg(F.collect_list(F.struct("frame", "offset", "record_id")).alias("wanted"))  # a bundle's own records at most
+        files = files.join(listed, "bundle")
+    return files.mapInArrow(_read, RECORD_SCHEMA)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     directory = scratch_path(spark, "warc")
-    index = write_archive(pages, directory)
-    records = read_archive(spark, directory, index)
-    if _local(directory) is not None:
-        delete_at_end(spark, directory)
-    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archive(pages, directory)
+    delete_at_end(spark, directory)
+    return read_archive(spark, directory).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_sql() -> str:
