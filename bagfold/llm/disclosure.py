@@ -7,7 +7,8 @@ over the whole corpus, with documents counted by distinct text,
 
 so PMI / IC is the share of the entity's information that the term gives away (1: the term occurs with the entity alone). Terms with two
 texts of evidence at least are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they stand in the documents that hold that entity.
-Document frequencies are exact; a bit map of fixed size over the candidate terms thins what the count has to shuffle.
+Document frequencies are exact. A term reaches a share only if it stands in few enough texts, and the entities' own texts say how many it has at least;
+the terms that this leaves open are counted in all texts, and a bit map of fixed size over them thins what the count has to shuffle.
 
 Nulls and defects: a null text is empty. Rows are told apart by doc_id (null: an own one) and text hash; repeated rows get equal results. Documents
 without personal data stay as they are. Other columns pass by; empty tables give empty results.
@@ -21,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, ship
 from .kernel import LOWER, as_text, blocks, mix, per_doc, pieces, run_starts, signed, span_hashes
+from .keys import small
 from .lines import doc_key
-from .ngram_join import _small
 
 # Kinds in their order and patterns.
 KINDS = ["email", "ip", "card", "phone", "generalise", "remove"]
@@ -194,12 +195,17 @@ def _bit_map(terms: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def most_texts(both: str, n_entity: str, total: int) -> Column:
+    """In how many texts a term may stand for its share to reach GENERALISE (a little more, for rounding)."""
+    return F.col(both) * F.pow(F.lit(float(max(total, 2))) / F.col(n_entity), 1.0 - GENERALISE) * 1.000001
+
+
 def _each_text(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``text`` of one of the rows of each text hash; ``found`` is a written table with the rows' keys."""
     keys = found.groupBy("did", "th").agg(F.count("*").alias("rows"))
     first = keys.groupBy("th").agg(F.min("did").alias("first"))
     keys = materialize(keys.join(first, "th").filter("did > first or rows > 1").select("did", "th", (F.col("did") > F.col("first")).alias("later")), "copies")
-    later, twice = (_small(keys.filter(c).select("did", "th")) for c in ("later", "not later"))
+    later, twice = (small(keys.filter(c).select("did", "th")) for c in ("later", "not later"))
     once = rows.select("did", "th", "text").join(later, ["did", "th"], "left_anti")
     if not twice.isEmpty():  # of repeated rows one counts
         once = once.join(twice, ["did", "th"], "left_anti").unionByName(once.join(twice, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]))
@@ -217,16 +223,20 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     owners = held.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= LEAST_TEXTS)
     owners = materialize(owners, "entities")
     held = materialize(held.join(owners.select("entity"), "entity").groupBy("did", "th").agg(F.collect_set("entity").alias("owned")), "holders")
-    first = _small(materialize(held.groupBy("th").agg(F.min("did").alias("did")).select("did", "th"), "first-holders"))
+    first = small(materialize(held.groupBy("th").agg(F.min("did").alias("did")).select("did", "th"), "first-holders"))
     texts = found.select("did", "th", "near").join(first, ["did", "th"], "left_semi").join(held, ["did", "th"])
-    words = texts.select("th", "owned", F.explode(F.array_distinct(F.col("near.term"))).alias("term"))
-    pairs = words.select(F.explode("owned").alias("entity"), "term", "th").distinct().groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= LEAST_TEXTS)
-    pairs = materialize(pairs, "entity-terms")
+    texts = materialize(texts.select("owned", F.array_distinct(F.col("near.term")).alias("terms")), "holder-terms")
+    pairs = texts.select(F.explode("owned").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= LEAST_TEXTS)
     total = found.select("th").distinct().count()
-    wanted = spark.sparkContext.broadcast(_bit_map(pairs.select("term").distinct()))
-    counts = _each_text(rows, found).mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
-    # a term's texts are never fewer than those with the entity
-    share = pairs.join(owners, "entity").join(counts, "term", "left").withColumn("n_term", F.greatest("n_term", "both"))
+    pairs = materialize(pairs.join(owners, "entity").withColumn("most", most_texts("both", "n_entity", total)), "entity-terms")
+    # of a term that already the holders' texts have too often, no more need be counted
+    within = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("within"))
+    open_terms = pairs.groupBy("term").agg(F.max("most").alias("most")).join(within, "term").filter(F.col("within") <= F.col("most"))
+    open_terms = materialize(open_terms.select("term", "within"), "open-terms")
+    wanted = spark.sparkContext.broadcast(_bit_map(open_terms.select("term")))
+    counts = _each_text(rows, found).mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counts = materialize(open_terms.join(counts, "term", "left").select("term", F.greatest("n", "within").alias("n_term")), "term-counts")
+    share = pairs.join(counts, "term").filter(F.col("n_term") <= F.col("most"))
     pmi = F.log2(F.lit(float(max(total, 2))) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
     information = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
     share = share.withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0)).filter(F.col("share") >= GENERALISE)
