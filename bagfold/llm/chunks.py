@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-#: Chunks remembered by a task before it starts afresh.
-MEMO_CHUNKS = 300_000
+#: Bytes of chunks and ids that a task remembers before it starts afresh, and what the objects of one chunk take besides.
+MEMO_BYTES, CHUNK_BYTES = 64 << 20, 200
 
 
 class ChunkMemo:
@@ -21,6 +21,7 @@ class ChunkMemo:
         self.encode = encode
         self.spaced: dict[str, bytes] = {}  # without the one space in front
         self.plain: dict[str, bytes] = {"": b""}
+        self.bytes = 0
         self.run = regex.compile(r"\s ")
         self.chunk = regex.compile(r"\s*\S+|\s+")
 
@@ -36,10 +37,12 @@ class ChunkMemo:
                 parts = self.chunk.findall(t)
                 cut.append((False, parts))
                 plain.update(parts)
-        if len(self.spaced) + len(self.plain) > MEMO_CHUNKS:
-            self.spaced, self.plain = {}, {"": b""}
+        if self.bytes > MEMO_BYTES:
+            self.spaced, self.plain, self.bytes = {}, {"": b""}, 0
         for memo, wanted, front in ((self.spaced, spaced, " "), (self.plain, plain, "")):
             if new := list(wanted - memo.keys()):
-                memo.update(zip(new, self.encode([front + x for x in new]), strict=True))
+                made = self.encode([front + x for x in new])
+                memo.update(zip(new, made, strict=True))
+                self.bytes += sum(map(len, new)) + sum(map(len, made)) + CHUNK_BYTES * len(new)
         at, first = self.spaced.__getitem__, self.plain.__getitem__
         return [b"".join([first(p[0]), *map(at, p[1:])]) if one else b"".join(map(first, p)) for one, p in cut]
