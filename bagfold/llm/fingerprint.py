@@ -245,7 +245,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     if not bounds:
         return spark.createDataFrame([], RESULT)
     dealt = rows.mapInArrow(_deal(bounds), "bucket int, tail boolean, did long, th long, doc_id long, blob binary")
-    dealt = dealt.repartition(width, "bucket").sortWithinPartitions("bucket", "tail", "did", "th").select("bucket", "tail", "doc_id", "blob")
+    dealt = dealt.repartitionById(width, "bucket").sortWithinPartitions("bucket", "tail", "did", "th").select("bucket", "tail", "doc_id", "blob")
     return dealt.mapInArrow(_fingerprint(rank), RESULT)
 
 
