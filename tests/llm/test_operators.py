@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from bagfold.llm import bpe, components, disclosure, fertility, fingerprint, kernel, lines, ngram_join, packing, registry, rules_index, substring, warc
+from bagfold.llm import bpe, components, disclosure, fertility, fingerprint, kernel, keys, lines, ngram_join, packing, registry, rules_index, substring, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 sha = lambda x: hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
@@ -346,21 +346,51 @@ def test_op7_round_trip(spark, tables):
     assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in out) == want
 
 
-def test_op7_seek_table_and_index(spark, tmp_path):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 3000) for i in range(60)], "page_id long, url string, html string").coalesce(1)
-    index = warc.write_archive(pages, f"file://{tmp_path}/w")
+def test_op7_index_and_single_records(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * 3000) for i in range(60)] + [(None, None, "x" * 3_000_000)], "page_id long, url string, html string").coalesce(1)
+    folder = f"file://{tmp_path}/w"
+    warc.write_archive(pages, folder)
+    index = warc.read_index(spark, folder)
+    assert index.count() == 61 and index.select("frame").distinct().count() > 1
     for r in index.filter("record_id like '%7>'").collect():
         head, block = warc.fetch((tmp_path / "w" / r.bundle).read_bytes(), r.frame, r.offset)
         assert head["WARC-Record-ID"] == r.record_id and block.endswith(b"</p>")
-    assert index.select("frame").distinct().count() > 1
+    some = warc.read_archive(spark, folder, index.filter("record_id like '%7>' or record_id like '%null>'")).collect()
+    assert sorted((r.page_id or -1, r.payload_bytes) for r in some) == sorted([(-1, 3_000_000), *((i, len(f"<p>{i}</p>") * 3000) for i in range(7, 60, 10))])
     import zstandard
 
     whole = zstandard.ZstdDecompressor().stream_reader((tmp_path / "w" / index.first().bundle).read_bytes(), read_across_frames=True).read()
-    assert whole.count(b"WARC/1.1\r\n") == 60
-    empty = warc.write_archive(pages.limit(0), f"file://{tmp_path}/none")
-    assert warc.read_archive(spark, f"file://{tmp_path}/none", empty).count() == 0
-    far = warc.write_archive(pages, "store://somewhere/w")  # a store that Python can't open
-    assert warc.read_archive(spark, "store://somewhere/w", far).count() == 60
+    assert whole.count(b"WARC/1.1\r\n") == 61
+    warc.write_archive(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_archive(spark, f"file://{tmp_path}/none").count() == 0 and warc.read_index(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_op7_bundles_are_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 2000)
+    monkeypatch.setattr(warc, "FRAME_BYTES", 3000)
+    made = [x for x in warc._bundles(iter([pages_batch(200)]))]
+    assert len(made) > 3
+    back = [e for m in made for e in warc.entries(m.column(0)[0].as_py() + b"\x8f")]
+    assert [r for r, *_ in back] == [f"<urn:x-page:{i}>" for i in range(200)]
+
+
+def pages_batch(n):
+    import pyarrow as pa
+
+    html = [f"<p>{i * 7919}</p>" * 20 for i in range(n)]
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array([f"http://h/{i}" for i in range(n)]), pa.array(html), pa.array([hashlib.sha1(h.encode()).hexdigest() for h in html]), pa.array([None] * n, pa.int64())], names=["page_id", "url", "html", "sha", "first"])
+
+
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_op7_copies_with_and_without_broadcast(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr(keys, "BROADCAST_KEYS", limit)
+    rows = [(5, "a"), (3, "a"), (3, "a"), (None, "a"), (9, "b" * 20), (8, "b" * 20), (None, "c"), (None, "c"), (1, None), (2, "")]
+    pages = spark.createDataFrame([(i, None, t) for i, t in rows], "page_id long, url string, html string").repartition(2)
+    for least, want in ((0, {(5, 3), (None, 3), (9, 8), (2, 1)}), (10, {(9, 8)})):
+        folder = f"file://{tmp_path}/{least}"
+        warc.write_archive(pages, folder, least=least)
+        out = warc.read_archive(spark, folder).collect()
+        assert len(out) == len(rows) and {(r.page_id, r.refers_to) for r in out if r.record_type == "revisit"} == want
 
 
 # ---- op8
