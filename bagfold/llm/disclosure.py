@@ -10,7 +10,7 @@ texts of evidence at least are generalised from ``GENERALISE`` on and removed fr
 Document frequencies are exact. A term reaches a share only if it stands in few enough texts, and the entities' own texts say how many it has at least;
 the terms that this leaves open are counted in all texts, and a bit map of fixed size over them thins what the count has to shuffle.
 
-Nulls and defects: a null text is empty. Rows are told apart by doc_id (null: an own one) and text hash; repeated rows get equal results. Documents
+Nulls and defects: a null text is empty; very long ones are taken whole. Rows are told apart by doc_id (null: an own one) and text hash; repeated rows get equal results. Documents
 without personal data stay as they are. Other columns pass by; empty tables give empty results.
 """
 
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, ship
-from .kernel import LOWER, as_text, blocks, mix, per_doc, pieces, run_starts, signed, span_hashes
+from ..runtime import materialize, shuffle_width, ship
+from .kernel import LOWER, as_text, binary_array, blocks, mix, per_doc, pieces, run_starts, signed, span_hashes, trim
 from .keys import small
 from .lines import doc_key
 
@@ -144,8 +144,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in count), pa.array(sha), pa.array(base, schema.field("base").type), pa.array(entities, schema.field("entities").type), pa.array(near, schema.field("near").type)], schema=schema)
 
 
-def _counts(wanted):
-    """(term, n): texts that hold a term whose bit is set, summed over as much of the task as fits in COUNT_ROWS."""
+COUNTS = "bucket int, terms binary, counts binary"
+
+
+def _counts(wanted, buckets: int):
+    """Texts that hold a term whose bit is set, summed over as much of the task as fits in COUNT_ROWS; packed, a row for each bucket of terms."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
@@ -176,11 +179,40 @@ def _counts(wanted):
     def close(parts: list[np.ndarray]) -> pa.RecordBatch:
         h = np.sort(np.concatenate(parts))
         first = np.flatnonzero(run_starts(h)) if len(h) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(signed(h[first])), pa.array(np.diff(np.append(first, len(h))))], names=["term", "n"])
+        count = np.diff(np.append(first, len(h))).astype(np.int64)
+        bucket = (mix(h[first]) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bucket, term, count = bucket[order], h[first][order], count[order]
+        lead = np.flatnonzero(run_starts(bucket)) if len(bucket) else np.zeros(0, np.int64)
+        off = np.append(lead, len(bucket)) * 8
+        return pa.RecordBatch.from_arrays([pa.array(bucket[lead].astype(np.int32)), *(binary_array(np.ascontiguousarray(x).view(np.uint8), off) for x in (term, count))], names=["bucket", "terms", "counts"])
 
     return run
 
 
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, n) from packed counts; the terms of a bucket are in no other task."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    rows, most = 0, COUNT_ROWS
+
+    def summed() -> tuple[np.ndarray, np.ndarray]:
+        term, place = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
+        return term, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    for batch in batches:  # terms, counts
+        for t, n in zip(batch.column(0), batch.column(1), strict=True):
+            held.append((np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)))
+            rows += len(held[-1][0])
+        if rows >= most:
+            held = [summed()]
+            rows = len(held[0][0])
+            most = max(COUNT_ROWS, 2 * rows)
+    if held:
+        term, n = summed()
+        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
+    trim()
+
+
 def _bit_map(terms: DataFrame) -> np.ndarray:
     """Bits of the terms: at most ``MAP_BITS``, whatever their number."""
 
@@ -234,7 +266,8 @@ def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     open_terms = pairs.groupBy("term").agg(F.max("most").alias("most")).join(within, "term").filter(F.col("within") <= F.col("most"))
     open_terms = materialize(open_terms.select("term", "within"), "open-terms")
     wanted = spark.sparkContext.broadcast(_bit_map(open_terms.select("term")))
-    counts = _each_text(rows, found).mapInArrow(_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    width = shuffle_width(spark)
+    counts = _each_text(rows, found).mapInArrow(_counts(wanted, width), COUNTS).repartitionById(width, "bucket").select("terms", "counts").mapInArrow(_sums, "term long, n long")
     counts = materialize(open_terms.join(counts, "term", "left").select("term", F.greatest("n", "within").alias("n_term")), "term-counts")
     share = pairs.join(counts, "term").filter(F.col("n_term") <= F.col("most"))
     pmi = F.log2(F.lit(float(max(total, 2))) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
