@@ -8,13 +8,15 @@ Level n/4: every distinct text sends its minimisers; those that no other place s
 them to windows of n/2 words and send these with the hashes of the full windows over them. Level n: where the n/2 window is
 repeated, full windows are compared and every occurrence but the earliest is removed. As equal full windows share their
 n/2 minimiser, they meet in one task. Tasks settle what they can before each shuffle, so that a window found everywhere
-costs a row a task and not a row a document.
+costs a row a task and not a row a document. An n/2 window with over ``HOT_ROWS`` rows (many texts begin alike and go on
+differently) is split by its full windows, whose first occurrences are aggregated before the shuffle.
 
 Exact copies of a text are all removed but the first (given n words) and take no part in the search. Windows are told apart
 by 64-bit hashes, together with the shorter window's hash by 128 bits.
 
 Nulls and defects: null and empty texts have no words. A null doc_id sorts first. Rows that share
-doc_id but not text count as further documents after it, by text hash; equal rows get equal results. Other columns pass by.
+doc_id but not text count as further documents after it, by text hash; equal rows get equal results. Very long texts are taken whole, one at a time.
+Other columns pass by; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ from pyspark.sql import functions as F
 
 from ..runtime import materialize, shuffle_width, ship
 from .kernel import Words, binary_array, blocks, complete_runs, pieces, places, raw_windows, run_starts, signed, slide_min
+from .keys import small
 from .lines import doc_key
 
 WINDOW = 20
 CHUNK_ROWS = 400_000
+#: Rows of one n/2 window that may meet in a task.
+HOT_ROWS = 50_000
 _LOW = np.uint64((1 << 24) - 1)
 
 ASK, ASK_REPEATED, SETTLED = 0, 1, 2
@@ -190,17 +195,38 @@ def _extend(n: int):
     return run
 
 
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by h: did, tie and the first words of removed windows, as 32-bit or wider runs (start, count)."""
+REMOVED = "did long, tie long, runs binary"
+
+
+def _removed(did: np.ndarray, tie: np.ndarray, at: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+    """REMOVED: first words of removed windows as runs (start, count) of 64-bit numbers."""
+    order = np.lexsort((at, tie, did))
+    did, tie, at, count = did[order], tie[order], at[order], count[order]
+    first = np.flatnonzero(run_starts(did, tie))
+    off = np.append(first, len(did)) * 16
+    raw = np.ascontiguousarray(np.stack([at, count], 1).astype(np.int64)).reshape(-1).view(np.uint8)
+    return pa.RecordBatch.from_arrays([pa.array(did[first]), pa.array(tie[first]), binary_array(raw, off.astype(np.int64))], names=["did", "tie", "runs"])
 
-    def removed(did: np.ndarray, tie: np.ndarray, at: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((at, tie, did))
-        did, tie, at, count = did[order], tie[order], at[order], count[order]
-        first = np.flatnonzero(run_starts(did, tie))
-        off = np.append(first, len(did)) * 16
-        raw = np.ascontiguousarray(np.stack([at, count], 1).astype(np.int64)).reshape(-1).view(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array(did[first]), pa.array(tie[first]), binary_array(raw, off.astype(np.int64))], names=["did", "tie", "runs"])
 
+def _each_window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of full windows (h, did, tie, at, full) taken apart: h, full, did, tie, at of each."""
+    for batch in batches:
+        full = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(4)]
+        size = np.array([len(x) for x in full], np.int64)
+        row = np.repeat(np.arange(len(size)), size)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        h, did, tie, at = (batch.column(i).to_numpy()[row] for i in range(4))
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.concatenate(full)), pa.array(did), pa.array(tie), pa.array(at + step)], names=["h", "full", "did", "tie", "at"])
+
+
+def _lost_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            yield _removed(*(batch.column(i).to_numpy() for i in range(3)), np.ones(batch.num_rows, np.int64))
+
+
+def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted by h: REMOVED."""
     for table in complete_runs(batches):
         h, did, tie, at = (table.column(i).to_numpy() for i in range(4))
         count = table.column(5).to_numpy().astype(np.int64)
@@ -208,7 +234,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         off = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         done = count > 0
         if done.any():
-            yield removed(did[done], tie[done], at[done], count[done])
+            yield _removed(did[done], tie[done], at[done], count[done])
         run = np.flatnonzero(run_starts(h))
         lone = np.repeat(np.diff(np.append(run, len(h))) == 1, np.diff(np.append(run, len(h))))
         live = np.flatnonzero(~done & ~lone)  # a half window met once ends here
@@ -225,7 +251,7 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = order[np.flatnonzero(same)][np.cumsum(same) - 1]
         lost = order[(d[order] != d[lead]) | (t[order] != t[lead]) | (a[order] != a[lead])]
         if len(lost):
-            yield removed(d[lost], t[lost], a[lost], np.ones(len(lost), np.int64))
+            yield _removed(d[lost], t[lost], a[lost], np.ones(len(lost), np.int64))
 
 
 def repeated_windows(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,8 +275,21 @@ def repeated_windows(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", t
     live = info.filter("not copy").join(alive, "th").select("did", "th", "th2", "tie", "alive")
     texts = squeezed(docs, doc_id, text).join(live, ["did", "th", "th2"]).select("did", "tie", "blob", "alive")
     wide = texts.mapInArrow(_extend(n), "key long, h long, did long, tie long, at long, full binary, count int")
-    wide = wide.repartition(width, "key").select("h", "did", "tie", "at", "full", "count").sortWithinPartitions("h")
-    runs = wide.mapInArrow(_decide, "did long, tie long, runs binary").groupBy("did", "tie").agg(F.collect_list("runs").alias("runs"))
+    wide = materialize(wide, "windows")
+    hot = wide.filter("count = 0").groupBy("h").agg(F.count("*").alias("rows")).filter(F.col("rows") > HOT_ROWS).select("h")
+    hot = materialize(hot, "hot-windows")
+    some = not hot.isEmpty()
+    cold = wide.join(small(hot), "h", "left_anti") if some else wide
+    cold = cold.repartition(width, "key").select("h", "did", "tie", "at", "full", "count").sortWithinPartitions("h")
+    runs = cold.mapInArrow(_decide, REMOVED)
+    if some:
+        each = wide.filter("count = 0").join(small(hot), "h", "left_semi").select("h", "did", "tie", "at", "full").mapInArrow(_each_window, "h long, full long, did long, tie long, at long")
+        place = F.struct("did", "tie", "at")
+        lead = each.groupBy("h", "full").agg(F.min(place).alias("lead"), F.max(place).alias("last")).filter("lead <> last").select("h", "full", "lead")
+        lost = each.join(lead, ["h", "full"]).filter(place > F.col("lead")).select("did", "tie", "at")
+        # settled runs of hot windows are in the cold half, under a hash of their own
+        runs = runs.unionByName(lost.mapInArrow(_lost_windows, REMOVED))
+    runs = runs.groupBy("did", "tie").agg(F.collect_list("runs").alias("runs"))
     out = info.join(runs, ["did", "tie"], "left").filter("copy or runs is not null")
     return out.select("did", "th", "th2", "copy", "runs")
 
