@@ -6,6 +6,7 @@ runs of bytes outside ``[\\x20\\x09-\\x0D]``, which on UTF-8 equals the same rul
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BYTE = np.random.default_rng(7).integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _POWERS: dict[int, np.ndarray] = {}
+_C = ctypes.CDLL(None)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -47,6 +49,13 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def trim() -> None:
+    """Give back memory that a task no longer holds; its worker, which serves further tasks, would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_C, "malloc_trim"):
+        _C.malloc_trim(0)
+
+
 def as_text(column: pa.Array) -> pa.Array:
     """Null texts are empty; the result is a plain string array."""
     if isinstance(column, pa.ChunkedArray):
@@ -80,6 +89,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = BL
             buf, part = buffers(column.slice(at, to - at))
             yield batch.slice(at, to - at), buf, part
             at = to
+    trim()
 
 
 def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int = 2 * BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -94,6 +104,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: int, size: int = 2 * BLOCK_B
             to = max(at + 1, int(np.searchsorted(off, int(off[at]) + size, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
 
 
 class Words:
@@ -213,6 +224,8 @@ def complete_runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+        held.clear()
+    trim()
 
 
 def run_starts(*keys: np.ndarray) -> np.ndarray:

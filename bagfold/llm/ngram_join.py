@@ -19,7 +19,7 @@ large group of near copies costs its size, not its square. Components come from
 
 Nulls and defects: texts that are null or have no words have the empty set and no links; shorter texts than a
 shingle are one shingle of their own length. A null doc_id is never the smallest unless alone. Repeated rows
-share a component. Other columns pass by; empty tables give empty results.
+share a component. Very long texts are taken whole: a block of postings ends by its shingles as well as by its rows. Other columns pass by; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, shuffle_width, ship
+from ..runtime import drop_unread, materialize, shuffle_width, ship
 from .components import components
 from .kernel import LOWER, Words, blocks, complete_runs, mix, pieces, places, raw_windows, run_starts, signed
 from .keys import few, small
@@ -41,7 +41,9 @@ from .substring import SQUEEZED, squeeze, text_rows, unsqueeze
 #: Length of the list of frequent shingles, and of what one chunk of documents may name for it.
 FREQUENT, FREQUENT_CHUNK, CHUNK_SHINGLES = 1 << 17, 1 << 14, 2_000_000
 #: Rows of one block where many documents of different components share a shingle.
-BLOCK_ROWS = 2000
+BLOCK_ROWS, BLOCK_SHINGLES = 2000, 1 << 25
+#: Pairs that a task holds before it hands them on.
+HELD_PAIRS = 20_000
 #: Fixed value: how a Zstandard frame begins. No UTF-8 text does.
 ZSTD_MAGIC = bytes([0x28, 0xB5, 0x2F, 0xFD])
 #: Rounds with so many partners a document and shingle, before the one with all.
@@ -361,11 +363,10 @@ def _across(percent: int, partners: int | None, turn: int):
                             good = good[np.argpartition(lot, partners)[:partners]]
                         for c in good.tolist():
                             p = (min(int(ss[j]), int(ss[c])), max(int(ss[j]), int(ss[c])))
-                            if p not in seen:
-                                seen.add(p)
-            if len(seen) > 50_000:
-                yield _pair_batch(seen)
-                seen.clear()
+                            seen.add(p)
+                    if len(seen) > HELD_PAIRS:
+                        yield _pair_batch(seen)
+                        seen.clear()
         if seen:
             yield _pair_batch(seen)
         if alive:
@@ -398,12 +399,13 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     edge = edge.filter((F.col("token") == F.col("t2")) & (F.col("a") != F.col("b")) & (F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent))
     pairs = found.filter(F.col("kind") == PAIR).select("a", "b").unionByName(edge.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
     # members of the groups
-    member = full.select("gid", "sid").distinct()
-    first = member.groupBy("gid").agg(F.min("sid").alias("head"), F.count("*").alias("size"))
+    member = full.select("gid", "sid", "n").distinct()  # a group's sets have one size
+    first = materialize(member.groupBy("gid").agg(F.min("sid").alias("head"), F.count("*").alias("size"), F.max("n").alias("n")), "group-heads")
     heads = first.select(F.col("gid").alias("a"), F.col("head").alias("x"))
     tails = first.select(F.col("gid").alias("b"), F.col("head").alias("y"))
     chain = pairs.join(heads, "a").join(tails, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    within = member.join(first.filter("size > 1"), "gid").filter("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
+    several = materialize(first.filter("size > 1"), "groups")
+    within = member.select("gid", "sid").join(small(several.select("gid", "head")), "gid").filter("sid <> head").select(F.col("head").alias("a"), F.col("sid").alias("b"))
     marks = full.groupBy("sid").agg(F.min_by(F.struct("did", "th", "n", "sketch"), F.struct("did", "th")).alias("d")).select("sid", "d.*")
     marks = materialize(coarse(marks), "sketches")
     candidates = chain.unionByName(within).filter("a <> b").distinct()
@@ -412,14 +414,15 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
     items = _fetched(candidates, None, texts, marks, k)
     links = _links(candidates, items, percent)
     roots = materialize(components(links), "roots")
-    shared = found.filter(F.col("kind") == SHARED).select("token", F.col("a").alias("gid")).unionByName(first.filter("size > 1").select(F.col("gid").alias("token"), "gid"))
+    shared = found.filter(F.col("kind") == SHARED).select("token", F.col("a").alias("gid"), "n").unionByName(several.select(F.col("gid").alias("token"), "gid", "n"))
     tested = candidates
     turn = 0
     while turn <= SPARSE_ROUNDS:
         partners = SPARSE_PARTNERS if turn < SPARSE_ROUNDS else None
+        drop_unread(spark)
         across = materialize(_pairs_across(shared, member, roots, marks, percent, partners, turn), "across")
         # a token none of whose pairs may link needs no further look, for components only grow
-        shared = materialize(shared.join(across.filter("b is null").select(F.col("a").alias("token")).distinct(), "token", "left_semi"), "shared")
+        shared = materialize(shared.join(small(materialize(across.filter("b is null").select(F.col("a").alias("token")).distinct(), "open-tokens")), "token", "left_semi"), "shared")
         rest = across.filter("b is not null").distinct().join(tested, ["a", "b"], "left_anti")
         rest = materialize(_sifted(rest, marks, percent), "rest")
         tested = tested.unionByName(rest)
@@ -432,28 +435,31 @@ def linked_components(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: st
             continue
         roots = materialize(components(roots.select("node", "root").unionByName(more.select(F.col("a").alias("node"), F.col("b").alias("root")))), "roots")
         turn += 1
-    return profile.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "did", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
+    return profile.join(small(roots).select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "did", "th", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("root"))
 
 
 def _pairs_across(shared: DataFrame, member: DataFrame, roots: DataFrame, marks: DataFrame, percent: int, partners: int | None, turn: int) -> DataFrame:
     """Pairs (a, b) of sets of different components that share a token (or a group) and may link, and (token, null) where there are any."""
-    named = materialize(member.join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("root", "sid").alias("root")), "members")
+    named = materialize(member.join(small(roots).withColumnRenamed("node", "sid"), "sid", "left").select("gid", "sid", F.coalesce("root", "sid").alias("root")), "members")
     span = named.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = shared.join(span, "gid").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("token")
-    left = materialize(shared.join(mixed, "token").join(named, "gid").select("token", "sid", "root").distinct(), "mixed")
-    count = left.groupBy("token").agg(F.count("*").alias("size"))
-    left = left.join(count, "token").withColumn("blocks", F.ceil(F.col("size") / BLOCK_ROWS).cast("int"))
+    mixed = materialize(mixed, "mixed-tokens")
+    left = materialize(shared.join(small(mixed), "token").join(named, "gid").select("token", "n", "sid", "root").distinct(), "mixed")
+    # only tokens of more than one block need be known by name
+    size = left.groupBy("token").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    size = size.select("token", F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks")).filter("blocks > 1")
+    left = left.join(small(materialize(size, "blocks")), "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     left = left.withColumn("own", F.pmod(F.xxhash64("sid"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.join(marks.select("sid", F.col("n").cast("int").alias("n"), "coarse"), "sid")
-    cells = left.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "n", "sid", "root", "coarse")
+    left = left.join(marks.select("sid", "coarse"), "sid")
+    cells = left.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", F.col("n").cast("int").alias("n"), "sid", "root", "coarse")
     cells = cells.repartition(shuffle_width(shared.sparkSession), "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
     return cells.mapInArrow(_across(percent, partners, turn), "a long, b long")
 
 
 def with_component_id(linked: DataFrame) -> DataFrame:
     """doc_id, did, th, n_shingles, component_id (smallest doc_id of the component)."""
-    least = linked.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return linked.join(least, "root", "left").select("doc_id", "did", "th", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    least = linked.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
+    return linked.join(small(materialize(least, "least")), "root", "left").select("doc_id", "did", "th", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
