@@ -1,14 +1,16 @@
 """Maximum inner product search.
 
 ``exact`` scores every document. Queries are broadcast in blocks of checked size; a partition keeps the best k of each query while it
-streams, and the partitions' lists are ranked per query. ``exact_sql`` is the same in column expressions. ``ivf`` scores the documents
+streams, and the partitions' lists are ranked per query. Where there are several blocks, the documents' vectors are written once, and each block's hits before the
+next block is sent, so that one block is live at a time. ``exact_sql`` is the same in column expressions, for at most ``SMALL_PAIRS``. ``ivf`` scores the documents
 of the cells nearest to a query: cells come from k-means on a bounded sample, after the usual step from inner product to distance; it replaces a
-graph index, which has no counterpart here, and is a different algorithm. Equal scores rank by id; there are never more hits than documents.
+graph index, which has no counterpart here, and is a different algorithm. The documents lie in a folder for each cell, so only those of probed cells are read. Equal scores rank by id; there are never more hits than documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,10 @@ from .pca import vectors_of
 
 #: Bytes of one broadcast block of queries.
 QUERY_BYTES = 64 << 20
-#: Documents at most that k-means sees.
-SAMPLE_ROWS = 50_000
+#: Documents (about) at most that k-means sees, and files at most of one cell's folder.
+SAMPLE_ROWS, CELL_FILES = 50_000, 8
+#: Pairs of a query and a document at most that ``exact_sql`` takes.
+SMALL_PAIRS = 4_000_000
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
@@ -73,11 +77,9 @@ def exact(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
     ship(spark)
     q_type, d_type = dict(queries.dtypes)["qid"], dict(documents.dtypes)["did"]
     schema = f"qid {q_type}, did {d_type}, score double"
-    out = None
-    for ids, block in _query_blocks(queries):
-        shared = spark.sparkContext.broadcast((ids, block))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scored(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, matrix = shared.value
             best, d_arrow = Best(len(qids), k), None
             for batch in batches:
@@ -91,15 +93,35 @@ def exact(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
             if d_arrow is not None:
                 yield from best.batches(qids, d_arrow, pa.string() if q_type == "string" else pa.int64() if q_type == "bigint" else pa.int32())
 
-        hits = documents.select("did", "vec").mapInArrow(run, schema)
+        return run
+
+    return by_blocks(_query_blocks(queries), documents.select("did", "vec"), scored, schema, k)
+
+
+def by_blocks(blocks: Iterator[tuple], documents: DataFrame, scored: Callable, schema: str, k: int) -> DataFrame:
+    """The best ``k`` hits of the queries of all ``blocks``; ``scored`` makes the function over ``documents`` from a block that was broadcast.
+
+    A single block is left lazy. Of several, each is scored over the written documents and dropped before the next is sent.
+    """
+    spark = documents.sparkSession
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return ranked(spark.createDataFrame([], schema), k)
+    if second is None:
+        return ranked(documents.mapInArrow(scored(spark.sparkContext.broadcast(first)), schema), k)
+    documents, out = materialize(documents, "searched"), None
+    for block in chain((first, second), blocks):
+        shared = spark.sparkContext.broadcast(block)
+        hits = materialize(ranked(documents.mapInArrow(scored(shared), schema), k), "hits")
+        shared.destroy()
         out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return spark.createDataFrame([], f"qid {q_type}, did {d_type}, rank int, score double")
-    return ranked(out, k)
+    return out
 
 
 def exact_sql(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """The same by column expressions, for small inputs."""
+    """The same by column expressions over all pairs, which must be few."""
+    if queries.count() * documents.count() > SMALL_PAIRS:
+        raise ValueError(f"more than {SMALL_PAIRS} pairs of a query and a document; use exact")
     pairs = documents.select("did", F.col("vec").alias("dv")).crossJoin(queries.select("qid", F.col("vec").alias("qv")))
     return ranked(pairs.select("qid", "did", sketch.dot(F.col("qv"), F.col("dv")).alias("score")), k)
 
@@ -125,7 +147,9 @@ class CellIndex:
         ship(spark)
         rows = documents.select("did", "vec").withColumn("norm", sketch.norm(F.col("vec")))
         self.most = rows.agg(F.max("norm")).first()[0] or 0.0
-        sample = rows.orderBy(F.xxhash64("did", F.lit(seed))).limit(SAMPLE_ROWS).select("vec").toArrow().column(0).combine_chunks()
+        total, lots = rows.count(), 1 << 30
+        drawn = rows.filter(F.pmod(F.xxhash64("did", F.lit(seed)), F.lit(lots)) < int(lots * min(1.0, SAMPLE_ROWS / max(total, 1))))
+        sample = drawn.select("vec").toArrow().column(0).combine_chunks()
         x = vectors_of(sample)
         if not len(x):
             raise ValueError("there are no documents to index")
@@ -141,7 +165,8 @@ class CellIndex:
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], names=["did", "vec", "cell"])
 
         self.d_type = dict(documents.dtypes)["did"]
-        self.table = materialize(rows.select("did", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(assign, f"did {self.d_type}, vec array<double>, cell int"), "cells")
+        table = rows.select("did", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(assign, f"did {self.d_type}, vec array<double>, cell int")
+        self.table = materialize(table.repartition("cell", F.pmod(F.xxhash64("did"), F.lit(CELL_FILES))), "cells", "cell")
 
     @staticmethod
     def _lifted(x: np.ndarray, most: float) -> np.ndarray:
@@ -151,7 +176,9 @@ class CellIndex:
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         spark = queries.sparkSession
         q_type, out = dict(queries.dtypes)["qid"], None
-        for ids, block in _query_blocks(queries):
+        blocks = _query_blocks(queries)
+        first, second = next(blocks, None), next(blocks, None)
+        for ids, block in chain([x for x in (first, second) if x], blocks):
             c = self.centres
             near = ((c * c).sum(1) - 2 * block @ c[:, :-1].T).argsort(1, kind="stable")[:, :probes]
             by_cell = {int(j): np.flatnonzero((near == j).any(1)) for j in np.unique(near)}
@@ -175,11 +202,14 @@ class CellIndex:
                     yield from best.batches(qids, d_arrow, pa.string() if q_type == "string" else pa.int64() if q_type == "bigint" else pa.int32())
 
             probed = self.table.filter(F.col("cell").isin([int(j) for j in by_cell]))
-            hits = probed.mapInArrow(run, f"qid {q_type}, did {self.d_type}, score double")
+            hits = ranked(probed.mapInArrow(run, f"qid {q_type}, did {self.d_type}, score double"), k)
+            if second is not None:  # one block live at a time
+                hits = materialize(hits, "hits")
+                shared.destroy()
             out = hits if out is None else out.unionByName(hits)
         if out is None:
             return spark.createDataFrame([], f"qid {q_type}, did {self.d_type}, rank int, score double")
-        return ranked(out, k)
+        return out
 
 
 def overlap(approximate: DataFrame, truth: DataFrame) -> float:

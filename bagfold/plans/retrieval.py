@@ -162,7 +162,9 @@ def text_bags(texts: DataFrame, embeddings: DataFrame, id: str, text: str = "tex
     """
     n = embeddings.count()
     counted = tk.text_tokens(texts, n, id, text).groupBy("id", "vec_id").agg(F.count("*").cast("int").alias("n"))
-    found = counted.join(embeddings.select("vec_id", "embedding"), "vec_id")
+    vectors = embeddings.select("vec_id", "embedding")
+    # a word that many texts have is a hot key of a join by hash
+    found = counted.join(F.broadcast(vectors) if n * 8 * len(embeddings.first().embedding) <= DICTIONARY_BYTES else vectors, "vec_id") if n else counted.join(vectors, "vec_id")
     lists = found.groupBy("id").agg(F.flatten(F.collect_list(F.array_repeat("embedding", F.col("n")))).alias("vecs"))
     return texts.select(F.col(id).alias("id")).join(lists, "id", "left").withColumn("vecs", F.coalesce("vecs", F.expr("cast(array() as array<array<float>>)")))
 
@@ -217,11 +219,9 @@ def encoded_search(documents: DataFrame, queries: DataFrame, words: tuple[np.nda
 
     q_type, d_type = dict(queries.dtypes)["id"], dict(documents.dtypes)["id"]
     encoded = queries.mapInArrow(encode_queries, f"qid {q_type}, vec array<double>")
-    out = None
-    for ids, block in search._query_blocks(encoded):
-        asked = spark.sparkContext.broadcast((ids, block))
 
-        def score(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+    def scored(asked):
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             encode = _counted_encoder(d_config, reps, *shared.value)
             qids, matrix = asked.value
             best, kind = search.Best(len(qids), k), None
@@ -236,11 +236,9 @@ def encoded_search(documents: DataFrame, queries: DataFrame, words: tuple[np.nda
             if kind is not None:
                 yield from best.batches(qids, kind, pa.int64() if q_type == "bigint" else pa.string())
 
-        hits = documents.select("id", "vec_ids", "times").mapInArrow(score, f"qid {q_type}, did {d_type}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    if out is None:
-        return spark.createDataFrame([], f"qid {q_type}, did {d_type}, rank int, score double")
-    return search.ranked(out, k)
+        return score
+
+    return search.by_blocks(search._query_blocks(encoded), documents.select("id", "vec_ids", "times"), scored, f"qid {q_type}, did {d_type}, score double", k)
 
 
 def single_vectors(texts: DataFrame, embeddings: DataFrame, id: str, text: str = "text") -> DataFrame:
@@ -259,6 +257,10 @@ def single_vectors(texts: DataFrame, embeddings: DataFrame, id: str, text: str =
     return bags.select("id", "vecs").mapInArrow(run, f"id {dict(bags.dtypes)['id']}, sv array<double>")
 
 
+#: Runs of words (two numbers each) that are broadcast at most.
+ITEM_RUNS = 1_000_000
+
+
 def shared_passages(documents: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """Judgements (qid, did, rel = 1): documents that share a run of ``words`` words with an item."""
 
@@ -268,5 +270,7 @@ def shared_passages(documents: DataFrame, items: DataFrame, words: int = 8) -> D
         starts = F.sequence(F.lit(1), F.size("w") - words + 1)
         return rows.select(name, F.explode(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice("w", i, F.lit(words)))))).alias("h"))
 
-    left, right = runs(items, "item_id", "qid"), runs(documents, "doc_id", "did")
+    left, right = materialize(runs(items, "item_id", "qid"), "item-runs"), runs(documents, "doc_id", "did")
+    if left.count() <= ITEM_RUNS:  # then no run of a document is shuffled, be it ever so common
+        left = F.broadcast(left)
     return left.join(right, "h").select("qid", "did").distinct().withColumn("rel", F.lit(1))

@@ -84,12 +84,12 @@ def drop_unread(spark: SparkSession) -> None:
     _TABLES[:] = kept
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *folders: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: lineage is cut there, and
-    a lost executor costs a file read instead of everything before it."""
+    a lost executor costs a file read instead of everything before it. ``folders``: last columns, each value in a folder of its own."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     read = out._jdf.queryExecution().analyzed().relation().location()

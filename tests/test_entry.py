@@ -5,10 +5,12 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
 from bagfold import catalog
+from bagfold.operators import search
 
 FOLDER = "/root/testdata/sf0.001"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -37,11 +39,35 @@ def test_query_equals_sql(spark, name):
 @needs_data
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.oracles())))
 def test_query_without_sql_runs(spark, name):
-    if name in ("pipeline_hybrid", "pipeline_mv_only"):
-        pytest.skip("the plans are tested on a small collection; the smallest tables have too few texts for them")
     assert catalog.QUERIES[name](spark, FOLDER).count() > 0
 
 
+@needs_data
+def test_approximate_search_finds_most_of_the_tables(spark):
+    truth, found = (catalog.QUERIES[q](spark, FOLDER).select("qid", "did") for q in ("mips_topk", "ivf_search"))
+    assert search.overlap(found, truth) >= 0.9
+
+
+@needs_data
+def test_eigenvalues_equal_numpy(spark):
+    rows = catalog.docs_e(spark, FOLDER)
+    size = catalog.E.buckets * catalog.E.width
+    grams = {}
+    for r in catalog._encoded_e(spark, FOLDER).collect():
+        x = np.asarray(r.fde, float).reshape(catalog.E.repetitions, size)
+        for b in range(catalog.E.repetitions):
+            grams.setdefault(b, []).append(x[b])
+    values = []
+    for b, x in grams.items():
+        x = np.stack(x)
+        std = x.std(0)
+        x = (x - x.mean(0)) / np.where(std > 0, std + 1e-12, 1.0)
+        values += [(-v, b) for v in np.linalg.eigvalsh(np.cov(x.T))]
+    got = sorted((r.out_pos, r.eigenvalue) for r in catalog.QUERIES["pca_top_eigenvalues"](spark, FOLDER).collect())
+    assert rows.select("id").distinct().count() == len(grams[0])
+    assert [v for _, v in got] == pytest.approx([-v for v, _ in sorted(values)[:20]], abs=1e-5)
+
+
 @needs_data
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
