@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, disclosure, fertility, fingerprint, lines, ngram_join, packing, rules_index, substring, warc
+from . import bpe, disclosure, fertility, fingerprint, lines, ngram_join, packing, prefix_trie, rules_index, substring, warc
 
 QUERIES = {
     "op1_disclosure_sanitiser": disclosure.op1_disclosure_sanitiser,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op2_tokeniser_fertility": fertility.op2_tokeniser_fertility,
     "op3_url_rules": rules_index.op3_url_rules,
     "op4_ngram_join": ngram_join.op4_ngram_join,
@@ -17,6 +18,7 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
 }
 ORACLES = {
+    "op11_prefix_trie": prefix_trie.op11_sql(),
     "op3_url_rules": rules_index.op3_sql(),
     "op4_ngram_join": ngram_join.op4_sql(),
     "op7_warc": warc.op7_sql(),
