@@ -1,14 +1,18 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans (email, ip, card, phone) come from fixed patterns. The values found are the protected entities. Every word of a document that holds an entity is a term;
-over the whole corpus, with documents counted by distinct text,
+Base spans (email, ip, card, phone) come from fixed patterns. The values found are protected entities, on two levels: the value itself and what it belongs to (domain,
+network, dial prefix, issuer). Every word of a document that holds an entity is a term; over the whole corpus, with documents counted by distinct text,
 
-    PMI(e, t) = log2(N n(e, t) / (n(e) n(t)))      IC(e) = log2(N / n(e))
+    PMI(e, t) = log2(N n(e, t) / (n(e) n(t)))      IC(e) = log2(N / n(e))      left(e, t) = log2((n(t) + 1) / n(e, t))
 
-so PMI / IC is the share of the entity's information that the term gives away (1: the term occurs with the entity alone). Terms with two
-texts of evidence at least are generalised from ``GENERALISE`` on and removed from ``REMOVE`` on, wherever they stand in the documents that hold that entity.
-Document frequencies are exact. A term reaches a share only if it stands in few enough texts, and the entities' own texts say how many it has at least;
-the terms that this leaves open are counted in all texts, and a bit map of fixed size over them thins what the count has to shuffle.
+``left`` is how many bits are still missing to the entity for one who knows the term, where each term is taken to stand in one more text without the entity. Terms that leave at
+most ``GENERALISE`` bits are generalised, those that leave at most ``REMOVE`` are removed, wherever they stand in the documents that hold that entity, if PMI is ``LEAST_SHARE`` of IC at least.
+So a term of a single text, which leaves one bit, never goes. A generalised term is replaced by what the value belongs to, or, where that stands in the same texts as the
+value, by its kind.
+
+Entities with the same set of texts are one class, and so are terms; pairs are counted between classes of a text, so a list of many addresses and many words makes few
+pairs. The holders' texts say how many texts a term has at least; the terms that this leaves open are counted exactly in all texts (not at all if there are none), and a bit map of
+fixed size over them thins what the count has to shuffle.
 
 Nulls and defects: a null text is empty; very long ones are taken whole. Rows are told apart by doc_id (null: an own one) and text hash; repeated rows get equal results. Documents
 without personal data stay as they are. Other columns pass by; empty tables give empty results.
@@ -26,9 +30,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, shuffle_width, ship
-from .kernel import LOWER, as_text, binary_array, blocks, mix, per_doc, pieces, run_starts, signed, span_hashes, trim
+from .kernel import LOWER, as_text, blocks, mix, per_doc, pieces, run_starts, signed, span_hashes
 from .keys import small
 from .lines import doc_key
+from .tally import COUNTS, Tally, distinct, totals
 
 # Kinds in their order and patterns.
 KINDS = ["email", "ip", "card", "phone", "generalise", "remove"]
@@ -40,13 +45,15 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MASKS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 
-LEAST_TEXTS, GENERALISE, REMOVE = 2, 0.8, 0.95
+#: Bits that a term may leave to the entity, and the share of the entity's information that it must tell.
+GENERALISE, REMOVE, LEAST_SHARE = 0.9, 0.6, 0.5
 TERM = re.compile(r"[^\W\d_](?:[^\W_]|['’-])*[^\W_]")
-MAP_BITS, COUNT_ROWS = 1 << 22, 4_000_000
+MAP_BITS = 1 << 22
 
-SPAN = "struct<start:int,kind:int,end:int>"
+SPAN = "struct<start:int,kind:int,end:int,label:string>"
 PLACE = "struct<term:long,start:int,end:int>"
-FOUND = f"doc_id long, did long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, entities array<long>, near array<{PLACE}>"
+ENTITY = "struct<entity:long,level:int,kind:int,up:string>"
+FOUND = f"doc_id long, did long, th long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<{SPAN}>, entities array<{ENTITY}>, near array<{PLACE}>"
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -82,11 +89,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def entity_hash(kind: int, value: str) -> int:
+def levels(kind: int, value: str) -> tuple[str, str]:
+    """The value as it is told apart, and what it belongs to: domain, network, issuer or dial prefix."""
+    if kind == 0:
+        own = value.lower()
+        return own, own[own.rindex("@") + 1 :]
+    if kind == 1:
+        own = ".".join(str(int(x)) for x in value.split("."))
+        return own, own[: own.rindex(".")]
+    own = re.sub("[^0-9]", "", value)
+    return own, own[:6] if kind == 2 else f"+{own[:4]}"
+
+
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     import xxhash
 
-    own = value.lower() if kind < 2 else re.sub("[^0-9]", "", value)
-    return xxhash.xxh3_64_intdigest(f"{kind}:{own}".encode()) - (1 << 63)
+    out = {}
+    for a, k, b in spans:
+        own, up = levels(k, text[a:b])
+        for level, value in enumerate((own, up)):
+            h = xxhash.xxh3_64_intdigest(f"{k}:{level}:{value}".encode()) - (1 << 63)
+            out[h] = {"entity": h, "level": level, "kind": k, "up": up}
+    return [out[h] for h in sorted(out)]
 
 
 def term_hash(terms: list[str]) -> np.ndarray:
@@ -123,7 +147,8 @@ def _maybe(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = hashlib.sha256(b"").hexdigest()
     schema = pa.schema([("doc_id", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS[:4]), ("base_sha256", pa.string()),
-                        ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))), ("entities", pa.list_(pa.int64())), ("near", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
+                        ("base", pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))),
+                        ("entities", pa.list_(pa.struct([("entity", pa.int64()), ("level", pa.int32()), ("kind", pa.int32()), ("up", pa.string())]))), ("near", pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])))])
     for batch, buf, off in blocks(batches):  # doc_id, did, th, text
         texts = as_text(batch.column(3))
         maybe = _maybe(buf, off)
@@ -137,22 +162,18 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count[k, i] += 1
             sha[i] = hashlib.sha256(joined(spans).encode()).hexdigest()
             base[i] = [{"start": a, "kind": k, "end": b} for a, k, b in spans]
-            entities[i] = sorted({entity_hash(k, text[a:b]) for a, k, b in spans})
+            entities[i] = entities_of(text, spans)
             if terms := doc_terms(text, spans):
                 hashes = signed(term_hash([t for t, _, _ in terms])).tolist()
                 near[i] = [{"term": h, "start": a, "end": b} for (_, a, b), h in zip(terms, hashes, strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(c) for c in count), pa.array(sha), pa.array(base, schema.field("base").type), pa.array(entities, schema.field("entities").type), pa.array(near, schema.field("near").type)], schema=schema)
 
 
-COUNTS = "bucket int, terms binary, counts binary"
-
-
 def _counts(wanted, buckets: int):
-    """Texts that hold a term whose bit is set, summed over as much of the task as fits in COUNT_ROWS; packed, a row for each bucket of terms."""
+    """Texts of this task that hold a term whose bit is set, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        parts, rows = [], 0
+        bits, tally = wanted.value, Tally(buckets)
         for batch, buf, off in blocks(batches):
             maybe, terms, doc = _maybe(buf, off), [], []
             for i, text in enumerate(as_text(batch.column(0)).to_pylist()):
@@ -168,51 +189,12 @@ def _counts(wanted, buckets: int):
             h, doc = h[hit], doc[hit]
             order = np.lexsort((doc, h))
             h, doc = h[order], doc[order]
-            parts.append(h[run_starts(h, doc)] if len(h) else h)
-            rows += len(parts[-1])
-            if rows >= COUNT_ROWS:
-                yield close(parts)
-                parts, rows = [], 0
-        if parts:
-            yield close(parts)
-
-    def close(parts: list[np.ndarray]) -> pa.RecordBatch:
-        h = np.sort(np.concatenate(parts))
-        first = np.flatnonzero(run_starts(h)) if len(h) else np.zeros(0, np.int64)
-        count = np.diff(np.append(first, len(h))).astype(np.int64)
-        bucket = (mix(h[first]) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bucket, term, count = bucket[order], h[first][order], count[order]
-        lead = np.flatnonzero(run_starts(bucket)) if len(bucket) else np.zeros(0, np.int64)
-        off = np.append(lead, len(bucket)) * 8
-        return pa.RecordBatch.from_arrays([pa.array(bucket[lead].astype(np.int32)), *(binary_array(np.ascontiguousarray(x).view(np.uint8), off) for x in (term, count))], names=["bucket", "terms", "counts"])
+            yield from tally.add(*distinct(h[run_starts(h, doc)] if len(h) else h))
+        yield from tally.close()
 
     return run
 
 
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(term, n) from packed counts; the terms of a bucket are in no other task."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    rows, most = 0, COUNT_ROWS
-
-    def summed() -> tuple[np.ndarray, np.ndarray]:
-        term, place = np.unique(np.concatenate([t for t, _ in held]), return_inverse=True)
-        return term, np.bincount(place, np.concatenate([n for _, n in held])).astype(np.int64)
-
-    for batch in batches:  # terms, counts
-        for t, n in zip(batch.column(0), batch.column(1), strict=True):
-            held.append((np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)))
-            rows += len(held[-1][0])
-        if rows >= most:
-            held = [summed()]
-            rows = len(held[0][0])
-            most = max(COUNT_ROWS, 2 * rows)
-    if held:
-        term, n = summed()
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(n)], names=["term", "n"])
-    trim()
-
-
 def _bit_map(terms: DataFrame) -> np.ndarray:
     """Bits of the terms: at most ``MAP_BITS``, whatever their number."""
 
@@ -227,57 +209,101 @@ def _bit_map(terms: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def most_texts(both: str, n_entity: str, total: int) -> Column:
-    """In how many texts a term may stand for its share to reach GENERALISE (a little more, for rounding)."""
-    return F.col(both) * F.pow(F.lit(float(max(total, 2))) / F.col(n_entity), 1.0 - GENERALISE) * 1.000001
+def left_bits(n_term: str, both: str) -> Column:
+    """How far a term leaves one from the entity."""
+    return F.log2(F.col(n_term) + 1.0) - F.log2(both)
+
+
+def tells(n_term: str, both: str, n_entity: str, total: int) -> Column:
+    """Whether a term is to be generalised or removed."""
+    information = F.log2(F.lit(float(max(total, 1)))) - F.log2(n_entity)
+    pmi = information + F.log2(both) - F.log2(n_term)
+    return (left_bits(n_term, both) <= GENERALISE) & (information > 0) & (pmi >= LEAST_SHARE * information - 1e-9)
 
 
 def _each_text(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``text`` of one of the rows of each text hash; ``found`` is a written table with the rows' keys."""
     keys = found.groupBy("did", "th").agg(F.count("*").alias("rows"))
-    first = keys.groupBy("th").agg(F.min("did").alias("first"))
-    keys = materialize(keys.join(first, "th").filter("did > first or rows > 1").select("did", "th", (F.col("did") > F.col("first")).alias("later")), "copies")
-    later, twice = (small(keys.filter(c).select("did", "th")) for c in ("later", "not later"))
+    first = keys.groupBy("th").agg(F.min("did").alias("did"))
+    later = small(materialize(keys.select("did", "th").join(first, ["did", "th"], "left_anti"), "later-copies"))
+    twice = small(materialize(keys.filter("rows > 1").join(first, ["did", "th"], "left_semi").select("did", "th"), "repeated-rows"))
     once = rows.select("did", "th", "text").join(later, ["did", "th"], "left_anti")
     if not twice.isEmpty():  # of repeated rows one counts
         once = once.join(twice, ["did", "th"], "left_anti").unionByName(once.join(twice, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]))
     return once.select("text")
 
 
-def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """FOUND (without ``entities`` and ``near``) and ``terms``: the spans of disclosing terms."""
-    spark = docs.sparkSession
-    ship(spark)
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *doc_key(doc_id, text), F.col(f"`{text}`").alias("text"))
-    found = materialize(rows.mapInArrow(_find, FOUND), "personal-data")
-    # entities with too few texts can't have a term with enough
-    held = found.filter(F.size("entities") > 0).select("did", "th", F.explode("entities").alias("entity"))
-    owners = held.select("entity", "th").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).filter(F.col("n_entity") >= LEAST_TEXTS)
+def _classes(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (th, key, ...; each pair once) by key: how many texts, and two numbers that stand for the set of texts."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("th")).alias("x"), F.bit_xor(F.xxhash64("th", F.lit(1))).alias("y")).filter("n > 1")
+
+
+def _classed(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``table`` (written, n: rows of the key). Keys of very many rows, of which there are at most ``HOT_KEYS``, are joined by broadcast."""
+    hot = table.filter(F.col("n") > max(HOT_ROWS, (table.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS))
+    if hot.isEmpty():
+        return rows.join(table, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table, key))
+
+
+#: Keys with over a thousandth of the rows, and over so many rows.
+HOT_KEYS, HOT_ROWS = 1000, 10_000
+
+
+def disclosing(found: DataFrame, rows: DataFrame) -> DataFrame | None:
+    """(th, term, kind, label): which terms go in which texts; None if none can."""
+    spark = found.sparkSession
+    first = small(materialize(found.filter(F.size("entities") > 0).groupBy("th").agg(F.min("did").alias("did")).select("did", "th"), "holders"))
+    texts = found.filter(F.size("entities") > 0).select("did", "th", "entities", F.array_distinct(F.col("near.term")).alias("terms")).join(first, ["did", "th"], "left_semi")
+    texts = materialize(texts.dropDuplicates(["did", "th"]).select("th", "entities", "terms"), "holder-texts")
+    held = texts.select("th", F.explode("entities").alias("e")).select("th", "e.*")
+    owners = _classes(held.select("th", "entity"), "entity").join(held.groupBy("entity").agg(F.min("level").alias("level"), F.min("kind").alias("kind"), F.min("up").alias("up")), "entity")
+    # entities of one set of texts are one class; it is called by what its values belong to, if that is one and stands in more texts
     owners = materialize(owners, "entities")
-    held = materialize(held.join(owners.select("entity"), "entity").groupBy("did", "th").agg(F.collect_set("entity").alias("owned")), "holders")
-    first = small(materialize(held.groupBy("th").agg(F.min("did").alias("did")).select("did", "th"), "first-holders"))
-    texts = found.select("did", "th", "near").join(first, ["did", "th"], "left_semi").join(held, ["did", "th"])
-    texts = materialize(texts.select("owned", F.array_distinct(F.col("near.term")).alias("terms")), "holder-terms")
-    pairs = texts.select(F.explode("owned").alias("entity"), "terms").select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= LEAST_TEXTS)
+    if owners.isEmpty():
+        return None
+    mark = F.concat(F.lit("["), F.upper(F.element_at(F.array(*[F.lit(k) for k in KINDS[:4]]), F.col("kind") + 1)))
+    called = F.when((F.max("level") == 0) & (F.min("up") == F.max("up")), F.concat(F.min(mark), F.lit(" "), F.min("up"), F.lit("]"))).otherwise(F.concat(F.min(mark), F.lit("]")))
+    called = materialize(owners.groupBy("n", "x", "y").agg(called.alias("label")).select(F.col("n").alias("n_entity"), F.col("x").alias("ex"), F.col("y").alias("ey"), "label"), "entity-classes")
+    holdings = _classed(held.select("th", "entity"), owners.select("entity", "n", "x", "y"), "entity").select("th", F.col("n").alias("n_entity"), F.col("x").alias("ex"), F.col("y").alias("ey")).distinct()
+    holdings = materialize(holdings, "holdings")
+    # only texts that still have an entity can show a term with it, but all holders' texts count for the term
+    said = texts.select("th", F.explode("terms").alias("term"))
+    terms = materialize(_classes(said, "term"), "terms")
+    places = _classed(said.join(holdings.select("th").distinct(), "th", "left_semi"), terms, "term").select("th", "term", F.col("n").alias("within"), "x", "y")
+    places = materialize(places, "term-places")
     total = found.select("th").distinct().count()
-    pairs = materialize(pairs.join(owners, "entity").withColumn("most", most_texts("both", "n_entity", total)), "entity-terms")
-    # of a term that already the holders' texts have too often, no more need be counted
-    within = texts.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("within"))
-    open_terms = pairs.groupBy("term").agg(F.max("most").alias("most")).join(within, "term").filter(F.col("within") <= F.col("most"))
-    open_terms = materialize(open_terms.select("term", "within"), "open-terms")
+    own = ["within", "x", "y"]
+    # an entity that stands in fewer texts than the term would need isn't tried
+    possible = F.log2(F.col("within") + 1.0) - F.log2("n_entity") <= GENERALISE
+    pairs = places.select("th", *own).distinct().join(holdings, "th").filter(possible).groupBy(*own, "n_entity", "ex", "ey").agg(F.count("*").alias("both"))
+    pairs = materialize(pairs.filter(tells("within", "both", "n_entity", total)), "class-pairs")
+    open_terms = materialize(terms.select("term", F.col("n").alias("within"), "x", "y").join(pairs.select(*own).distinct(), own), "open-terms")
+    if open_terms.isEmpty():
+        return None
     wanted = spark.sparkContext.broadcast(_bit_map(open_terms.select("term")))
     width = shuffle_width(spark)
-    counts = _each_text(rows, found).mapInArrow(_counts(wanted, width), COUNTS).repartitionById(width, "bucket").select("terms", "counts").mapInArrow(_sums, "term long, n long")
-    counts = materialize(open_terms.join(counts, "term", "left").select("term", F.greatest("n", "within").alias("n_term")), "term-counts")
-    share = pairs.join(counts, "term").filter(F.col("n_term") <= F.col("most"))
-    pmi = F.log2(F.lit(float(max(total, 2))) * F.col("both") / (F.col("n_entity") * F.col("n_term")))
-    information = F.log2(F.lit(float(max(total, 2))) / F.col("n_entity"))
-    share = share.withColumn("share", F.when(information > 0, pmi / information).otherwise(0.0)).filter(F.col("share") >= GENERALISE)
-    level = F.when(F.col("share") >= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    told = held.select("did", "th", F.explode("owned").alias("entity")).join(share.select("entity", "term", level.alias("kind")), "entity").groupBy("did", "th", "term").agg(F.max("kind").alias("kind"))
-    places = found.filter(F.size("near") > 0).join(held.select("did", "th"), ["did", "th"], "left_semi").select("did", "th", F.explode("near").alias("c")).select("did", "th", "c.*")
-    told = places.join(told, ["did", "th", "term"]).groupBy("did", "th", "start", "end").agg(F.max("kind").alias("kind"))
-    spans = told.groupBy("did", "th").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
+    counts = totals(_each_text(rows, found).mapInArrow(_counts(wanted, width), COUNTS), width).withColumnRenamed("key", "term")
+    counted = materialize(open_terms.join(counts, "term", "left").withColumn("n_term", F.greatest("n", "within")).drop("n"), "term-counts")
+    level = F.when(left_bits("n_term", "both") <= REMOVE, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
+    told = counted.join(pairs, own).filter(tells("n_term", "both", "n_entity", total)).select("term", "n_entity", "ex", "ey", level.alias("kind"))
+    told = materialize(told, "told")
+    at = places.select("th", "term").join(told, "term").join(holdings, ["th", "n_entity", "ex", "ey"], "left_semi").join(called, ["n_entity", "ex", "ey"])
+    return at.groupBy("th", "term").agg(F.max("kind").alias("kind"), F.min("label").alias("label"))
+
+
+def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """FOUND (without ``entities`` and ``near``) and ``terms``: the spans of disclosing terms."""
+    ship(docs.sparkSession)
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *doc_key(doc_id, text), F.col(f"`{text}`").alias("text"))
+    found = materialize(rows.mapInArrow(_find, FOUND), "personal-data")
+    told = disclosing(found, rows)
+    if told is None:
+        return found.drop("entities", "near").withColumn("terms", F.lit(None).cast(f"array<{SPAN}>"))
+    told = materialize(told, "disclosing")
+    places = found.filter(F.size("near") > 0).join(small(materialize(told.select("th").distinct(), "told-texts")), "th", "left_semi").select("did", "th", F.explode("near").alias("c")).select("did", "th", "c.*")
+    spans = places.join(told, ["th", "term"]).select("did", "th", "start", "kind", "end", "label").distinct()
+    spans = spans.groupBy("did", "th").agg(F.collect_list(F.struct("start", "kind", "end", F.when(F.col("kind") == KINDS.index("generalise"), F.col("label")).alias("label"))).alias("terms"))
     return found.drop("entities", "near").join(spans, ["did", "th"], "left")
 
 
@@ -294,12 +320,12 @@ def op1_disclosure_sanitiser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_spans(personal_data(docs)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
-def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
-    """Each run of overlapping spans becomes the mark of its first."""
+def masked(text: str, spans: list[tuple]) -> str:
+    """Each run of overlapping spans (start, kind, end and perhaps a label) becomes the mark of its first."""
     out, at = [], 0
-    for a, k, b in spans:
+    for a, k, b, *label in spans:
         if a >= at:
-            out += [text[at:a], MASKS[KINDS[k]]]
+            out += [text[at:a], label[0] if label and label[0] else MASKS[KINDS[k]]]
             at = b
         else:
             at = max(at, b)
@@ -313,7 +339,7 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, at):
-            texts = [t if not s else masked(t, [(x["start"], x["kind"], x["end"]) for x in s]) for t, s in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            texts = [t if not s else masked(t, [(x["start"], x["kind"], x["end"], x["label"]) for x in s]) for t, s in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns - 1)], names=schema.names)
 
     did, th = doc_key(doc_id, text)

@@ -15,34 +15,53 @@ from bagfold.llm import disclosure, fertility, fingerprint, kernel, lines, ngram
 # ---- op1
 
 
-def plain_disclosure(texts):
-    """All spans of each text, by PMI over information content with distinct texts counted."""
+def plain_spans(texts):
+    """All spans of each text with labels: bits that a term leaves to the entity, with distinct texts counted and one more text for the term."""
     fold = lambda t: t.translate({c: c + 32 for c in range(65, 91)})
     own, terms = {}, {}
     for t in set(texts):
         spans = disclosure.base_spans(t)
-        own[t] = {(k, t[a:b].lower() if k < 2 else "".join(c for c in t[a:b] if c in "0123456789")) for a, k, b in spans}
+        own[t] = {(k, level, v): up for _, k, (v, up) in ((a, k, disclosure.levels(k, t[a:b])) for a, k, b in spans) for level, v in ((0, v), (1, up))}
         free = [m for m in disclosure.TERM.finditer(t) if all(m.end() <= a or m.start() >= b for a, _, b in spans)]
         terms[t] = [(fold(m.group()), m.start(), m.end()) for m in free]
-    n_entity, n_term, both = Counter(), Counter(), Counter()
+    where_e, where_t = defaultdict(set), defaultdict(set)
     for t in own:
-        words = {w for w, _, _ in terms[t]}
-        n_entity.update(own[t])
-        n_term.update(words)
-        both.update((e, w) for e in own[t] for w in words)
+        for e in own[t]:
+            where_e[e].add(t)
+        for w, _, _ in terms[t]:
+            where_t[w].add(t)
+    classes = defaultdict(list)
+    for e, at in where_e.items():
+        classes[frozenset(at)].append(e)
+    label = {}
+    for at, es in classes.items():
+        ups = {own[next(iter(at))][e] for e in es}
+        mark = min(disclosure.KINDS[k].upper() for k, _, _ in es)
+        label[at] = f"[{mark} {min(ups)}]" if len(ups) == 1 and max(level for _, level, _ in es) == 0 else f"[{mark}]"
     level = {}
-    for (e, w), n in both.items():
-        information = math.log2(max(len(own), 2) / n_entity[e])
-        if n >= 2 and information > 0:
-            share = math.log2(max(len(own), 2) * n / (n_entity[e] * n_term[w])) / information
-            level[e, w] = 5 if share >= 0.95 else 4 if share >= 0.8 else 0
+    for at in classes:
+        for w in {w for t in at for w, _, _ in terms[t]}:
+            both = len(at & where_t[w])
+            left = math.log2((len(where_t[w]) + 1) / both)
+            information = math.log2(len(own) / len(at))
+            if left <= 0.9 and information > 0 and information + math.log2(both / len(where_t[w])) >= 0.5 * information - 1e-9:
+                level[at, w] = 5 if left <= 0.6 else 4
     out = {}
     for t in own:
-        more = [(a, k, b) for w, a, b in terms[t] if (k := max([level.get((e, w), 0) for e in own[t]], default=0))]
-        out[t] = disclosure.joined(sorted(disclosure.base_spans(t) + more))
+        mine = [at for at in classes if t in at]
+        more = []
+        for w, a, b in terms[t]:
+            if found := [(level[at, w], label[at]) for at in mine if (at, w) in level]:
+                kind = max(k for k, _ in found)
+                more.append((a, kind, b, min(x for _, x in found) if kind == 4 else None))
+        out[t] = sorted([(*x, None) for x in disclosure.base_spans(t)] + more, key=lambda x: x[:3])
     return out
 
 
+def plain_disclosure(texts):
+    return {t: disclosure.joined([x[:3] for x in spans]) for t, spans in plain_spans(texts).items()}
+
+
 def disclosing_rows():
     draw = random.Random(11)
     words = [f"w{c}{d}" for c in "abcdefgh" for d in "klmnopqr"]
@@ -52,6 +71,8 @@ def disclosing_rows():
         name, mail = f"Zebul{'abcdefgh'[i]}nia", f"person{i}@mail.example.org"
         rows += [f"“{name}” heading\n{line(12)}\nwrite to {mail}; {name}/Bratt or <b>{name.upper()}</b> {line(5)}", f"{line(9)} {mail}\n\n{'x' * 250} {name}: {line(6)}"]
         rows += [f"{name} alone, {line(8)}"] * (i % 3)
+    rows += [f"Quorlia {line(6)} for q{i % 2}@sub.example.net, {line(5)}" for i in range(6)] + [f"Quorlia {line(9)}"]
+    rows += [f"Xantippe at 10.1.1.7 {line(4)}" for _ in range(3)] + [f"at 10.1.1.9 {line(4)}", "Xantippe " + line(7)]
     rows += [f"call “Zebulon” at +49 30 1234567 {line(k)}" for k in range(1, 4)] * 50
     rows += ["10.0.0.1 " + line(40_000), "x" * 100_000 + " 10.0.0.1"]
     return rows
@@ -65,6 +86,11 @@ def test_op1_spans_equal_plain_shares(spark):
     assert got == {i: want[t] for i, t in enumerate(texts)}
     every = ",".join(got.values())
     assert "remove" in every and "generalise" in every
+    # generalised to what the addresses have in common, or to the kind where that tells no more
+    marked = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    labels = {i: disclosure.masked(t, plain_spans(texts)[t]) for i, t in enumerate(texts) if "Quorlia" in t or "Xantippe" in t}
+    assert all(marked[i] == t for i, t in labels.items())
+    assert any("[EMAIL]" in t and "Quorlia" not in t for t in labels.values()) and any("[IP 10.1.1]" in t for t in labels.values())
     # the name goes wherever it stands in a text that holds the entity, and stays elsewhere
     clean = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
     assert all("zebula" not in clean[i].lower() for i, t in enumerate(texts) if "person0@" in t)

@@ -1,7 +1,7 @@
 """The pipeline against the plain versions of its stages."""
 
 import public_tokenizers
-from test_brute import plain_disclosure, plain_verdicts
+from test_brute import plain_spans, plain_verdicts
 from test_operators import check_packing
 
 import corpus_pipeline
@@ -38,9 +38,8 @@ def test_stages_one_after_another(spark, docs, tables):
             root = ngram_join.op4_brute(before, 5, 80)
             want = [r for r in before if root[r[0]][1] == r[0]]
         else:
-            spans = plain_disclosure([t for _, t in before])
-            parse = lambda s: [(int(a), disclosure.KINDS.index(k), int(b)) for k, a, b in (x.split(":") for x in s.split(",") if x)]
-            want = [(i, disclosure.masked(t, parse(spans[t]))) for i, t in before]
+            spans = plain_spans([t for _, t in before])
+            want = [(i, disclosure.masked(t, spans[t])) for i, t in before]
         assert got == sorted(want), name
         out.write.parquet(f"{folder}/stage{k}.parquet")
         now = spark.read.parquet(f"{folder}/stage{k}.parquet")
