@@ -389,18 +389,12 @@ def _retrieve(spark: SparkSession, d: str, hybrid: bool) -> DataFrame:
     settings = T_SETTINGS
     built = retrieval.offline(corpus, 64, settings, hybrid)
     if hybrid:
-        run = retrieval.online(built, queries, settings.top_k, means_of(corpus), means_of(queries))
+        run = retrieval.online(built, queries, settings.top_k, retrieval.bag_means(corpus, 64), retrieval.bag_means(queries, 64))
     else:
         run = retrieval.online(built, queries, settings.top_k)
     return longs(run.select("qid", "did", "rank", "score"), "rank")
 
 
-def means_of(bags: DataFrame) -> DataFrame:
-    """(id, sv): mean vectors of bags."""
-    total = F.aggregate("vecs", F.array_repeat(F.lit(0.0), 64), lambda s, v: F.zip_with(s, v, lambda x, y: x + y.cast("double")))
-    return bags.select("id", F.transform(total, lambda x: x / F.greatest(F.size("vecs"), F.lit(1))).alias("sv"))
-
-
 def pipeline_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return _retrieve(spark, d, True)
 
@@ -422,7 +416,7 @@ def flagship_run(spark: SparkSession, d: str) -> DataFrame:
     else:
         q = enc.encode(retrieval.text_bags(items, vectors, "item_id"), FLAGSHIP, kind="query").select(F.col("id").alias("qid"), F.col("fde").alias("vec"))
         x = enc.encode(retrieval.text_bags(docs, vectors, "doc_id"), FLAGSHIP, kind="document").select(F.col("id").alias("did"), F.col("fde").alias("vec"))
-        hits = search.exact(q, x, 10)
+        hits = search.exact(q, x, 10, retrieval.ROUNDED)
     return longs(hits.select("qid", "did", "rank"), "rank")
 
 
@@ -550,6 +544,32 @@ rk AS (SELECT qid, did, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 SELECT qid, did, rank::BIGINT AS rank FROM rk WHERE rank <= 10"""
 
 
+def _sql_adaptive() -> str:
+    w1, b1, w2, b2 = fusion.QueryAdaptive.seeded()._unpack()
+    rows = lambda x: ", ".join(f"({', '.join(map(str, at))}, {float(v)!r})" for at, v in np.ndenumerate(x))
+    return _select(
+        f"""{SQL_E},
+w1(j, h, y) AS (VALUES {rows(w1)}), b1(h, y) AS (VALUES {rows(b1)}), w2(h, o, y) AS (VALUES {rows(w2)}), b2(o, y) AS (VALUES {rows(b2)}),
+part AS (SELECT id, 0 AS o, i, x FROM qm UNION ALL SELECT id, 1, i, x FROM qx WHERE pos = 0),
+both AS (SELECT id FROM part GROUP BY id HAVING count(DISTINCT o) = 2),
+st AS (SELECT id, o AS j, avg(abs(x)) AS v FROM part GROUP BY id, o UNION ALL SELECT id, o + 2, sqrt(sum(x * x)) FROM part GROUP BY id, o),
+mid AS (SELECT id, h, greatest(sum(v * w1.y) + b1.y, 0) AS v FROM st JOIN w1 USING (j) JOIN b1 USING (h) GROUP BY id, h, b1.y),
+gate AS (SELECT id, o, 0.5 + 1 / (1 + exp(-(sum(v * w2.y) + b2.y))) AS w FROM mid JOIN w2 USING (h) JOIN b2 USING (o) GROUP BY id, o, b2.y)""",
+        f"SELECT * FROM (SELECT id, (i + 64 * o)::BIGINT AS i, {R6.format('x * w')} AS value FROM part JOIN gate USING (id, o) WHERE id IN (SELECT id FROM both)) WHERE value <> 0",
+    )
+
+
+_PASSAGES = _select(
+    f"d AS (SELECT doc_id AS did, {_WORDS} AS w FROM documents), q AS (SELECT item_id AS qid, {_WORDS} AS w FROM benchmark), ds AS (SELECT DISTINCT did, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT did, w, unnest(range(1, len(w) - 6)) AS i FROM d)), qs AS (SELECT DISTINCT qid, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT qid, w, unnest(range(1, len(w) - 6)) AS i FROM q))",
+    "SELECT DISTINCT qid, did, 1::BIGINT AS rel FROM qs JOIN ds USING (s)",
+)
+
+
+def _sql_flagship_retrieval() -> str:
+    tail = _METRICS.removeprefix(_JUDGED).replace(f"unnest({KS})", "unnest([10])")
+    return f"WITH found AS ({_sql_flagship()}),\nqrels AS ({_PASSAGES}),\nrun AS (SELECT qid, did, 11.0 - rank AS score FROM found){tail}\n{_METRIC_ROWS}"
+
+
 def oracles() -> dict[str, str]:
     base = sql_sketch()
     out = {
@@ -590,10 +610,9 @@ def oracles() -> dict[str, str]:
         "positive_lists": _select(f"{_JUDGED}, {_POSITIVES}", "SELECT qid, did FROM positives"),
         "hard_negatives": _select(f"{_JUDGED.replace('rank <= 12', 'rank <= 20')}, {_POSITIVES}", "SELECT qid, did, rank::BIGINT AS rank FROM hits h WHERE qid IN (SELECT qid FROM positives) AND NOT EXISTS (SELECT 1 FROM positives p WHERE p.qid = h.qid AND p.did = h.did)"),
         "flagship_run": _sql_flagship(),
-        "shared_passages": _select(
-            f"d AS (SELECT doc_id AS did, {_WORDS} AS w FROM documents), q AS (SELECT item_id AS qid, {_WORDS} AS w FROM benchmark), ds AS (SELECT DISTINCT did, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT did, w, unnest(range(1, len(w) - 6)) AS i FROM d)), qs AS (SELECT DISTINCT qid, array_to_string(w[i:i + 7], ' ') AS s FROM (SELECT qid, w, unnest(range(1, len(w) - 6)) AS i FROM q))",
-            "SELECT DISTINCT qid, did, 1::BIGINT AS rel FROM qs JOIN ds USING (s)",
-        ),
+        "shared_passages": _PASSAGES,
+        "flagship_retrieval": _sql_flagship_retrieval(),
+        "adaptive_scales": _sql_adaptive(),
     }
     for same, as_ in (("partition_counts_bags", "partition_counts"), ("fde_tokens", "fde_doc_avg"), ("fde_fill_tokens", "fde_fill_empty"), ("final_count_sketch_tokens", "final_count_sketch"), ("mips_topk_columns", "mips_topk")):
         out[same] = out[as_]

@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 from .config import dataset_settings
-from .operators import metrics
+from .operators import graph, metrics
 from .plans import retrieval
 from .sources import collections as source
 
@@ -45,7 +45,9 @@ def arguments(given: list[str] | None = None) -> argparse.Namespace:
     parse.add_argument("--repetitions", type=int)
     parse.add_argument("--bits", type=int)
     parse.add_argument("--cells", type=int, help="search approximately, with so many cells")
-    parse.add_argument("--probes", type=int, default=8)
+    parse.add_argument("--probes", type=int, help="cells that a query searches; five in six if not given")
+    parse.add_argument("--index", help="search approximately along the graph saved here; built first if there is none")
+    parse.add_argument("--beam", type=int, default=graph.BEAM)
     parse.add_argument("--hybrid", action=argparse.BooleanOptionalAction, default=True)
     parse.add_argument("--train-fusion", action="store_true")
     parse.add_argument("--fusion-epochs", type=int, default=20)
@@ -75,7 +77,7 @@ def main(given: list[str] | None = None, spark: SparkSession | None = None) -> d
             _, _, t_queries, t_sv = source.load_embeddings(spark, root, args.dataset, args.mv_encoder, args.sv_encoder, "train")
             fused, _ = retrieval.fit_fusion(built, t_queries, source.load_qrels(spark, folder, "train"), d_sv, t_sv, args.top_k, args.fusion_negatives, args.fusion_epochs, args.fusion_rate, args.seed)
     with step("online", taken):
-        run = retrieval.online(built, queries, args.top_k, d_sv, q_sv, fused, args.cells, args.probes)
+        run = retrieval.online(built, queries, args.top_k, d_sv, q_sv, fused, args.cells, args.probes, args.index, args.beam)
         rows = metrics.evaluate(run, qrels, [10]).collect()
     out = {"metrics": {f"{r.metric}@{r.k}": r.value for r in rows}, "seconds": taken, "queries_per_second": queries.count() / taken["online"]}
     print(json.dumps(out))

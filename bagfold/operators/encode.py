@@ -21,6 +21,10 @@ from ..functions import randmat, sketch
 from ..runtime import ship
 
 
+#: A step along an axis of the bit cube, above any place in a bag; and a distance beyond all.
+_FARTHER, _NOWHERE = 1 << 40, 1 << 62
+
+
 class Encoder:
     """Matrices of the chosen repetitions and the encoding of NumPy bags."""
 
@@ -68,15 +72,22 @@ class Encoder:
         return out, counts, parts
 
     def _fill(self, out: np.ndarray, counts: np.ndarray, projected: np.ndarray, bits: np.ndarray, offsets: np.ndarray) -> None:
-        """An empty bucket takes its bag's vector of least bit distance, the first of equals."""
-        every = np.arange(self.config.buckets)
+        """An empty bucket takes its bag's vector of least bit distance, the first of equals.
+
+        Each corner of the bit cube starts with its first vector; a sweep along every axis then leaves the nearest one everywhere, by distance and place.
+        """
+        n, every = len(counts), np.arange(self.config.buckets)
         aim = every ^ (every >> 1) if self.config.fill_target is FillTarget.INVERSE else self.parts(every)
-        for i in np.flatnonzero(np.diff(offsets)).tolist():
-            lo, hi = offsets[i], offsets[i + 1]
-            empty = np.flatnonzero(counts[i] == 0)
-            if len(empty):
-                nearest = np.bitwise_count(bits[lo:hi, None] ^ aim[None, empty]).argmin(0)
-                out[i, empty] = projected[lo + nearest]
+        owner = np.repeat(np.arange(n), np.diff(offsets))
+        place = np.arange(len(bits)) - offsets[owner]
+        near = np.full((n, self.config.buckets), _NOWHERE, np.int64)
+        corner, first = np.unique(owner * self.config.buckets + bits, return_index=True)
+        near.ravel()[corner] = place[first]
+        for j in range(self.config.bits):
+            pair = near.reshape(n, -1, 2, 1 << j)
+            np.minimum(pair, pair[:, :, ::-1] + _FARTHER, out=pair)
+        bag, part = np.nonzero((counts == 0) & (np.diff(offsets) > 0)[:, None])
+        out[bag, part] = projected[offsets[bag] + (near[bag, aim[part]] & (_FARTHER - 1))]
 
     def encode_counted(self, look: tuple[np.ndarray, list[np.ndarray]], which: np.ndarray, times: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bags of dictionary vectors with multiplicities -> dense (bags, reps, buckets, width); ``look`` is ``looked_up``."""
@@ -116,7 +127,8 @@ class Encoder:
 
 def bag_arrays(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
     """Points and offsets of an Arrow column of bags; null bags are empty."""
-    off = np.concatenate([[0], np.cumsum(np.array([len(b) if b.is_valid else 0 for b in column], np.int64))]).astype(np.int64)
+    size = np.where(np.asarray(column.is_valid()), np.diff(np.asarray(column.offsets)), 0)  # flatten() leaves out what a null bag may hold
+    off = np.append(0, np.cumsum(size)).astype(np.int64)
     flat = column.flatten()
     widths = np.diff(np.asarray(flat.offsets)) if len(flat) else np.zeros(0)
     if len(flat) and not (widths == dimension).all():
@@ -202,14 +214,21 @@ def encode_tokens(tokens: DataFrame, config: EncoderConfig, reps: list[int] | No
 
 
 def filled(tokens: DataFrame, config: EncoderConfig, reps: list[int] | None = None) -> DataFrame:
-    """Numbers of the empty buckets of every bag: those of the nearest vector by bits, the first of equals."""
-    marked = sketched(tokens, config, reps)
-    present = marked.groupBy("id", "rep").agg(F.collect_set("part").alias("parts"))
+    """Numbers of the empty buckets of every bag: those of the nearest vector by bits, the first of equals.
+
+    A bag's corners of the bit cube are one array for a repetition, swept along every axis; the vectors come in at the end, by their places.
+    """
+    marked = sketched(tokens, config, reps).select("id", "rep", "pos", "value", "part")
+    corners = marked.groupBy("id", "rep", "value", "part").agg(F.min("pos").cast("long").alias("first"))
+    bags = corners.groupBy("id", "rep").agg(F.map_from_entries(F.collect_list(F.struct("value", "first"))).alias("first"), F.collect_set("part").alias("parts"))
     every = F.sequence(F.lit(0), F.lit(config.buckets - 1))
-    empty = present.select("id", "rep", F.explode(F.array_except(every, "parts")).alias("part"))
-    far = sketch.bucket_distance(F.col("value"), F.col("part"), config.bits, config.fill_target is FillTarget.INVERSE)
-    nearest = empty.join(marked.select("id", "rep", "pos", "value", "vec"), ["id", "rep"]).groupBy("id", "rep", "part").agg(F.min_by("vec", F.struct(far.alias("far"), F.col("pos"))).alias("vec"))
-    return _projected(nearest, config, reps).groupBy("id", "rep", "part", F.col("target").alias("i")).agg(F.sum("x").alias("value"))
+    start = F.transform(every, lambda b: F.coalesce(F.col("first")[b], F.lit(_NOWHERE)))
+    step = lambda near, j: F.transform(near, lambda x, b: F.least(x, F.get(near, b.bitwiseXOR(F.call_function("shiftleft", F.lit(1), j))) + F.lit(_FARTHER)))
+    near = F.aggregate(F.sequence(F.lit(0), F.lit(config.bits - 1)), start, step) if config.bits else start
+    bags = bags.select("id", "rep", near.alias("near"), F.explode(F.array_except(every, "parts")).alias("part"))
+    aim = F.col("part").bitwiseXOR(F.shiftright("part", 1)) if config.fill_target is FillTarget.INVERSE else sketch.prefix_xor(F.col("part"), config.bits).cast("int")
+    nearest = bags.select("id", "rep", "part", F.get("near", aim).bitwiseAND(F.lit(_FARTHER - 1)).alias("pos")).join(tokens.select("id", F.col("pos").cast("long").alias("pos"), "vec"), ["id", "pos"])
+    return _projected(nearest.select("id", "rep", "part", "vec"), config, reps).groupBy("id", "rep", "part", F.col("target").alias("i")).agg(F.sum("x").alias("value"))
 
 
 def count_sketched(long: DataFrame, config: EncoderConfig, reps: list[int] | None = None) -> DataFrame:

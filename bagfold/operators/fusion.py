@@ -3,21 +3,24 @@
 Three models are trained on pairs of a positive and a negative document of a query, with loss mean softplus(-(s(q, p) - s(q, n))) and a pull
 towards scales of 1. What a model needs of a triple (q, p, n) is small and is computed once by Spark: two differences of inner products, with four
 statistics of the query for the adaptive model, or the products number by number for the per-dimension model.
-Each step sums gradients over the partitions (their size doesn't grow with the data) and the driver updates with AdamW.
+An epoch is one job: rows are sorted by batch within partitions, and the tasks of a barrier stage stream them, add up their gradients at each batch's end (messages whose size doesn't
+grow with the data) and take the same AdamW step each. Negatives are drawn anew for each epoch by a counter-based sampler: the same in every run, always as many as asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import base64
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sketch
-from ..runtime import materialize, ship
+from ..runtime import materialize, ship, shuffle_width
 from .encode import float_lists
 from .pca import vectors_of
 
@@ -61,32 +64,94 @@ def hard_top_k(top_k: int, documents: int) -> int:
     return min(max(100, 50 * top_k), documents)
 
 
-def sampled_negatives(found: DataFrame, documents: DataFrame, hard: DataFrame | None, n: int, seed: int, hard_share: float = 0.8) -> DataFrame:
-    """(qid, did): up to ``n`` negatives of each query, about ``hard_share`` of them hard ones, the others from all documents.
+@dataclass
+class Negatives:
+    """What negatives are drawn from: ``documents`` (number from 0, did) and ``queries`` (qid, own: numbers of relevant documents, hard: numbers of mined ones)."""
 
-    Both are taken in order of a seeded hash. Uniform ones come from 4 n draws a query, each a hashed place in the numbered documents, so that no
-    query meets all documents. A query to which every document is relevant is an error, not an endless search.
-    """
-    queries = found.select("qid").distinct()
-    total = documents.count()
-    full = found.groupBy("qid").agg(F.count("*").alias("n")).filter(F.col("n") >= total)
-    if not full.isEmpty():
+    documents: DataFrame
+    queries: DataFrame
+    total: int
+
+
+def negative_pools(found: DataFrame, documents: DataFrame, hard: DataFrame | None = None) -> Negatives:
+    """Documents are numbered in order of their ids. A query to which every document is relevant is an error, not an endless search."""
+    spark = documents.sparkSession
+    ship(spark)
+    ranged = documents.select("did").distinct().repartitionByRange(shuffle_width(spark), "did").sortWithinPartitions("did")
+    rows = materialize(ranged.select("did", F.spark_partition_id().alias("range"), F.monotonically_increasing_id().alias("nth")), "numbered")
+    first, total = {}, 0
+    for r in sorted(rows.groupBy("range").agg(F.count("*").alias("n"), F.min("nth").alias("least")).collect(), key=lambda r: r.range):  # one row a range
+        first[r.range] = total - r.least
+        total += r.n
+    place = F.create_map(*[F.lit(x) for r, n in first.items() for x in (r, n)]) if first else None
+    numbered = materialize(rows.select("did", (F.col("nth") + place[F.col("range")]).alias("number")) if first else rows.select("did", F.col("nth").alias("number")), "numbers")
+    lists = lambda pairs, name: pairs.select("qid", "did").distinct().join(numbered, "did").groupBy("qid").agg(F.sort_array(F.collect_list("number")).alias(name))
+    queries = lists(found, "own")
+    none = F.expr("cast(array() as array<bigint>)")
+    if hard is None:
+        queries = queries.withColumn("hard", none)
+    else:
+        queries = queries.join(lists(hard, "hard"), "qid", "left").withColumn("hard", F.array_except(F.coalesce("hard", none), "own"))
+    queries = materialize(queries, "pools")
+    if not queries.filter(F.size("own") >= total).isEmpty():
         raise ValueError("every document is relevant to a query, so it has no negatives")
-    want_hard = int(round(n * hard_share)) if hard is not None else 0
-    by_hash = Window.partitionBy("qid").orderBy(F.xxhash64("qid", "did", F.lit(seed)), "did")
-    parts = []
-    if hard is not None:
-        parts.append(hard.select("qid", "did").withColumn("turn", F.row_number().over(by_hash)).filter(F.col("turn") <= want_hard).select("qid", "did"))
-    numbered = documents.select("did").withColumn("lane", F.pmod(F.xxhash64("did", F.lit(seed)), F.lit(1024)))
-    numbered = numbered.withColumn("place", F.row_number().over(Window.partitionBy("lane").orderBy("did")))
-    lanes = numbered.groupBy("lane").agg(F.count("*").alias("size"))
-    draws = queries.select("qid", F.explode(F.sequence(F.lit(1), F.lit(4 * n))).alias("turn"))
-    draws = draws.withColumn("lane", F.pmod(F.xxhash64("qid", "turn", F.lit(seed + 1)), F.lit(1024))).join(lanes, "lane")
-    draws = draws.withColumn("place", F.pmod(F.xxhash64("qid", "turn", F.lit(seed + 2)), "size") + 1)
-    uniform = draws.join(numbered, ["lane", "place"]).select("qid", "did").distinct().join(found, ["qid", "did"], "left_anti")
-    parts.append(uniform.withColumn("turn", F.row_number().over(by_hash)).filter(F.col("turn") <= n - want_hard).select("qid", "did"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.distinct()
+    return Negatives(numbered, queries, total)
+
+
+def _scattered(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: what a counter draws."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def drawn_numbers(key: int, own: np.ndarray, hard: np.ndarray, n: int, want_hard: int, total: int) -> np.ndarray:
+    """``n`` negatives of a query: ``want_hard`` of its mined ones as far as there are, the others from all documents but its own; different ones, while there are enough.
+
+    ``key`` is the only source of chance: turn t draws the finalised key + t.
+    """
+    step = np.uint64(0x9E3779B97F4A7C15)
+    turns = lambda lo, hi: _scattered(np.uint64(key) + step * np.arange(lo, hi, dtype=np.uint64))
+    taken = hard[np.argsort(turns(0, len(hard)), kind="stable")[:want_hard]]
+    missing, free = n - len(taken), total - len(own) - len(taken)
+    banned = np.concatenate([own, taken])
+    picked = np.zeros(0, np.int64)
+    at = len(hard)
+    while len(picked) < min(missing, free):
+        if 4 * missing >= free:  # most of the pool is wanted: order what is left of it, which is then short
+            left = np.setdiff1d(np.arange(total), banned)
+            picked = left[np.argsort(turns(at, at + len(left)), kind="stable")[:missing]]
+            break
+        more = (turns(at, at + 2 * missing) % np.uint64(total)).astype(np.int64)
+        at += 2 * missing
+        both = np.concatenate([picked, more[~np.isin(more, banned)]])
+        picked = both[np.sort(np.unique(both, return_index=True)[1])][:missing]
+    out = np.concatenate([taken, picked])
+    return np.resize(out, n)  # of a pool that is too small, in turn again
+
+
+def drawn_negatives(pools: Negatives, n: int, seed: int, epoch: int, hard_share: float = 0.8) -> DataFrame:
+    """(qid, did): exactly ``n`` rows of each query, none relevant; the same in every run, others in each epoch."""
+    want = int(round(n * hard_share))
+    total = pools.total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(1).to_numpy().view(np.uint64).tolist()
+            lists = [[np.asarray(x.values) for x in batch.column(c)] for c in (2, 3)]
+            numbers = [drawn_numbers(k, own.astype(np.int64), hard.astype(np.int64), n, want, total) for k, own, hard in zip(keys, *lists, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n))), pa.array(np.concatenate(numbers))], names=["qid", "number"])
+
+    key = F.xxhash64("qid", F.lit(seed), F.lit(epoch)).alias("key")
+    out = pools.queries.select("qid", key, "own", "hard").mapInArrow(run, f"qid {dict(pools.queries.dtypes)['qid']}, number long")
+    return out.join(pools.documents, "number").select("qid", "did")
+
+
+def sampled_negatives(found: DataFrame, documents: DataFrame, hard: DataFrame | None, n: int, seed: int, hard_share: float = 0.8) -> DataFrame:
+    """(qid, did): the different ones of one draw of ``n`` negatives for each query."""
+    return drawn_negatives(negative_pools(found, documents, hard), n, seed, 0, hard_share if hard is not None else 0.0).distinct()
 
 
 def triples(found: DataFrame, negatives: DataFrame, queries: DataFrame, documents: DataFrame, normalise_parts: bool) -> DataFrame:
@@ -240,40 +305,63 @@ class AdamW:
         return raw * (1 - self.rate * self.decay) - self.rate * m / (np.sqrt(v) + 1e-8)
 
 
-def train(model, rows: DataFrame, epochs: int = 30, batches: int = 1, rate: float = 1e-3, decay: float = 1e-4, seed: int = 42) -> list[float]:
-    """Fit ``model`` (changed in place) to ``triples``; returns the mean loss of each epoch.
+def _epoch(shared, batches: int):
+    """Rows (batch, x), sorted by batch, in a barrier stage: all tasks take the epoch's steps together; the first one yields where they end."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, optimiser = shared.value
+        context = BarrierTaskContext.get()
+        held, now, seen = [0.0, 0.0, 0], 0, 0.0
+
+        def step() -> float:
+            sums = np.append(np.broadcast_to(held[0], model.raw.shape), [held[1], held[2]]).astype(float)
+            told = context.allGather(base64.b64encode(sums.tobytes()).decode())
+            every = np.sum([np.frombuffer(base64.b64decode(t)) for t in told], 0)
+            if not every[-1]:
+                return 0.0
+            pull, more = model.pulled()
+            model.raw = optimiser.step(model.raw, every[:-2] / every[-1] + pull)
+            return every[-2] / every[-1] + more
+
+        for part in parts:
+            if not part.num_rows:
+                continue
+            batch, x = part.column(0).to_numpy(), vectors_of(part.column(1))
+            for b in np.unique(batch).tolist():
+                while now < b:
+                    seen, held, now = seen + step(), [0.0, 0.0, 0], now + 1
+                own = x[batch == b]
+                g, one = model.gradient(own)
+                held = [held[0] + g, held[1] + one, held[2] + len(own)]
+        while now < batches:
+            seen, held, now = seen + step(), [0.0, 0.0, 0], now + 1
+        if context.partitionId() == 0:
+            yield pa.RecordBatch.from_arrays([float_lists(x[None]) for x in (model.raw, optimiser.m, optimiser.v)] + [pa.array([optimiser.t], pa.int64()), pa.array([seen / batches])], names=["raw", "m", "v", "t", "loss"])
+
+    return run
+
 
-    An epoch has ``batches`` steps, over queries dealt anew by a seeded hash. Features are written once.
+def train(model, rows: DataFrame | Callable[[int], DataFrame], epochs: int = 30, batches: int = 1, rate: float = 1e-3, decay: float = 1e-4, seed: int = 42) -> list[float]:
+    """Fit ``model`` (changed in place) to ``triples``, or to those that ``rows`` gives for each epoch; returns the mean loss of each epoch.
+
+    An epoch is one job of ``batches`` steps, over queries dealt anew by a seeded hash. The tasks of a job run at the same time, so there are no more of them than cores.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    features = materialize(type(model).features(rows), "triples")
+    fixed = None
+    if isinstance(rows, DataFrame):
+        ship(rows.sparkSession)
+        fixed = materialize(type(model).features(rows), "triples")
     optimiser, losses = AdamW(len(model.raw), rate, decay), []
     for epoch in range(epochs):
-        seen = 0.0
-        for b in range(batches):
-            shared = spark.sparkContext.broadcast(model)
-
-            def sums(parts: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                gradient, loss, n = 0.0, 0.0, 0
-                for part in parts:
-                    if part.num_rows:
-                        g, one = shared.value.gradient(vectors_of(part.column(0)))
-                        gradient, loss, n = gradient + g, loss + one, n + part.num_rows
-                if n:
-                    yield pa.RecordBatch.from_arrays([float_lists(gradient[None]), pa.array([loss]), pa.array([n])], names=["gradient", "loss", "n"])
-
-            batch = features.filter(F.pmod(F.xxhash64("qid", F.lit(seed + epoch)), F.lit(batches)) == b) if batches > 1 else features
-            parts = batch.select("x").mapInArrow(sums, "gradient array<double>, loss double, n long").collect()  # one row a partition
-            shared.unpersist()
-            n = sum(p.n for p in parts)
-            if not n:
-                continue
-            pull, more = model.pulled()
-            gradient = sum(np.asarray(p.gradient) for p in parts) / n + pull
-            seen += sum(p.loss for p in parts) / n + more
-            model.raw = optimiser.step(model.raw, gradient)
-        losses.append(seen / batches)
+        features = fixed if fixed is not None else type(model).features(rows(epoch))
+        spark = features.sparkSession
+        ship(spark)
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, shuffle_width(spark)))
+        shared = spark.sparkContext.broadcast((model, optimiser))
+        dealt = features.select(F.pmod(F.xxhash64("qid", F.lit(seed + epoch)), F.lit(batches)).cast("int").alias("batch"), "x").repartition(tasks).sortWithinPartitions("batch")
+        end = dealt.mapInArrow(_epoch(shared, batches), "raw array<double>, m array<double>, v array<double>, t long, loss double", barrier=True).collect()[0]
+        shared.unpersist()
+        model.raw, optimiser.m, optimiser.v, optimiser.t = np.array(end.raw), np.array(end.m), np.array(end.v), end.t
+        losses.append(end.loss)
     return losses
 
 

@@ -1,16 +1,15 @@
 """Maximum inner product search.
 
-``exact`` scores every document. Queries are broadcast in blocks of checked size; a partition keeps the best k of each query while it
-streams, and the partitions' lists are ranked per query. Where there are several blocks, the documents' vectors are written once, and each block's hits before the
-next block is sent, so that one block is live at a time. ``exact_sql`` is the same in column expressions, for at most ``SMALL_PAIRS``. ``ivf`` scores the documents
-of the cells nearest to a query: cells come from k-means on a bounded sample, after the usual step from inner product to distance; it replaces a
-graph index, which has no counterpart here, and is a different algorithm. The documents lie in a folder for each cell, so only those of probed cells are read. Equal scores rank by id; there are never more hits than documents.
+``exact`` scores every document in one block join (``blockjoin``): no query passes through the driver, and documents are read once. ``exact_pruned`` gives the same rows and skips what
+norms rule out. ``exact_sql`` is the same in column expressions: documents of a cell become one array, whose best k are taken per query.
+``CellIndex`` scores the documents of the cells nearest to a query: cells come from k-means on a bounded sample, after the usual step from inner product to distance. The documents lie
+in a folder for each cell, so only those of probed cells are read. ``graph`` has the index whose cells are searched along a neighbour graph.
+Equal scores rank by id; there are never more hits than documents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,112 +17,43 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sketch
-from ..runtime import materialize, ship
+from ..runtime import materialize, ship, shuffle_width
+from . import blockjoin
+from .blockjoin import ranked
 from .pca import vectors_of
 
-#: Bytes of one broadcast block of queries.
-QUERY_BYTES = 64 << 20
-#: Documents (about) at most that k-means sees, and files at most of one cell's folder.
-SAMPLE_ROWS, CELL_FILES = 50_000, 8
-#: Pairs of a query and a document at most that ``exact_sql`` takes.
-SMALL_PAIRS = 4_000_000
-
-
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Queries (qid, vec) in blocks of at most QUERY_BYTES, one by one on the driver."""
-    ids, rows, size = [], [], 0
-    for row in queries.select("qid", "vec").toLocalIterator():
-        x = np.asarray(row.vec, float)
-        ids.append(row.qid)
-        rows.append(x)
-        size += x.nbytes
-        if size >= QUERY_BYTES:
-            yield ids, np.stack(rows)
-            ids, rows, size = [], [], 0
-    if ids:
-        yield ids, np.stack(rows)
-
-
-class Best:
-    """The k best hits of each query so far, by score and then id."""
-
-    def __init__(self, queries: int, k: int):
-        self.k, self.score, self.id = k, [np.zeros(0)] * queries, [np.zeros(0, object)] * queries
-
-    def add(self, q: int, score: np.ndarray, ids: np.ndarray) -> None:
-        if len(score) > self.k:
-            cut = np.partition(score, len(score) - self.k)[len(score) - self.k]
-            keep = score >= cut
-            score, ids = score[keep], ids[keep]
-        score, ids = np.concatenate([self.score[q], score]), np.concatenate([self.id[q], ids])
-        order = np.lexsort((ids, -score))[: self.k]
-        self.score[q], self.id[q] = score[order], ids[order]
-
-    def batches(self, qids: list, id_type: pa.DataType, qid_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-        q = [qids[i] for i, s in enumerate(self.score) for _ in range(len(s))]
-        if q:
-            yield pa.RecordBatch.from_arrays([pa.array(q, qid_type), pa.array(np.concatenate(self.id).tolist(), id_type), pa.array(np.concatenate(self.score))], names=["qid", "did", "score"])
-
-
-def ranked(hits: DataFrame, k: int) -> DataFrame:
-    """(qid, did, rank from 1, score): the k best of each query."""
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("qid", "did", "rank", "score")
-
-
-def exact(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """The best k of ``documents`` (did, vec) for each of ``queries`` (qid, vec)."""
-    spark = documents.sparkSession
-    ship(spark)
-    q_type, d_type = dict(queries.dtypes)["qid"], dict(documents.dtypes)["did"]
-    schema = f"qid {q_type}, did {d_type}, score double"
+#: Documents (about) at most that k-means sees, and documents of one cell's matrix at most; a larger cell has several.
+SAMPLE_ROWS, LOT_ROWS = 50_000, 32_768
+#: Documents (about) of one array of ``exact_sql``, and queries that a lot answers at once.
+ARRAY_ROWS, QUERIES = 128, 64
 
-    def scored(shared):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, matrix = shared.value
-            best, d_arrow = Best(len(qids), k), None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                d_arrow = batch.column(0).type
-                scores = matrix @ vectors_of(batch.column(1)).T
-                own = np.array(batch.column(0).to_pylist(), object)
-                for i in range(len(qids)):
-                    best.add(i, scores[i], own)
-            if d_arrow is not None:
-                yield from best.batches(qids, d_arrow, pa.string() if q_type == "string" else pa.int64() if q_type == "bigint" else pa.int32())
 
-        return run
+def _row_bytes(vectors: DataFrame) -> int:
+    first = vectors.select(F.size("vec")).first()
+    return 8 * max(first[0], 1) if first else 8
 
-    return by_blocks(_query_blocks(queries), documents.select("did", "vec"), scored, schema, k)
 
+def exact(queries: DataFrame, documents: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """The best k of ``documents`` (did, vec) for each of ``queries`` (qid, vec). ``digits`` rounds scores, so that copies tie."""
+    documents = documents.select("did", F.col("vec").cast("array<double>").alias("vec"))
+    return blockjoin.block_join(queries, documents, k, _row_bytes(documents), digits=digits)
 
-def by_blocks(blocks: Iterator[tuple], documents: DataFrame, scored: Callable, schema: str, k: int) -> DataFrame:
-    """The best ``k`` hits of the queries of all ``blocks``; ``scored`` makes the function over ``documents`` from a block that was broadcast.
 
-    A single block is left lazy. Of several, each is scored over the written documents and dropped before the next is sent.
-    """
-    spark = documents.sparkSession
-    first, second = next(blocks, None), next(blocks, None)
-    if first is None:
-        return ranked(spark.createDataFrame([], schema), k)
-    if second is None:
-        return ranked(documents.mapInArrow(scored(spark.sparkContext.broadcast(first)), schema), k)
-    documents, out = materialize(documents, "searched"), None
-    for block in chain((first, second), blocks):
-        shared = spark.sparkContext.broadcast(block)
-        hits = materialize(ranked(documents.mapInArrow(scored(shared), schema), k), "hits")
-        shared.destroy()
-        out = hits if out is None else out.unionByName(hits)
-    return out
+def exact_pruned(queries: DataFrame, documents: DataFrame, k: int, cell_rows: int | None = None) -> blockjoin.Pruned:
+    """The rows of ``exact``, with the number of products that were made and of all."""
+    return blockjoin.pruned(queries, documents, k, cell_rows)
 
 
 def exact_sql(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """The same by column expressions over all pairs, which must be few."""
-    if queries.count() * documents.count() > SMALL_PAIRS:
-        raise ValueError(f"more than {SMALL_PAIRS} pairs of a query and a document; use exact")
-    pairs = documents.select("did", F.col("vec").alias("dv")).crossJoin(queries.select("qid", F.col("vec").alias("qv")))
-    return ranked(pairs.select("qid", "did", sketch.dot(F.col("qv"), F.col("dv")).alias("score")), k)
+    """The same by column expressions: each query meets each array of about ``ARRAY_ROWS`` documents once and leaves its best k."""
+    docs = materialize(documents.select("did", F.col("vec").alias("dv")), "searched")
+    cells = max(1, -(-docs.count() // ARRAY_ROWS))
+    dealt = docs.withColumn("cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)))
+    arrays = dealt.groupBy("cell").agg(F.collect_list(F.struct("did", "dv")).alias("docs"))
+    asked = queries.select("qid", F.col("vec").alias("qv")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<long>")))
+    scored = F.transform("docs", lambda x: F.struct((-sketch.dot(F.col("qv"), x["dv"])).alias("least"), x["did"].alias("did")))
+    hits = asked.join(arrays, "cell").select("qid", "cell", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("h"))
+    return blockjoin.merged(hits.select("qid", F.col("h.did").alias("did"), (-F.col("h.least")).alias("score"), "cell"), k, cells)
 
 
 def k_means(x: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
@@ -143,73 +73,107 @@ class CellIndex:
     """Documents by cell (a written table), with the cells' centres."""
 
     def __init__(self, documents: DataFrame, cells: int, seed: int = 42):
-        spark = documents.sparkSession
-        ship(spark)
-        rows = documents.select("did", "vec").withColumn("norm", sketch.norm(F.col("vec")))
-        self.most = rows.agg(F.max("norm")).first()[0] or 0.0
-        total, lots = rows.count(), 1 << 30
-        drawn = rows.filter(F.pmod(F.xxhash64("did", F.lit(seed)), F.lit(lots)) < int(lots * min(1.0, SAMPLE_ROWS / max(total, 1))))
-        sample = drawn.select("vec").toArrow().column(0).combine_chunks()
-        x = vectors_of(sample)
-        if not len(x):
-            raise ValueError("there are no documents to index")
-        self.centres = k_means(self._lifted(x, self.most), cells, seed)
-        shared, most, lifted = spark.sparkContext.broadcast(self.centres), self.most, self._lifted
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            c = shared.value
-            for batch in batches:
-                if batch.num_rows:
-                    y = lifted(vectors_of(batch.column(1)), most)
-                    own = ((c * c).sum(1) - 2 * y @ c.T).argmin(1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], names=["did", "vec", "cell"])
-
-        self.d_type = dict(documents.dtypes)["did"]
-        table = rows.select("did", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(assign, f"did {self.d_type}, vec array<double>, cell int")
-        self.table = materialize(table.repartition("cell", F.pmod(F.xxhash64("did"), F.lit(CELL_FILES))), "cells", "cell")
-
-    @staticmethod
-    def _lifted(x: np.ndarray, most: float) -> np.ndarray:
-        """With one more number that gives all documents the same norm, so that inner product order is distance order."""
-        return np.concatenate([x, np.sqrt(np.maximum(most**2 - (x * x).sum(1), 0))[:, None]], 1)
+        ship(documents.sparkSession)
+        self.most, self.centres, table = assigned(documents, cells, seed)
+        self.table = materialize(table, "cells", "cell")
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
-        spark = queries.sparkSession
-        q_type, out = dict(queries.dtypes)["qid"], None
-        blocks = _query_blocks(queries)
-        first, second = next(blocks, None), next(blocks, None)
-        for ids, block in chain([x for x in (first, second) if x], blocks):
-            c = self.centres
-            near = ((c * c).sum(1) - 2 * block @ c[:, :-1].T).argsort(1, kind="stable")[:, :probes]
-            by_cell = {int(j): np.flatnonzero((near == j).any(1)) for j in np.unique(near)}
-            shared = spark.sparkContext.broadcast((ids, block, by_cell))
-
-            def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                qids, matrix, cells = shared.value
-                best, d_arrow = Best(len(qids), k), None
-                for batch in batches:
-                    if not batch.num_rows:
-                        continue
-                    d_arrow = batch.column(0).type
-                    x, cell, own = vectors_of(batch.column(1)), batch.column(2).to_numpy(), np.array(batch.column(0).to_pylist(), object)
-                    for j in np.unique(cell).tolist():
-                        who, rows = cells.get(j, ()), np.flatnonzero(cell == j)
-                        if len(who):
-                            scores = matrix[who] @ x[rows].T
-                            for i, q in enumerate(who.tolist()):
-                                best.add(q, scores[i], own[rows])
-                if d_arrow is not None:
-                    yield from best.batches(qids, d_arrow, pa.string() if q_type == "string" else pa.int64() if q_type == "bigint" else pa.int32())
-
-            probed = self.table.filter(F.col("cell").isin([int(j) for j in by_cell]))
-            hits = ranked(probed.mapInArrow(run, f"qid {q_type}, did {self.d_type}, score double"), k)
-            if second is not None:  # one block live at a time
-                hits = materialize(hits, "hits")
-                shared.destroy()
-            out = hits if out is None else out.unionByName(hits)
-        if out is None:
-            return spark.createDataFrame([], f"qid {q_type}, did {self.d_type}, rank int, score double")
-        return out
+        return probed(self.table, self.centres, queries, k, probes, lambda table: blockjoin.Cell(table.column("did").combine_chunks(), vectors_of(table.column("vec").combine_chunks()), k, False, None))[0]
+
+
+def lifted(x: np.ndarray, most: float) -> np.ndarray:
+    """With one more number that gives all documents the same norm, so that inner product order is distance order."""
+    return np.concatenate([x, np.sqrt(np.maximum(most**2 - (x * x).sum(1), 0))[:, None]], 1)
+
+
+def assigned(documents: DataFrame, cells: int, seed: int) -> tuple[float, np.ndarray, DataFrame]:
+    """The largest norm, centres of lifted documents, and (did, vec, lot, cell): a cell's documents in lots of ``LOT_ROWS`` at most (about)."""
+    spark = documents.sparkSession
+    rows = materialize(documents.filter("vec is not null").select("did", F.col("vec").cast("array<double>").alias("vec"), sketch.norm(F.col("vec")).alias("norm")), "indexed")
+    total, most = rows.agg(F.count("*"), F.max("norm")).first()
+    if not total:
+        raise ValueError("there are no documents to index")
+    grain = 1 << 30
+    drawn = rows.filter(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), F.lit(grain)) < max(1, int(grain * min(1.0, SAMPLE_ROWS / total))))
+    x = vectors_of(drawn.select("vec").toArrow().column(0).combine_chunks())
+    if not len(x):
+        x = vectors_of(rows.limit(1).select("vec").toArrow().column(0).combine_chunks())
+    centres = k_means(lifted(x, most), cells, seed)
+    shared = spark.sparkContext.broadcast(centres)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                own = ((c * c).sum(1) - 2 * lifted(vectors_of(batch.column(1)), most) @ c.T).argmin(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own.astype(np.int32))], names=["did", "vec", "cell"])
+
+    table = materialize(rows.select("did", "vec").mapInArrow(assign, f"did {dict(documents.dtypes)['did']}, vec array<double>, cell int"), "assigned")
+    size = {r.cell: r.n for r in table.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a number a cell
+    lots = F.create_map(*[F.lit(x) for c, n in size.items() for x in (c, -(-n // LOT_ROWS))])
+    lot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), lots[F.col("cell")])
+    return most, centres, table.withColumn("lot", lot.cast("int")).repartition(shuffle_width(spark), "cell", "lot").select("did", "vec", "lot", "cell")
+
+
+def probed(table: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int, hold) -> tuple[DataFrame, DataFrame]:
+    """Hits of ``queries`` in the ``probes`` cells nearest to each, and the written raw rows (qid, did, score, cell, products).
+
+    ``table`` has did, its own columns, lot and cell; ``hold`` makes something with ``ids``, ``search`` and ``products`` of a lot's rows.
+    """
+    spark = table.sparkSession
+    ship(spark)
+    q_type, d_type = dict(queries.dtypes)["qid"], dict(table.dtypes)["did"]
+    shared = spark.sparkContext.broadcast(centres)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                order = ((c * c).sum(1) - 2 * vectors_of(batch.column(1)) @ c[:, :-1].T).argsort(1, kind="stable")[:, :probes]
+                row = np.repeat(np.arange(batch.num_rows), order.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(order.ravel().astype(np.int32))], names=["qid", "qvec", "cell"])
+
+    asked = queries.filter("vec is not null").select("qid", F.col("vec").cast("array<double>")).mapInArrow(near, f"qid {q_type}, qvec array<double>, cell int")
+    asked = materialize(asked, "probes")
+    lots = table.select("cell", "lot").distinct()  # numbers of lots: some of LOT_ROWS documents each
+    lots = materialize(lots.join(asked.select("cell").distinct(), "cell"), "lots")
+    number = {(r.cell, r.lot): i for i, r in enumerate(lots.collect())}
+    if not number:
+        return ranked(spark.createDataFrame([], f"qid {q_type}, did {d_type}, score double"), k), spark.createDataFrame([], f"qid {q_type}, did {d_type}, score double, cell long, products long")
+    key = spark.createDataFrame([(c, lot, i) for (c, lot), i in number.items()], "cell int, lot int, number long")
+    some = table.filter(F.col("cell").isin(sorted({c for c, _ in number}))).join(F.broadcast(key), ["cell", "lot"])
+    docs = some.drop("cell", "lot").withColumnRenamed("number", "cell")
+    asks = asked.join(F.broadcast(key), "cell").select(F.col("number").alias("cell"), "qid", "qvec")
+    return in_lots(docs, asks, len(number), hold, k)
+
+
+def in_lots(docs: DataFrame, asked: DataFrame, lots: int, hold, k: int) -> tuple[DataFrame, DataFrame]:
+    """Hits of ``asked`` (cell, qid, qvec) in ``docs`` (cell, did, ...), whose cells are numbers under ``lots``; and the written raw rows (qid, did, score, cell, products)."""
+    q_type, d_type = dict(asked.dtypes)["qid"], dict(docs.dtypes)["did"]
+    own = [(c, t) for c, t in docs.dtypes if c not in ("did", "cell")]
+    sides = [docs.select("cell", F.lit(0).alias("kind"), "did", *(c for c, _ in own), F.lit(None).cast(q_type).alias("qid"), F.lit(None).cast("array<double>").alias("qvec"))]
+    sides += [asked.select("cell", F.lit(1).alias("kind"), F.lit(None).cast(d_type).alias("did"), *(F.lit(None).cast(t).alias(c) for c, t in own), "qid", "qvec")]
+    both = sides[0].unionByName(sides[1]).repartitionById(lots, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind")
+    q_arrow, d_arrow = blockjoin.arrow_type(q_type), blockjoin.arrow_type(d_type)
+    names = ["qid", "did", "score", "cell", "products"]
+
+    def answer(lot, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for at in range(0, part.num_rows, QUERIES):
+            few = part.slice(at, QUERIES)
+            vectors = vectors_of(few.column(few.schema.get_field_index("qvec")))
+            q, d, score = lot.search(vectors, np.full(len(vectors), -np.inf))
+            if len(q):
+                qid = few.column(few.schema.get_field_index("qid")).take(pa.array(q))
+                yield pa.RecordBatch.from_arrays([qid, lot.ids.take(pa.array(d)), pa.array(score), pa.array(np.full(len(q), few.column(0)[0].as_py())), pa.nulls(len(q), pa.int64())], names=names)
+
+    def close(lot, n: int) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, q_arrow), pa.nulls(1, d_arrow), pa.nulls(1, pa.float64()), pa.array([n]), pa.array([lot.products])], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return blockjoin.stream_cells(batches, lambda t: hold(t.combine_chunks()), answer, close)
+
+    raw = materialize(both.mapInArrow(run, f"qid {q_type}, did {d_type}, score double, cell long, products long"), "lot-hits")
+    return blockjoin.merged(raw.filter("products is null"), k, lots), raw
 
 
 def overlap(approximate: DataFrame, truth: DataFrame) -> float:

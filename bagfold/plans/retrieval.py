@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from ..config import EncoderConfig, Encoding, Projection, RetrievalSettings
 from ..operators import encode as enc
-from ..operators import fusion, metrics, pca, search, select
-from ..runtime import materialize, ship
+from ..operators import blockjoin, fusion, graph, metrics, pca, search, select
+from ..runtime import exists, materialize, ship
 from ..sources import tokens as tk
 
 EPS = 1e-12
@@ -37,6 +37,17 @@ class Offline:
     times: dict[str, float]
 
 
+def projected_rows(model: pca.BlockPCA, x: np.ndarray, how: str) -> np.ndarray:
+    """Flat encodings as the index ("document", "standardised") or a search ("query", "unit_query") takes them."""
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    if how == "standardised":
+        return model.transform_standardised(x)
+    if how == "unit_query":
+        return model.transform(x / np.maximum(norm, EPS))
+    y = model.transform(x)
+    return y / (norm + EPS) if how == "document" else y
+
+
 def _projected(bags: DataFrame, config: EncoderConfig, reps: list[int], model: pca.BlockPCA, how: str) -> DataFrame:
     """(id, vec): encode and project in one pass, so that no full encoding leaves the task.
 
@@ -53,14 +64,7 @@ def _projected(bags: DataFrame, config: EncoderConfig, reps: list[int], model: p
                 part = batch.slice(at, step)
                 points, off = enc.bag_arrays(part.column(1), config.dimension)
                 x = encoder.encode(points, off)[0].reshape(part.num_rows, -1)
-                norm = np.linalg.norm(x, axis=1, keepdims=True)
-                if how == "standardised":
-                    y = shared.value.transform_standardised(x)
-                elif how == "unit_query":
-                    y = shared.value.transform(x / np.maximum(norm, EPS))
-                else:
-                    y = shared.value.transform(x)
-                    y = y / (norm + EPS) if how == "document" else y
+                y = projected_rows(shared.value, x, how)
                 yield pa.RecordBatch.from_arrays([part.column(0), enc.float_lists(y)], names=["id", "vec"])
 
     return bags.select("id", "vecs").mapInArrow(run, f"id {dict(bags.dtypes)['id']}, vec array<double>")
@@ -125,8 +129,11 @@ def with_single(vectors: DataFrame, single: DataFrame, key: str) -> DataFrame:
     return fusion.concat(vectors, single.withColumnRenamed("id", key), key, normalise_parts=False, normalise_all=False)
 
 
-def online(built: Offline, queries: DataFrame, top_k: int, corpus_single: DataFrame | None = None, query_single: DataFrame | None = None, fused: fusion.PerDimension | None = None, cells: int | None = None, probes: int = 8) -> DataFrame:
-    """The run (qid, did, rank, score) of query bags. ``cells`` searches approximately."""
+def online(built: Offline, queries: DataFrame, top_k: int, corpus_single: DataFrame | None = None, query_single: DataFrame | None = None, fused: fusion.PerDimension | None = None, cells: int | None = None, probes: int | None = None, index: str | None = None, beam: int = graph.BEAM) -> DataFrame:
+    """The run (qid, did, rank, score) of query bags.
+
+    ``index`` searches approximately along the graph that is saved there, which is built first if there is none; ``cells`` does so in the ``probes`` nearest of so many cells (five in six).
+    """
     q, d = query_vectors(built, queries), built.documents
     if built.hybrid:
         if corpus_single is None or query_single is None:
@@ -137,19 +144,26 @@ def online(built: Offline, queries: DataFrame, top_k: int, corpus_single: DataFr
             a, b = fused.parts()
             q = fusion.scaled_concat(q, query_single.withColumnRenamed("id", "qid"), a, b, "qid", False, False)
             d = fusion.scaled_concat(d, corpus_single.withColumnRenamed("id", "did"), a, b, "did", False, False)
-    hits = search.exact(q, d, top_k) if cells is None else search.CellIndex(d, cells).search(q, top_k, probes)
+    if index is not None:
+        saved = graph.GraphIndex(d.sparkSession, index) if exists(d.sparkSession, index) else graph.GraphIndex.build(d, index)
+        hits = saved.search(q, top_k, beam).hits
+    elif cells is not None:
+        hits = search.CellIndex(d, cells).search(q, top_k, probes or -(-5 * cells // 6))
+    else:
+        hits = search.exact(q, d, top_k)
     return search.construct_run(hits)
 
 
 def fit_fusion(built: Offline, queries: DataFrame, qrels: DataFrame, corpus_single: DataFrame, query_single: DataFrame, top_k: int = 10, negatives: int = 64, epochs: int = 20, rate: float = 0.1, seed: int = 42) -> tuple[fusion.PerDimension, list[float]]:
-    """Per-dimension scales from training queries: positives, mined and uniform negatives, gradient steps."""
+    """Per-dimension scales from training queries: positives, mined and uniform negatives drawn anew for each epoch, gradient steps."""
     q = query_vectors(built, queries)
     found = materialize(fusion.positives(qrels, q, built.documents), "positives")
     sv_q, sv_d = query_single.withColumnRenamed("id", "qid"), corpus_single.withColumnRenamed("id", "did")
     hits = search.exact(with_single(q, query_single, "qid"), with_single(built.documents, corpus_single, "did"), fusion.hard_top_k(top_k, built.documents.count()))
     hard = materialize(fusion.hard_negatives(hits, found), "hard-negatives")
-    chosen = fusion.sampled_negatives(found, built.documents, hard, negatives, seed)
-    rows = fusion.triples(found, chosen, q.join(sv_q, "qid"), built.documents.join(sv_d, "did"), normalise_parts=False)
+    pools = fusion.negative_pools(found, built.documents, hard)
+    sides = materialize(q.join(sv_q, "qid"), "train-queries"), materialize(built.documents.join(sv_d, "did"), "train-documents")
+    rows = lambda epoch: fusion.triples(found, fusion.drawn_negatives(pools, negatives, seed, epoch), *sides, normalise_parts=False)
     model = fusion.PerDimension.ones(built.model.weights.shape[1], len(corpus_single.first().sv))
     return model, fusion.train(model, rows, epochs=epochs, rate=rate, decay=1e-5, seed=seed)
 
@@ -202,7 +216,7 @@ def _counted_encoder(config: EncoderConfig, reps: list[int], ids: np.ndarray, ve
 def encoded_search(documents: DataFrame, queries: DataFrame, words: tuple[np.ndarray, np.ndarray], config: EncoderConfig, k: int, reps: list[int] | None = None) -> DataFrame:
     """The best k documents for each query, both as counted texts over one dictionary.
 
-    A document is encoded and scored in the same task and leaves nothing but hits; queries are few and are broadcast in blocks of checked size.
+    A document is encoded once, in the task that scores it, and leaves nothing but hits; the queries' encodings are sent to the documents' cells.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -214,38 +228,28 @@ def encoded_search(documents: DataFrame, queries: DataFrame, words: tuple[np.nda
     def encode_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _counted_encoder(q_config, reps, *shared.value)
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), enc.float_lists(encode(batch))], names=["qid", "vec"])
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([part.column(0), enc.float_lists(encode(part))], names=["qid", "vec"])
 
-    q_type, d_type = dict(queries.dtypes)["id"], dict(documents.dtypes)["id"]
-    encoded = queries.mapInArrow(encode_queries, f"qid {q_type}, vec array<double>")
+    def load(batch: pa.RecordBatch) -> np.ndarray:
+        encode = _counted_encoder(d_config, reps, *shared.value)
+        named = batch.add_column(0, "did", pa.nulls(batch.num_rows))
+        return np.concatenate([encode(named.slice(at, step)) for at in range(0, batch.num_rows, step)])
 
-    def scored(asked):
-        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode = _counted_encoder(d_config, reps, *shared.value)
-            qids, matrix = asked.value
-            best, kind = search.Best(len(qids), k), None
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    kind = part.column(0).type
-                    # rounded, so that copies of a document tie and rank by id
-                    scores, own = np.round(matrix @ encode(part).T, 9), np.array(part.column(0).to_pylist(), object)
-                    for i in range(len(qids)):
-                        best.add(i, scores[i], own)
-            if kind is not None:
-                yield from best.batches(qids, kind, pa.int64() if q_type == "bigint" else pa.string())
+    q_type = dict(queries.dtypes)["id"]
+    encoded = queries.mapInArrow(encode_queries, f"qid {q_type}, vec array<double>")
+    # rounded, so that copies of a document tie and rank by id
+    return blockjoin.block_join(encoded, documents.select(F.col("id").alias("did"), "vec_ids", "times"), k, 8 * len(reps) * config.block, load, ROUNDED)
 
-        return score
 
-    return search.by_blocks(search._query_blocks(encoded), documents.select("id", "vec_ids", "times"), scored, f"qid {q_type}, did {d_type}, score double", k)
+#: Places of scores by which copies of a document tie.
+ROUNDED = 9
 
 
-def single_vectors(texts: DataFrame, embeddings: DataFrame, id: str, text: str = "text") -> DataFrame:
-    """(id, sv): the mean of a text's vectors; texts without tokens have the zero vector."""
-    bags = text_bags(texts, embeddings, id, text)
-    size = len(embeddings.first().embedding)
-    ship(texts.sparkSession)
+def bag_means(bags: DataFrame, size: int) -> DataFrame:
+    """(id, sv): the mean vector of each bag (id, vecs); empty bags have the zero vector."""
+    ship(bags.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,6 +261,11 @@ def single_vectors(texts: DataFrame, embeddings: DataFrame, id: str, text: str =
     return bags.select("id", "vecs").mapInArrow(run, f"id {dict(bags.dtypes)['id']}, sv array<double>")
 
 
+def single_vectors(texts: DataFrame, embeddings: DataFrame, id: str, text: str = "text") -> DataFrame:
+    """(id, sv): the mean of a text's vectors; texts without tokens have the zero vector."""
+    return bag_means(text_bags(texts, embeddings, id, text), len(embeddings.first().embedding))
+
+
 #: Runs of words (two numbers each) that are broadcast at most.
 ITEM_RUNS = 1_000_000
 

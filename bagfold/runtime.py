@@ -60,6 +60,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return files.makeQualified(place).toString()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something was written whole at ``path``, in any store."""
+    files, place = _files(spark, path)
+    return files.exists(spark._jvm.org.apache.hadoop.fs.Path(place, "_SUCCESS"))
+
+
 def delete_at_end(spark: SparkSession, path: str) -> None:
     """What is at ``path`` (it must be there already) goes when the application ends."""
     files, place = _files(spark, path)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bagfold.config import DATASETS, EncoderConfig, Encoding, FillTarget, Projection, RetrievalSettings, dataset_settings
 from bagfold.functions import randmat, sketch
-from bagfold.operators import encode as enc
+from bagfold.operators import blockjoin, encode as enc
 from bagfold.operators import fusion, metrics, pca, search, select, stats
 from bagfold.plans import retrieval
 from bagfold.sources import arrays
@@ -312,11 +312,14 @@ def test_search_in_several_blocks(spark, monkeypatch):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(d)], "did long, vec array<double>").repartition(3)
     key = lambda rows: sorted((r.qid, r.did, r.rank, round(r.score, 9)) for r in rows.collect())
     whole, cells = key(search.exact(qf, df, 5)), key(search.CellIndex(df, 4).search(qf, 5, 2))
-    monkeypatch.setattr(search, "QUERY_BYTES", 100)
+    monkeypatch.setattr(blockjoin, "SCORE_BYTES", 100)
+    monkeypatch.setattr(blockjoin, "CELL_BYTES", 200)
+    monkeypatch.setattr(blockjoin, "MERGED", 3)
+    monkeypatch.setattr(search, "LOT_ROWS", 3)
+    monkeypatch.setattr(search, "QUERIES", 2)
+    monkeypatch.setattr(search, "ARRAY_ROWS", 4)
     assert key(search.exact(qf, df, 5)) == whole and key(search.CellIndex(df, 4).search(qf, 5, 2)) == cells
-    with monkeypatch.context() as m, pytest.raises(ValueError):
-        m.setattr(search, "SMALL_PAIRS", 100)
-        search.exact_sql(qf, df, 5)
+    assert key(search.exact_sql(qf, df, 5)) == whole
 
 
 def test_arrays_as_files(spark, tmp_path, monkeypatch):
