@@ -500,7 +500,6 @@ def check_packing(frame, texts, capacity=1024):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    model.encode_special_tokens = True
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in frame.collect():
         pieces[r.doc_id].append(r)
@@ -519,11 +518,28 @@ def check_packing(frame, texts, capacity=1024):
     return len(sequences), sum(r.length for x in pieces.values() for r in x)
 
 
+def plain_pieces(rows, capacity=1024):
+    """(doc_id, start, length, crc32) of all pieces."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, text in rows:
+        ids = np.array([*model.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        at, end = 0, len(ids) % capacity or min(capacity, len(ids))
+        while at < len(ids):
+            yield i, at, end - at, zlib.crc32(ids[at:end].tobytes())
+            at, end = end, end + capacity
+
+
 def test_op10_pieces_and_sequences(docs, rows, odd_docs, no_docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     used, total = check_packing(packing.pack(docs, path, public_tokenizers.PATTERN), {r[0]: r[1] for r in rows})
     assert used <= -(-total // 1024) + 1
-    assert packing.pack(odd_docs, path, public_tokenizers.PATTERN).select("doc_id").count() >= odd_docs.count()
+    odd = Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack(odd_docs, path, public_tokenizers.PATTERN).collect())
+    assert odd == Counter(plain_pieces([(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]))
+    long = [(1, "Ünique words " * 30_000), (2, "x" * 20_000)]
+    texts = docs.sparkSession.createDataFrame(long, "doc_id long, text string")
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack(texts, path, public_tokenizers.PATTERN).collect()) == sorted(plain_pieces(long))
     assert packing.pack(no_docs, path, public_tokenizers.PATTERN).count() == 0
     few = packing.pack(docs, path, public_tokenizers.PATTERN, group=8)
     check_packing(few, {r[0]: r[1] for r in rows})
@@ -534,15 +550,16 @@ def test_op10_engine_equals_tokenizers_on_all_code_points():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     model, own = Tokenizer.from_file(path), packing.encoder(path, public_tokenizers.PATTERN)
-    model.encode_special_tokens = True
     texts = []
     for lo in range(0, 0x110000, 64):
         points = [chr(c) for c in range(lo, lo + 64) if not 0xD800 <= c < 0xE000]
         texts.append("".join(f"a{c}b {c}1 '{c}\n{c} " for c in points))
     for t, e in zip(texts, model.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-        assert own(t, disallowed_special=()).tolist() == e.ids
+        assert own(t, allowed_special="all").tolist() == e.ids
     for t in ("<|endoftext|>", " " * 70_000, "a" * 70_000):
-        assert own(t, disallowed_special=()).tolist() == model.encode(t, add_special_tokens=False).ids
+        assert own(t, allowed_special="all").tolist() == model.encode(t, add_special_tokens=False).ids
+    model.encode_special_tokens = True  # plain text, as the other operators take it
+    assert own("a<|endoftext|>", disallowed_special=()).tolist() == model.encode("a<|endoftext|>", add_special_tokens=False).ids
 
 
 def test_op10_added_tokens_in_texts(spark):
