@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from .config import EncoderConfig, Encoding, Projection, RetrievalSettings
 from .functions import randmat, sketch
 from .operators import encode as enc
-from .operators import fusion, metrics, pca, search, select, stats
+from .operators import fusion, graph, metrics, pca, search, select, stats
 from .plans import retrieval
-from .runtime import materialize
+from .runtime import delete_at_end, materialize, scratch_path
 from .sources import tokens as tk
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -298,6 +298,10 @@ def mips_topk_columns(spark: SparkSession, d: str) -> DataFrame:
     return _hits(search.exact_sql(*_means(spark, d), 10))
 
 
+def mips_pruned(spark: SparkSession, d: str) -> DataFrame:
+    return _hits(search.exact_pruned(*_means(spark, d), 10).hits)
+
+
 def run_construct(spark: SparkSession, d: str) -> DataFrame:
     return _hits(search.construct_run(search.exact(*_means(spark, d), 10)))
 
@@ -377,6 +381,16 @@ def mv_tokenise(spark: SparkSession, d: str) -> DataFrame:
     return tk.text_tokens(docs, vectors.count()).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("tokens"), F.count_distinct("vec_id").alias("vectors"), F.sum(F.col("vec_id") * (F.col("pos") % 97 + 1)).alias("checksum"))
 
 
+def graph_topk(spark: SparkSession, d: str) -> DataFrame:
+    """The documents whose mean vectors answer each passage's best, along a graph index."""
+    docs, items, vectors = _texts(spark, d)
+    x = retrieval.single_vectors(docs, vectors, "doc_id").select(F.col("id").alias("did"), F.col("sv").alias("vec"))
+    q = retrieval.single_vectors(items, vectors, "item_id").select(F.col("id").alias("qid"), F.col("sv").alias("vec"))
+    index = graph.GraphIndex.build(x, scratch_path(spark, "graph"))
+    delete_at_end(spark, index.path)
+    return _hits(index.search(q, 10).hits)
+
+
 def shared_passages(spark: SparkSession, d: str) -> DataFrame:
     docs, items, _ = _texts(spark, d)
     return longs(retrieval.shared_passages(docs, items), "rel")
@@ -384,14 +398,19 @@ def shared_passages(spark: SparkSession, d: str) -> DataFrame:
 
 def _retrieve(spark: SparkSession, d: str, hybrid: bool) -> DataFrame:
     docs, items, vectors = _texts(spark, d)
-    corpus = materialize(retrieval.text_bags(docs, vectors, "doc_id"), "corpus-bags")
-    queries = materialize(retrieval.text_bags(items, vectors, "item_id"), "query-bags")
     settings = T_SETTINGS
-    built = retrieval.offline(corpus, 64, settings, hybrid)
-    if hybrid:
-        run = retrieval.online(built, queries, settings.top_k, retrieval.bag_means(corpus, 64), retrieval.bag_means(queries, 64))
+    widest = EncoderConfig(64, settings.repetitions, settings.bits, settings.encoder_seed, Encoding.AVERAGE, Projection.AMS, settings.projection_dimension)
+    words, n = retrieval.dictionary(vectors, widest, settings.repetitions), vectors.count()
+    if words is not None:
+        corpus = materialize(retrieval.counted_texts(docs, n, "doc_id", empty=True), "corpus-counts")
+        queries = materialize(retrieval.counted_texts(items, n, "item_id", empty=True), "query-counts")
+        means = lambda x: retrieval.counted_means(x, words)
     else:
-        run = retrieval.online(built, queries, settings.top_k)
+        corpus = materialize(retrieval.text_bags(docs, vectors, "doc_id"), "corpus-bags")
+        queries = materialize(retrieval.text_bags(items, vectors, "item_id"), "query-bags")
+        means = lambda x: retrieval.bag_means(x, 64)
+    built = retrieval.offline(corpus, 64, settings, hybrid, words)
+    run = retrieval.online(built, queries, settings.top_k, means(corpus), means(queries)) if hybrid else retrieval.online(built, queries, settings.top_k)
     return longs(run.select("qid", "did", "rank", "score"), "rank")
 
 
@@ -432,8 +451,8 @@ QUERIES: dict[str, Query] = {
     for f in (
         mv_tokenise, mv_pack_lengths, mv_gather_subset, simhash_part_index, gray_label_alt, hamming_to_part, partition_counts, partition_counts_bags, distortion_bound, rep_ranking,
         fde_query_sum, fde_doc_avg, fde_tokens, fde_identity, fde_fill_empty, fde_fill_tokens, fde_rep_select, fde_query_rep_select, adaptive_scales, sampled_items, final_count_sketch, final_count_sketch_tokens, l2_normalise, standardise,
-        concat_fuse, apply_scales, dimension_scales, block_gram, block_cov_trace, pca_top_eigenvalues, pca_transform, pca_inner_products, mips_topk, mips_topk_columns, run_construct,
-        ranking_metrics, positive_lists, hard_negatives, ivf_search, fusion_train_two_scales, fusion_train_per_dimension, fusion_train_adaptive, shared_passages, pipeline_hybrid, pipeline_mv_only, flagship_run, flagship_retrieval,
+        concat_fuse, apply_scales, dimension_scales, block_gram, block_cov_trace, pca_top_eigenvalues, pca_transform, pca_inner_products, mips_topk, mips_topk_columns, mips_pruned, run_construct,
+        ranking_metrics, positive_lists, hard_negatives, ivf_search, fusion_train_two_scales, fusion_train_per_dimension, fusion_train_adaptive, shared_passages, graph_topk, pipeline_hybrid, pipeline_mv_only, flagship_run, flagship_retrieval,
     )
 }
 QUERIES |= {f"metric_{m}": _metric(m) for m in metrics.ALIASES}
@@ -614,7 +633,7 @@ def oracles() -> dict[str, str]:
         "flagship_retrieval": _sql_flagship_retrieval(),
         "adaptive_scales": _sql_adaptive(),
     }
-    for same, as_ in (("partition_counts_bags", "partition_counts"), ("fde_tokens", "fde_doc_avg"), ("fde_fill_tokens", "fde_fill_empty"), ("final_count_sketch_tokens", "final_count_sketch"), ("mips_topk_columns", "mips_topk")):
+    for same, as_ in (("partition_counts_bags", "partition_counts"), ("fde_tokens", "fde_doc_avg"), ("fde_fill_tokens", "fde_fill_empty"), ("final_count_sketch_tokens", "final_count_sketch"), ("mips_topk_columns", "mips_topk"), ("mips_pruned", "mips_topk")):
         out[same] = out[as_]
     for m in metrics.ALIASES:
         out[f"metric_{m}"] = _select(_METRICS, f"{_METRIC_ROWS} WHERE metric = '{m}'")

@@ -8,11 +8,12 @@ all documents, which are standardised and projected in one affine map; queries a
 from __future__ import annotations
 
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,23 @@ class Offline:
     documents: DataFrame
     hybrid: bool
     times: dict[str, float]
+    words: Broadcast | None = None
+
+
+def encoded_batches(config: EncoderConfig, reps: list[int], words: Broadcast | None) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Flat encodings of batches of bags (id, vecs), or of counted texts (id, vec_ids, times) over the dictionary ``words`` (sorted ids and vectors)."""
+    if words is not None:
+        return _counted_encoder(config, reps, *words.value)
+    encoder = enc.Encoder(config, reps)
+
+    def run(batch: pa.RecordBatch) -> np.ndarray:
+        return encoder.encode(*enc.bag_arrays(batch.column(1), config.dimension))[0].reshape(batch.num_rows, -1)
+
+    return run
+
+
+def _columns(bags: DataFrame, words: Broadcast | None) -> DataFrame:
+    return bags.select("id", "vecs") if words is None else bags.select("id", "vec_ids", "times")
 
 
 def projected_rows(model: pca.BlockPCA, x: np.ndarray, how: str) -> np.ndarray:
@@ -48,7 +66,7 @@ def projected_rows(model: pca.BlockPCA, x: np.ndarray, how: str) -> np.ndarray:
     return y / (norm + EPS) if how == "document" else y
 
 
-def _projected(bags: DataFrame, config: EncoderConfig, reps: list[int], model: pca.BlockPCA, how: str) -> DataFrame:
+def _projected(bags: DataFrame, config: EncoderConfig, reps: list[int], model: pca.BlockPCA, how: str, words: Broadcast | None = None) -> DataFrame:
     """(id, vec): encode and project in one pass, so that no full encoding leaves the task.
 
     ``how``: "document" raw projection over the norm of the raw encoding, "standardised", "query" as is, "unit_query" normalised before.
@@ -58,26 +76,38 @@ def _projected(bags: DataFrame, config: EncoderConfig, reps: list[int], model: p
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, step = enc.Encoder(config, reps), enc.rows_at_once(config, len(reps))
+        encode, step = encoded_batches(config, reps, words), enc.rows_at_once(config, len(reps))
         for batch in batches:
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                points, off = enc.bag_arrays(part.column(1), config.dimension)
-                x = encoder.encode(points, off)[0].reshape(part.num_rows, -1)
-                y = projected_rows(shared.value, x, how)
-                yield pa.RecordBatch.from_arrays([part.column(0), enc.float_lists(y)], names=["id", "vec"])
+                yield pa.RecordBatch.from_arrays([part.column(0), enc.float_lists(projected_rows(shared.value, encode(part), how))], names=["id", "vec"])
+
+    return _columns(bags, words).mapInArrow(run, f"id {dict(bags.dtypes)['id']}, vec array<double>")
 
-    return bags.select("id", "vecs").mapInArrow(run, f"id {dict(bags.dtypes)['id']}, vec array<double>")
 
+def _encoded(bags: DataFrame, config: EncoderConfig, reps: list[int], words: Broadcast | None) -> DataFrame:
+    """(id, fde)."""
+    ship(bags.sparkSession)
 
-def offline(corpus: DataFrame, dimension: int, settings: RetrievalSettings, hybrid: bool = True) -> Offline:
-    """Choose repetitions on a sample, fit the projection and index the corpus (id, vecs)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, step = encoded_batches(config, reps, words), enc.rows_at_once(config, len(reps))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                yield pa.RecordBatch.from_arrays([part.column(0), enc.float_lists(encode(part))], names=["id", "fde"])
+
+    return _columns(bags, words).mapInArrow(run, f"id {dict(bags.dtypes)['id']}, fde array<double>")
+
+
+def offline(corpus: DataFrame, dimension: int, settings: RetrievalSettings, hybrid: bool = True, words: tuple[np.ndarray, np.ndarray] | None = None) -> Offline:
+    """Choose repetitions on a sample, fit the projection and index the corpus: bags (id, vecs), or counted texts (id, vec_ids, times) over the dictionary ``words``, which is then broadcast."""
     times, began = {}, time.time()
 
     def lap(name: str) -> None:
         nonlocal began
         times[name], began = time.time() - began, time.time()
 
+    shared = None if words is None else corpus.sparkSession.sparkContext.broadcast(words)
     documents = corpus.count()
     sample_size = max(1, int(documents * settings.sampling_rate))
     block = (1 << settings.bits) * settings.projection_dimension
@@ -85,42 +115,48 @@ def offline(corpus: DataFrame, dimension: int, settings: RetrievalSettings, hybr
         raise ValueError(f"a sample of {sample_size} is too small for blocks of {block} dimensions; raise sampling_rate or lower bits or projection_dimension")
     config = EncoderConfig(dimension, settings.repetitions, settings.bits, settings.encoder_seed, Encoding.AVERAGE, Projection.AMS, settings.projection_dimension)
     sample = materialize(corpus.join(tk.sample_ids(corpus, settings.sampling_rate, settings.sample_seed), "id", "left_semi"), "sample")
-    bounds = select.distortion_bound(counts_of_bags(sample, config), sample_size)
+    bounds = select.distortion_bound(counts_of_bags(sample, config, shared), sample_size)
     reps = select.chosen(bounds, select.keep_count(settings.repetitions, settings.choose_rate))
     lap("choose repetitions")
-    model = pca.fit(enc.encode(sample if hybrid else corpus, config, reps), len(reps), settings.keep_dimensions)
+    model = pca.fit(_encoded(sample if hybrid else corpus, config, reps, shared), len(reps), settings.keep_dimensions)
     lap("fit projection")
-    vectors = _projected(corpus, config, reps, model, "document" if hybrid else "standardised")
+    vectors = _projected(corpus, config, reps, model, "document" if hybrid else "standardised", shared)
     index = materialize(vectors.withColumnRenamed("id", "did"), "document-vectors")
     lap("index documents")
-    return Offline(config, reps, model, index, hybrid, times)
+    return Offline(config, reps, model, index, hybrid, times, shared)
 
 
-def counts_of_bags(bags: DataFrame, config: EncoderConfig) -> DataFrame:
+def counts_of_bags(bags: DataFrame, config: EncoderConfig, words: Broadcast | None = None) -> DataFrame:
     """(id, rep, part, cnt) of all repetitions, from bag rows without a shuffle."""
     ship(bags.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = enc.Encoder(config)
+        known = None if words is None else (words.value[0], encoder.parts(encoder.bits(words.value[1])))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                points, off = enc.bag_arrays(part.column(1), config.dimension)
+                if known is None:
+                    points, off = enc.bag_arrays(part.column(1), config.dimension)
+                    parts, times = encoder.parts(encoder.bits(points)), np.ones(len(points), np.int64)
+                else:
+                    off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(part.column(1).offsets)))])
+                    parts, times = known[1][np.searchsorted(known[0], part.column(1).flatten().to_numpy())], part.column(2).flatten().to_numpy()
                 owner = np.repeat(np.arange(part.num_rows), np.diff(off))
-                parts = encoder.parts(encoder.bits(points))
                 key = (owner[:, None] * config.repetitions + np.arange(config.repetitions)) * config.buckets + parts
-                key, count = np.unique(key.reshape(-1), return_counts=True)
+                key, place = np.unique(key.reshape(-1), return_inverse=True)
+                count = np.bincount(place.ravel(), np.repeat(times, config.repetitions), len(key)).astype(np.int64)
                 rep = key // config.buckets
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(rep // config.repetitions)), pa.array((rep % config.repetitions).astype(np.int32)), pa.array((key % config.buckets).astype(np.int32)), pa.array(count)], names=["id", "rep", "part", "cnt"]
                 )
 
-    return bags.select("id", "vecs").mapInArrow(run, f"id {dict(bags.dtypes)['id']}, rep int, part int, cnt long")
+    return _columns(bags, words).mapInArrow(run, f"id {dict(bags.dtypes)['id']}, rep int, part int, cnt long")
 
 
 def query_vectors(built: Offline, queries: DataFrame) -> DataFrame:
     """(qid, vec) of query bags (id, vecs)."""
-    vectors = _projected(queries, built.config.for_queries(), built.reps, built.model, "unit_query" if built.hybrid else "query")
+    vectors = _projected(queries, built.config.for_queries(), built.reps, built.model, "unit_query" if built.hybrid else "query", built.words)
     return vectors.withColumnRenamed("id", "qid")
 
 
@@ -132,7 +168,8 @@ def with_single(vectors: DataFrame, single: DataFrame, key: str) -> DataFrame:
 def online(built: Offline, queries: DataFrame, top_k: int, corpus_single: DataFrame | None = None, query_single: DataFrame | None = None, fused: fusion.PerDimension | None = None, cells: int | None = None, probes: int | None = None, index: str | None = None, beam: int = graph.BEAM) -> DataFrame:
     """The run (qid, did, rank, score) of query bags.
 
-    ``index`` searches approximately along the graph that is saved there, which is built first if there is none; ``cells`` does so in the ``probes`` nearest of so many cells (five in six).
+    ``index`` searches approximately along the graph that is saved there, which is built first if there is none (other documents, settings or scales need another path);
+    ``cells`` does so in the ``probes`` nearest of so many cells (five in six).
     """
     q, d = query_vectors(built, queries), built.documents
     if built.hybrid:
@@ -195,10 +232,34 @@ def dictionary(embeddings: DataFrame, config: EncoderConfig, reps: int) -> tuple
     return table.column(0).to_numpy(), pca.vectors_of(table.column(1).combine_chunks())
 
 
-def counted_texts(texts: DataFrame, vectors: int, id: str, text: str = "text") -> DataFrame:
-    """(id, vec_ids, times): which vectors a text has, and how often."""
+def counted_texts(texts: DataFrame, vectors: int, id: str, text: str = "text", empty: bool = False) -> DataFrame:
+    """(id, vec_ids, times): which vectors a text has, and how often; texts without any only if ``empty``."""
     counted = tk.text_tokens(texts, vectors, id, text).groupBy("id", "vec_id").agg(F.count("*").alias("n"))
-    return counted.groupBy("id").agg(F.collect_list("vec_id").alias("vec_ids"), F.collect_list("n").alias("times"))
+    out = counted.groupBy("id").agg(F.collect_list("vec_id").alias("vec_ids"), F.collect_list("n").alias("times"))
+    if not empty:
+        return out
+    none = F.expr("cast(array() as array<bigint>)")
+    return texts.select(F.col(id).alias("id")).join(out, "id", "left").withColumns({c: F.coalesce(c, none) for c in ("vec_ids", "times")})
+
+
+def counted_means(texts: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(id, sv): the mean vector of each counted text; empty ones have the zero vector."""
+    ship(texts.sparkSession)
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value[0], shared.value[1].astype(float)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(part.column(1).offsets)))])
+                times = part.column(2).flatten().to_numpy()
+                total = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[np.searchsorted(ids, part.column(1).flatten().to_numpy())] * times[:, None], 0)])
+                many = np.append(0, np.cumsum(times))
+                mean = (total[off[1:]] - total[off[:-1]]) / np.maximum(many[off[1:]] - many[off[:-1]], 1)[:, None]
+                yield pa.RecordBatch.from_arrays([part.column(0), enc.float_lists(mean)], names=["id", "sv"])
+
+    return texts.select("id", "vec_ids", "times").mapInArrow(run, f"id {dict(texts.dtypes)['id']}, sv array<double>")
 
 
 def _counted_encoder(config: EncoderConfig, reps: list[int], ids: np.ndarray, vectors: np.ndarray):
