@@ -570,11 +570,11 @@ def _sql_adaptive() -> str:
         f"""{SQL_E},
 w1(j, h, y) AS (VALUES {rows(w1)}), b1(h, y) AS (VALUES {rows(b1)}), w2(h, o, y) AS (VALUES {rows(w2)}), b2(o, y) AS (VALUES {rows(b2)}),
 part AS (SELECT id, 0 AS o, i, x FROM qm UNION ALL SELECT id, 1, i, x FROM qx WHERE pos = 0),
-both AS (SELECT id FROM part GROUP BY id HAVING count(DISTINCT o) = 2),
+whole AS (SELECT id FROM part GROUP BY id HAVING count(DISTINCT o) = 2),
 st AS (SELECT id, o AS j, avg(abs(x)) AS v FROM part GROUP BY id, o UNION ALL SELECT id, o + 2, sqrt(sum(x * x)) FROM part GROUP BY id, o),
 mid AS (SELECT id, h, greatest(sum(v * w1.y) + b1.y, 0) AS v FROM st JOIN w1 USING (j) JOIN b1 USING (h) GROUP BY id, h, b1.y),
 gate AS (SELECT id, o, 0.5 + 1 / (1 + exp(-(sum(v * w2.y) + b2.y))) AS w FROM mid JOIN w2 USING (h) JOIN b2 USING (o) GROUP BY id, o, b2.y)""",
-        f"SELECT * FROM (SELECT id, (i + 64 * o)::BIGINT AS i, {R6.format('x * w')} AS value FROM part JOIN gate USING (id, o) WHERE id IN (SELECT id FROM both)) WHERE value <> 0",
+        f"SELECT * FROM (SELECT id, (i + 64 * o)::BIGINT AS i, {R6.format('x * w')} AS value FROM part JOIN gate USING (id, o) WHERE id IN (SELECT id FROM whole)) WHERE value <> 0",
     )
 
 
