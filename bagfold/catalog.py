@@ -378,7 +378,20 @@ def _texts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame
 
 def mv_tokenise(spark: SparkSession, d: str) -> DataFrame:
     docs, _, vectors = _texts(spark, d)
-    return tk.text_tokens(docs, vectors.count()).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("tokens"), F.count_distinct("vec_id").alias("vectors"), F.sum(F.col("vec_id") * (F.col("pos") % 97 + 1)).alias("checksum"))
+    n = vectors.count()
+    if not n:
+        return _tokenised_together(docs, n)
+    own, again = tk.by_repetition(docs.filter(F.col("text").rlike("[^ \n\t\r]")), "doc_id")
+    weighted = F.transform("vec_ids", lambda v, i: v * (i % 97 + 1))
+    out = tk.text_vector_ids(own, n).select(
+        F.col("id").alias("doc_id"), F.size("vec_ids").cast("long").alias("tokens"), F.size(F.array_distinct("vec_ids")).cast("long").alias("vectors"), F.aggregate(weighted, F.lit(0).cast("long"), lambda s, x: s + x).alias("checksum")
+    )
+    return out if again is None else out.unionByName(_tokenised_together(again, n))
+
+
+def _tokenised_together(docs: DataFrame, n: int) -> DataFrame:
+    """Rows that share an id count as one text."""
+    return tk.text_tokens(docs, n).groupBy(F.col("id").alias("doc_id")).agg(F.count("*").alias("tokens"), F.count_distinct("vec_id").alias("vectors"), F.sum(F.col("vec_id") * (F.col("pos") % 97 + 1)).alias("checksum"))
 
 
 def graph_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -399,8 +412,7 @@ def shared_passages(spark: SparkSession, d: str) -> DataFrame:
 def _retrieve(spark: SparkSession, d: str, hybrid: bool) -> DataFrame:
     docs, items, vectors = _texts(spark, d)
     settings = T_SETTINGS
-    widest = EncoderConfig(64, settings.repetitions, settings.bits, settings.encoder_seed, Encoding.AVERAGE, Projection.AMS, settings.projection_dimension)
-    words, n = retrieval.dictionary(vectors, widest, settings.repetitions), vectors.count()
+    words, n = retrieval.dictionary(vectors, 64), vectors.count()
     if words is not None:
         corpus = materialize(retrieval.counted_texts(docs, n, "doc_id", empty=True), "corpus-counts")
         queries = materialize(retrieval.counted_texts(items, n, "item_id", empty=True), "query-counts")
@@ -428,7 +440,7 @@ FLAGSHIP = EncoderConfig(64, 16, 5, 42, Encoding.AVERAGE, Projection.AMS, 16)
 def flagship_run(spark: SparkSession, d: str) -> DataFrame:
     """Best ten documents of each benchmark passage by the inner product of their encodings."""
     docs, items, vectors = _texts(spark, d)
-    words = retrieval.dictionary(vectors, FLAGSHIP, FLAGSHIP.repetitions)
+    words = retrieval.dictionary(vectors, 64)
     n = vectors.count()
     if words is not None:
         hits = retrieval.encoded_search(retrieval.counted_texts(docs, n, "doc_id"), retrieval.counted_texts(items, n, "item_id"), words, FLAGSHIP, 10)

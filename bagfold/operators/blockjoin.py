@@ -137,7 +137,7 @@ def arrow_type(name: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[name]
 
 
-def _run(payload: list[str], load: Load, k: int, prune: bool, digits: int | None, q_type: str, d_type: str):
+def _run(payload: list[str], load: Load, ask: Load | None, k: int, prune: bool, digits: int | None, q_type: str, d_type: str):
     names = ["qid", "did", "score", "cell", "products"]
 
     def batch(q, d, score, cell, products) -> pa.RecordBatch:
@@ -150,10 +150,11 @@ def _run(payload: list[str], load: Load, k: int, prune: bool, digits: int | None
 
     def answer(cell: Cell, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         floor = part.column(part.schema.get_field_index("floor")).fill_null(-np.inf).to_numpy()
-        queries = vectors_of(part.column(part.schema.get_field_index("qvec")))
         step = max(1, SCORE_BYTES // (8 * min(max(len(cell.ids), 1), BLOCK if prune else 1 << 30)))
         for lo in range(0, part.num_rows, step):
-            q, d, score = cell.search(queries[lo : lo + step], floor[lo : lo + step])
+            few = part.slice(lo, step)
+            queries = vectors_of(few.column(few.schema.get_field_index("qvec"))) if ask is None else ask(few.select(payload))
+            q, d, score = cell.search(queries, floor[lo : lo + step])
             if len(q):
                 yield batch(part.column(part.schema.get_field_index("qid")).take(pa.array(q + lo)), cell.ids.take(pa.array(d)), score, np.full(len(q), part.column(0)[0].as_py()), pa.nulls(len(q), pa.int64()))
 
@@ -170,16 +171,19 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
     return vectors_of(batch.column(0))
 
 
-def _joined(documents: DataFrame, asked: DataFrame, cells: int, load: Load, k: int, prune: bool, digits: int | None) -> DataFrame:
-    """(qid, did, score, cell, products) of ``documents`` (cell, did, payload) and ``asked`` (cell, qid, qvec, floor): hits, and one row a cell with its products."""
+def _joined(documents: DataFrame, asked: DataFrame, cells: int, load: Load, k: int, prune: bool, digits: int | None, ask: Load | None = None) -> DataFrame:
+    """(qid, did, score, cell, products) of ``documents`` (cell, did, payload) and ``asked`` (cell, qid, qvec, floor): hits, and one row a cell with its products.
+
+    With ``ask`` the queries have a payload of the same columns in place of qvec, of which it makes vectors.
+    """
     payload = [c for c in documents.columns if c not in ("cell", "did")]
     q_type, d_type = dict(asked.dtypes)["qid"], dict(documents.dtypes)["did"]
     none = {c: F.lit(None).cast(t) for c, t in [*asked.dtypes, *documents.dtypes] if c != "cell"}
-    columns = ["did", *payload, "qid", "qvec", "floor"]
+    columns = ["did", *payload, "qid", *(["qvec"] if ask is None else []), "floor"]
     docs = documents.select("cell", F.lit(0).alias("kind"), *(F.col(c) if c in documents.columns else none[c].alias(c) for c in columns))
     both = docs.unionByName(asked.select("cell", F.lit(1).alias("kind"), *(F.col(c) if c in asked.columns else none[c].alias(c) for c in columns)))
     both = both.repartitionById(cells, F.col("cell").cast("int")).sortWithinPartitions("cell", "kind")
-    return both.mapInArrow(_run(payload, load, k, prune, digits, q_type, d_type), f"qid {q_type}, did {d_type}, score double, cell long, products long")
+    return both.mapInArrow(_run(payload, load, ask, k, prune, digits, q_type, d_type), f"qid {q_type}, did {d_type}, score double, cell long, products long")
 
 
 def _asked(queries: DataFrame) -> DataFrame:
@@ -191,14 +195,15 @@ def cell_count(documents: DataFrame, row_bytes: int) -> int:
     return max(1, min(n, max(shuffle_width(documents.sparkSession), -(-n * row_bytes // CELL_BYTES))))
 
 
-def block_join(queries: DataFrame, documents: DataFrame, k: int, row_bytes: int, load: Load | None = None, digits: int | None = None) -> DataFrame:
-    """The best k of ``documents`` (did, and what ``load`` makes vectors of) for each of ``queries`` (qid, vec). ``digits`` rounds scores, so that copies tie."""
+def block_join(queries: DataFrame, documents: DataFrame, k: int, row_bytes: int, load: Load | None = None, digits: int | None = None, ask: Load | None = None) -> DataFrame:
+    """The best k of ``documents`` (did, and what ``load`` makes vectors of) for each of ``queries`` (qid, vec; or qid, and what ``ask`` makes vectors of). ``digits`` rounds scores, so that copies tie."""
     ship(documents.sparkSession)
     docs = materialize(documents.filter("vec is not null") if load is None else documents, "searched")
     cells = cell_count(docs, row_bytes)
     dealt = docs.withColumn("cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)).cast("long"))
-    asked = _asked(queries).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumn("cell", F.col("cell").cast("long"))
-    hits = _joined(dealt, asked, cells, load or _vectors, k, False, digits).filter("products is null")
+    asked = _asked(queries) if ask is None else queries.withColumn("floor", F.lit(None).cast("double"))
+    asked = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumn("cell", F.col("cell").cast("long"))
+    hits = _joined(dealt, asked, cells, load or _vectors, k, False, digits, ask).filter("products is null")
     return merged(hits, k, cells)
 
 

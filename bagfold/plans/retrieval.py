@@ -114,7 +114,7 @@ def offline(corpus: DataFrame, dimension: int, settings: RetrievalSettings, hybr
     if (sample_size if hybrid else documents) <= block or sample_size <= block:
         raise ValueError(f"a sample of {sample_size} is too small for blocks of {block} dimensions; raise sampling_rate or lower bits or projection_dimension")
     config = EncoderConfig(dimension, settings.repetitions, settings.bits, settings.encoder_seed, Encoding.AVERAGE, Projection.AMS, settings.projection_dimension)
-    sample = materialize(corpus.join(tk.sample_ids(corpus, settings.sampling_rate, settings.sample_seed), "id", "left_semi"), "sample")
+    sample = tk.sampled_rows(corpus, settings.sampling_rate, settings.sample_seed)
     bounds = select.distortion_bound(counts_of_bags(sample, config, shared), sample_size)
     reps = select.chosen(bounds, select.keep_count(settings.repetitions, settings.choose_rate))
     lap("choose repetitions")
@@ -132,7 +132,7 @@ def counts_of_bags(bags: DataFrame, config: EncoderConfig, words: Broadcast | No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = enc.Encoder(config)
-        known = None if words is None else (words.value[0], encoder.parts(encoder.bits(words.value[1])))
+        known = None if words is None else _Looked(*words.value, 8 * config.repetitions, lambda v: encoder.parts(encoder.bits(v)))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -141,7 +141,8 @@ def counts_of_bags(bags: DataFrame, config: EncoderConfig, words: Broadcast | No
                     parts, times = encoder.parts(encoder.bits(points)), np.ones(len(points), np.int64)
                 else:
                     off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(part.column(1).offsets)))])
-                    parts, times = known[1][np.searchsorted(known[0], part.column(1).flatten().to_numpy())], part.column(2).flatten().to_numpy()
+                    table, which = known.of(part.column(1).flatten().to_numpy())
+                    parts, times = table[which], part.column(2).flatten().to_numpy()
                 owner = np.repeat(np.arange(part.num_rows), np.diff(off))
                 key = (owner[:, None] * config.repetitions + np.arange(config.repetitions)) * config.buckets + parts
                 key, place = np.unique(key.reshape(-1), return_inverse=True)
@@ -220,20 +221,64 @@ def text_bags(texts: DataFrame, embeddings: DataFrame, id: str, text: str = "tex
     return texts.select(F.col(id).alias("id")).join(lists, "id", "left").withColumn("vecs", F.coalesce("vecs", F.expr("cast(array() as array<array<float>>)")))
 
 
-#: Largest dictionary of vectors (with buckets and projections) that is broadcast.
-DICTIONARY_BYTES = 128 << 20
+#: Largest dictionary of 32-bit vectors that is broadcast, and bytes of what is worked out for all of them at once; of a larger one only for those that a batch has.
+DICTIONARY_BYTES, LOOKED_BYTES = 512 << 20, 64 << 20
 
 
-def dictionary(embeddings: DataFrame, config: EncoderConfig, reps: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Sorted ids and vectors, or None if they are too many to broadcast."""
-    if embeddings.count() * 8 * (config.dimension + reps * (config.width + 1)) > DICTIONARY_BYTES:
+def dictionary(embeddings: DataFrame, dimension: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted ids and 32-bit vectors, or None if they are too many to broadcast."""
+    if embeddings.count() * (8 + 4 * dimension) > DICTIONARY_BYTES:
         return None
-    table = embeddings.select("vec_id", "embedding").orderBy("vec_id").toArrow()
-    return table.column(0).to_numpy(), pca.vectors_of(table.column(1).combine_chunks())
+    table = embeddings.select("vec_id", F.col("embedding").cast("array<float>")).orderBy("vec_id").toArrow()
+    flat = table.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table.column(0).to_numpy(), flat.reshape(table.num_rows, -1)
+
+
+class _Looked:
+    """What ``work`` makes of dictionary vectors: of all of them once if that stays under ``LOOKED_BYTES``, else of those of each batch."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, row_bytes: int, work: Callable[[np.ndarray], object]):
+        self.ids, self.vectors, self.work = ids, vectors, work
+        self.all = work(vectors) if len(ids) * row_bytes <= LOOKED_BYTES else None
+
+    def of(self, vec_ids: np.ndarray) -> tuple[object, np.ndarray]:
+        """The work, and the place in it of each of ``vec_ids``."""
+        which = np.searchsorted(self.ids, vec_ids)
+        if self.all is not None:
+            return self.all, which
+        some, which = np.unique(which, return_inverse=True)
+        return self.work(self.vectors[some]), which
 
 
 def counted_texts(texts: DataFrame, vectors: int, id: str, text: str = "text", empty: bool = False) -> DataFrame:
-    """(id, vec_ids, times): which vectors a text has, and how often; texts without any only if ``empty``."""
+    """(id, vec_ids, times): which vectors a text has, and how often; texts without any only if ``empty``.
+
+    A text is counted where it lies. Only rows that share their id with others, or have none, are shuffled, as their texts count together.
+    """
+    ship(texts.sparkSession)
+    if not vectors:
+        return _counted_together(texts, vectors, id, text, empty)
+    own, again = tk.by_repetition(texts, id)
+    out = tk.text_vector_ids(own, vectors, id, text).mapInArrow(_counts, f"id {dict(texts.dtypes)[id]}, vec_ids array<bigint>, times array<bigint>")
+    if not empty:
+        out = out.filter(F.size("vec_ids") > 0)
+    return out if again is None else out.unionByName(_counted_together(again, vectors, id, text, empty))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, vec_ids) with each vector once, and ``times``."""
+    for batch in batches:
+        size = np.diff(np.asarray(batch.column(1).offsets))
+        owner, ids = np.repeat(np.arange(batch.num_rows), size), batch.column(1).flatten().to_numpy()
+        order = np.lexsort((ids, owner))
+        owner, ids = owner[order], ids[order]
+        first = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(ids, prepend=-1) != 0))
+        off = pa.array(np.append(0, np.cumsum(np.bincount(owner[first], minlength=batch.num_rows))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(off, pa.array(x.astype(np.int64))) for x in (ids[first], np.diff(first, append=len(ids)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "vec_ids", "times"])
+
+
+def _counted_together(texts: DataFrame, vectors: int, id: str, text: str, empty: bool) -> DataFrame:
     counted = tk.text_tokens(texts, vectors, id, text).groupBy("id", "vec_id").agg(F.count("*").alias("n"))
     out = counted.groupBy("id").agg(F.collect_list("vec_id").alias("vec_ids"), F.collect_list("n").alias("times"))
     if not empty:
@@ -248,13 +293,13 @@ def counted_means(texts: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> Dat
     shared = texts.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value[0], shared.value[1].astype(float)
+        ids, vectors = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(part.column(1).offsets)))])
                 times = part.column(2).flatten().to_numpy()
-                total = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[np.searchsorted(ids, part.column(1).flatten().to_numpy())] * times[:, None], 0)])
+                total = np.concatenate([np.zeros((1, vectors.shape[1])), np.cumsum(vectors[np.searchsorted(ids, part.column(1).flatten().to_numpy())].astype(float) * times[:, None], 0)])
                 many = np.append(0, np.cumsum(times))
                 mean = (total[off[1:]] - total[off[:-1]]) / np.maximum(many[off[1:]] - many[off[:-1]], 1)[:, None]
                 yield pa.RecordBatch.from_arrays([part.column(0), enc.float_lists(mean)], names=["id", "sv"])
@@ -264,11 +309,11 @@ def counted_means(texts: DataFrame, words: tuple[np.ndarray, np.ndarray]) -> Dat
 
 def _counted_encoder(config: EncoderConfig, reps: list[int], ids: np.ndarray, vectors: np.ndarray):
     encoder = enc.Encoder(config, reps)
-    look = encoder.looked_up(vectors)
+    known = _Looked(ids, vectors, 8 * len(encoder.reps) * (config.width + 1), encoder.looked_up)
 
     def run(batch: pa.RecordBatch) -> np.ndarray:
         off = np.concatenate([[0], np.cumsum(np.diff(np.asarray(batch.column(1).offsets)))])
-        which = np.searchsorted(ids, batch.column(1).flatten().to_numpy())
+        look, which = known.of(batch.column(1).flatten().to_numpy())
         return encoder.encode_counted(look, which, batch.column(2).flatten().to_numpy(), off).reshape(batch.num_rows, -1)
 
     return run
@@ -277,7 +322,7 @@ def _counted_encoder(config: EncoderConfig, reps: list[int], ids: np.ndarray, ve
 def encoded_search(documents: DataFrame, queries: DataFrame, words: tuple[np.ndarray, np.ndarray], config: EncoderConfig, k: int, reps: list[int] | None = None) -> DataFrame:
     """The best k documents for each query, both as counted texts over one dictionary.
 
-    A document is encoded once, in the task that scores it, and leaves nothing but hits; the queries' encodings are sent to the documents' cells.
+    A document is encoded once, in the task that scores it, and leaves nothing but hits; the queries' counts are sent to the documents' cells and encoded there.
     """
     spark = documents.sparkSession
     ship(spark)
@@ -286,22 +331,20 @@ def encoded_search(documents: DataFrame, queries: DataFrame, words: tuple[np.nda
     q_config, d_config = config.for_queries(), config.for_documents(fill=False)
     step = enc.rows_at_once(config, len(reps))
 
-    def encode_queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _counted_encoder(q_config, reps, *shared.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                yield pa.RecordBatch.from_arrays([part.column(0), enc.float_lists(encode(part))], names=["qid", "vec"])
+    def encoded(config: EncoderConfig) -> Callable[[pa.RecordBatch], np.ndarray]:
+        made: list[Callable[[pa.RecordBatch], np.ndarray]] = []
 
-    def load(batch: pa.RecordBatch) -> np.ndarray:
-        encode = _counted_encoder(d_config, reps, *shared.value)
-        named = batch.add_column(0, "did", pa.nulls(batch.num_rows))
-        return np.concatenate([encode(named.slice(at, step)) for at in range(0, batch.num_rows, step)])
+        def run(batch: pa.RecordBatch) -> np.ndarray:
+            if not made:  # once a task
+                made.append(_counted_encoder(config, reps, *shared.value))
+            named = batch.add_column(0, "id", pa.nulls(batch.num_rows))
+            return np.concatenate([made[0](named.slice(at, step)) for at in range(0, batch.num_rows, step)])
+
+        return run
 
-    q_type = dict(queries.dtypes)["id"]
-    encoded = queries.mapInArrow(encode_queries, f"qid {q_type}, vec array<double>")
     # rounded, so that copies of a document tie and rank by id
-    return blockjoin.block_join(encoded, documents.select(F.col("id").alias("did"), "vec_ids", "times"), k, 8 * len(reps) * config.block, load, ROUNDED)
+    sides = [x.select(F.col("id").alias(name), "vec_ids", "times") for x, name in ((queries, "qid"), (documents, "did"))]
+    return blockjoin.block_join(*sides, k, 8 * len(reps) * config.block, encoded(d_config), ROUNDED, encoded(q_config))
 
 
 #: Places of scores by which copies of a document tie.
@@ -324,6 +367,9 @@ def bag_means(bags: DataFrame, size: int) -> DataFrame:
 
 def single_vectors(texts: DataFrame, embeddings: DataFrame, id: str, text: str = "text") -> DataFrame:
     """(id, sv): the mean of a text's vectors; texts without tokens have the zero vector."""
+    words = dictionary(embeddings, len(embeddings.first().embedding))
+    if words is not None:
+        return counted_means(counted_texts(texts, len(words[0]), id, text, empty=True), words)
     return bag_means(text_bags(texts, embeddings, id, text), len(embeddings.first().embedding))
 
 

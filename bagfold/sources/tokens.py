@@ -103,8 +103,43 @@ def from_arrays(spark: SparkSession, items: list[tuple[object, np.ndarray]], id_
     return spark.createDataFrame([(i, np.asarray(m, np.float32).tolist()) for i, m in items], f"id {id_type}, vecs array<{VEC}>")
 
 
+def text_words(text: str) -> F.Column:  # type: ignore[name-defined]
+    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[ \n\t\r]+"), lambda x: x != "")
+
+
+def vector_of(token, vectors: int) -> F.Column:  # type: ignore[name-defined]
+    return F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % vectors
+
+
 def text_tokens(texts: DataFrame, vectors: int, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, pos, token, vec_id): white-space tokens in lower case, each hashed to one of ``vectors`` vectors."""
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "[ \n\t\r]+"), lambda x: x != "")
-    out = texts.select(F.col(id).alias("id"), F.posexplode(words).alias("pos", "token"))
-    return out.withColumn("vec_id", F.conv(F.substring(F.md5("token"), 1, 8), 16, 10).cast("long") % vectors)
+    out = texts.select(F.col(id).alias("id"), F.posexplode(text_words(text)).alias("pos", "token"))
+    return out.withColumn("vec_id", vector_of(F.col("token"), vectors))
+
+
+def text_vector_ids(texts: DataFrame, vectors: int, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, vec_ids): the vectors of ``text_tokens`` in their order, a row a text, without a shuffle."""
+    return texts.select(F.col(id).alias("id"), F.transform(text_words(text), lambda w: vector_of(w, vectors)).alias("vec_ids"))
+
+
+def by_repetition(texts: DataFrame, id: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose id no other row has, and the others with those without an id (None if there are none). Only ids are shuffled."""
+    again = texts.groupBy(F.col(id).alias("again")).agg(F.count("*").alias("n")).filter("n > 1 or again is null").select("again")
+    if again.isEmpty():
+        return texts, None
+    own = F.col(id) == F.col("again")
+    return texts.filter(F.col(id).isNotNull()).join(again, own, "left_anti"), texts.join(again, F.col(id).eqNullSafe(F.col("again")), "left_semi")
+
+
+def sampled_rows(rows: DataFrame, rate: float, seed: int) -> DataFrame:
+    """The rows whose ids are in ``sample_ids``, found by the last hash and id of the sample, without a join."""
+    keyed = rows.select("id", F.xxhash64("id", F.lit(seed)).alias("hash")).withColumn("part", F.shiftright("hash", 48))
+    sizes = sorted((r["part"], r["count"]) for r in keyed.groupBy("part").count().collect())  # 65 536 rows at most
+    left = max(1, int(sum(c for _, c in sizes) * rate))
+    rows, own = rows.filter("id is not null"), F.xxhash64("id", F.lit(seed))
+    for part, count in sizes:
+        if count >= left:
+            last = keyed.filter(F.col("part") == part).orderBy("hash", "id").limit(left).orderBy(F.desc("hash"), F.desc("id")).first()
+            return rows.filter((own < last["hash"]) | ((own == last["hash"]) & (F.col("id") <= last["id"])))
+        left -= count
+    return rows
