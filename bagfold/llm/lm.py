@@ -4,8 +4,8 @@ Words of the training documents are counted over the corpus (packed by bucket);
 words says and, for the others, what a join says. Texts are encoded once, with A-Z lower-cased, and their ids written packed in 16 bits.
 Counts of ids over all training documents give the model its rows, classes and shares. The
 model (``attention``) is then trained in ``ROUNDS`` rounds, each over its share of the training documents: every task takes steps from the
-common model over the documents that it has, and the tasks' models are averaged, weighted by ids, on the executors (a fixed number of numbers reaches the driver). A
-step takes every ``STRIDE``-th window of a document, beginning at a place that follows from its row. At last all documents are scored in overlapping windows, each id once.
+common model over the documents that it has, and the tasks' models are averaged, weighted by ids, on the executors (a fixed number of numbers reaches the driver). Each
+id of a training document, and its end, is in one step's loss. At last all documents are scored in overlapping windows, each id once.
 
 Nulls and defects: a null text is empty and has only its end; a null doc_id has remainder 0 and so trains. Texts are taken whole, in windows. Repeated rows count each
 and score alike up to rounding of 32-bit sums. Without training documents all counts are 0, base scores are 0 and ids are equally likely within classes. Other columns are not read;
@@ -30,8 +30,8 @@ from .packing import encoder, vocabulary
 from .tally import COUNTS, Tally, distinct, find, frequent, rest_sums, summed, totals
 
 SHAPE = Shape()
-#: Rounds of training, their learning rates, windows of a step, and which share of a document's windows steps take.
-ROUNDS, RATES, STEP_WINDOWS, STRIDE = 4, (0.02, 0.01, 0.005, 0.0025), 32, 8
+#: Rounds of training, their learning rates, and windows of a step.
+ROUNDS, RATES, STEP_WINDOWS = 4, (0.02, 0.01, 0.005, 0.0025), 128
 #: Words of the broadcast list (16 bytes each), windows that are scored at once, and pieces in which models are averaged.
 LISTED, BATCH, PARTS = 1 << 17, 128, 16
 
@@ -112,12 +112,9 @@ def _sequences(column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.append(end, after[:-1]), after, length
 
 
-def _cut(before: np.ndarray, after: np.ndarray, length: np.ndarray, chosen, voc: Vocabulary, shape: Shape, overlap: int | None = None):
+def _cut(before: np.ndarray, after: np.ndarray, length: np.ndarray, voc: Vocabulary, shape: Shape, overlap: int | None = None):
     """Windows of a block: text of each, places that count, rows and ids."""
     doc, first, skip, size = windows(length, shape, overlap)
-    if chosen is not None:
-        keep = chosen(doc)
-        doc, first, skip, size = doc[keep], first[keep], skip[keep], size[keep]
     place = np.arange(shape.window)
     at = np.minimum((np.cumsum(length) - length)[doc][:, None] + first[:, None] + place, max(len(after) - 1, 0))
     return doc, (place >= skip[:, None]) & (place < size[:, None]), voc.slot[before[at]], after[at]
@@ -135,14 +132,8 @@ def _trained(model, voc, shape: Shape, rate: float):
             adam.step(now, gradient(now, slots, classes, scored, shape)[1])
             return int(scored.sum())
 
-        for batch in pieces(batches, 1):
-            rid = batch.column(0).to_numpy()
-
-            def turn(doc: np.ndarray) -> np.ndarray:
-                nth = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                return (nth + rid[doc]) % STRIDE == 0  # noqa: B023
-
-            _, scored, slots, ids = _cut(*_sequences(batch.column(1), words.end), turn, words, shape, 0)
+        for batch in pieces(batches, 1, 1 << 19):
+            _, scored, slots, ids = _cut(*_sequences(batch.column(1), words.end), words, shape, 0)
             for lo in range(0, len(slots), STEP_WINDOWS):
                 held.append((slots[lo : lo + STEP_WINDOWS], words.cls[ids[lo : lo + STEP_WINDOWS]], scored[lo : lo + STEP_WINDOWS]))
                 if sum(len(x[0]) for x in held) >= STEP_WINDOWS:
@@ -191,7 +182,7 @@ def _scores(model, voc, shape: Shape):
         ten = 1 / np.log(10)
         for batch in pieces(batches, 7, 1 << 19):
             before, after, length = _sequences(batch.column(7), words.end)
-            doc, scored, slots, ids = _cut(before, after, length, None, words, shape)
+            doc, scored, slots, ids = _cut(before, after, length, words, shape)
             total = np.bincount(np.repeat(np.arange(len(length)), length), words.share[after], len(length))
             for lo in range(0, len(doc), BATCH):
                 part = scored[lo : lo + BATCH]

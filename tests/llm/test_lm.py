@@ -179,3 +179,18 @@ def test_long_text(spark):
     text = "Ünique words " * 40_000
     out = lm.score(spark.createDataFrame([(1, text), (2, "x" * 30_000)], "doc_id long, text string"), PATH, PATTERN)
     assert scored(out) == rounded(plain_base([(1, text), (2, "x" * 30_000)]))
+
+
+def test_every_id_of_a_training_text_is_in_a_step(spark):
+    """The weights of the tasks' models add up to all ids and ends."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    voc = Vocabulary(np.ones(300, np.int64), lm.SHAPE)
+    model = flatten(start(lm.SHAPE, voc))
+    sizes = [0, 1, 31, 32, 33, 64, 1000, 70_000]
+    ids = [np.arange(n).astype("<u2") % 299 for n in sizes]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["rid", "ids"])
+    out = list(lm._trained(SimpleNamespace(value=model), SimpleNamespace(value=voc), lm.SHAPE, 0.01)(iter([rows])))
+    assert out[0].column(1)[0].as_py() == sum(n + 1 for n in sizes)
