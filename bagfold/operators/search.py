@@ -1,7 +1,7 @@
 """Maximum inner product search.
 
 ``exact`` scores every document in one block join (``blockjoin``): no query passes through the driver, and documents are read once. ``exact_pruned`` gives the same rows and skips what
-norms rule out. ``exact_sql`` is the same in column expressions: documents of a cell become one array, whose best k are taken per query.
+norms rule out. ``exact_sql`` is the same in column expressions: blocks of documents and queries are joined, and pairs under a query's floor go no further.
 ``CellIndex`` scores the documents of the cells nearest to a query: cells come from k-means on a bounded sample, after the usual step from inner product to distance. The documents lie
 in a folder for each cell, so only those of probed cells are read. ``graph`` has the index whose cells are searched along a neighbour graph.
 Equal scores rank by id; there are never more hits than documents.
@@ -24,8 +24,10 @@ from .pca import vectors_of
 
 #: Documents (about) at most that k-means sees, and documents of one cell's matrix at most; a larger cell has several.
 SAMPLE_ROWS, LOT_ROWS = 50_000, 32_768
-#: Documents (about) of one array of ``exact_sql``, and queries that a lot answers at once.
-ARRAY_ROWS, QUERIES = 128, 64
+#: Documents, and queries, (about) of one block of ``exact_sql``, and queries that a lot answers at once.
+ARRAY_ROWS, QUERIES = 4096, 64
+#: Growth of the cells searched from wave to wave in ``exact_sql``.
+WAVES = 16
 
 
 def _row_bytes(vectors: DataFrame) -> int:
@@ -45,15 +47,45 @@ def exact_pruned(queries: DataFrame, documents: DataFrame, k: int, cell_rows: in
 
 
 def exact_sql(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """The same by column expressions: each query meets each array of about ``ARRAY_ROWS`` documents once and leaves its best k."""
-    docs = materialize(documents.select("did", F.col("vec").alias("dv")), "searched")
-    cells = max(1, -(-docs.count() // ARRAY_ROWS))
-    dealt = docs.withColumn("cell", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(cells)))
-    arrays = dealt.groupBy("cell").agg(F.collect_list(F.struct("did", "dv")).alias("docs"))
-    asked = queries.select("qid", F.col("vec").alias("qv")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)).cast("array<long>")))
-    scored = F.transform("docs", lambda x: F.struct((-sketch.dot(F.col("qv"), x["dv"])).alias("least"), x["did"].alias("did")))
-    hits = asked.join(arrays, "cell").select("qid", "cell", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("h"))
-    return blockjoin.merged(hits.select("qid", F.col("h.did").alias("did"), (-F.col("h.least")).alias("score"), "cell"), k, cells)
+    """The same by column expressions: vectors are rows of numbers, and each block of documents and queries is joined where it lies.
+
+    Documents are dealt by falling norm into cells of about ``ARRAY_ROWS``, which are searched in waves: a few documents of the first cell, its others, then ``WAVES`` times as many cells as
+    before. The k-th score so far is a query's floor. It goes to the cells whose largest norm can reach that, and only pairs that do leave the join, so that few are ranked.
+    Shorter vectors count as filled up with zeros, and so do null numbers; rows with a null vector find nothing and aren't found.
+    """
+    spark = documents.sparkSession
+    some = lambda rows, key: rows.filter("vec is not null").select(key, F.col("vec").cast("array<double>").alias("vec"))
+    asked, docs = materialize(some(queries, "qid"), "asked"), materialize(some(documents, "did"), "searched")
+    (many, a), (n, b) = (x.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first() for x in (asked, docs))
+    cells, wide, width = max(1, -(-n // ARRAY_ROWS)), min(a, b), shuffle_width(spark)
+    lots = max(1, -(-many // ARRAY_ROWS), min(width // cells, -(-many // 256)))  # enough blocks for all tasks
+    parts = min(cells * lots, 16 * width)
+    numbers = lambda x: [F.coalesce(F.get("vec", F.lit(i)), F.lit(0.0)).alias(f"{x}{i}") for i in range(wide)]
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, x: s + F.coalesce(x * x, F.lit(0.0)))).alias("norm")
+    lot = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(lots)).alias("lot")
+    asked = materialize(asked.select("qid", "vec", norm, lot), "asked-norms")
+    docs = docs.select("did", "vec", norm).repartitionByRange(cells, F.desc("norm"), "did").withColumn("cell", F.spark_partition_id())
+    docs = materialize(docs.withColumn("place", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("norm"), "did"))), "by-norm")
+    ends = docs.groupBy("cell").agg(F.max("norm").alias("most"))
+    score = sum((F.col(f"q{i}") * F.col(f"d{i}") for i in range(wide)), F.lit(0.0))
+    few = f"cell = 0 and place <= {max(4 * k, 64)}"
+    waves, lo, hi = [few, f"cell = 0 and not ({few})"], 1, WAVES
+    while lo < cells:
+        waves, lo, hi = [*waves, f"cell >= {lo} and cell < {hi}"], hi, WAVES * hi
+    best = None
+    for wave in waves:
+        floors = asked.limit(0).select("qid", F.lit(None).cast("double").alias("floor")) if best is None else best.filter(F.col("rank") == k).groupBy("qid").agg(F.min("score").alias("floor"))
+        # a little more than the bound, for rounding
+        reach = F.col("floor").isNull() | (F.col("norm") * F.col("most") * (1 + 1e-9) + 1e-12 >= F.col("floor"))
+        now = docs.filter(wave)
+        sent = asked.join(floors, "qid", "left").crossJoin(F.broadcast(ends.join(now.select("cell").distinct(), "cell"))).filter(reach)
+        held = now.withColumn("lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1)).cast("array<long>"))).select("cell", "lot", "did", *numbers("d"))
+        # a partition number of its own keeps small blocks from being put together in few tasks
+        sent = sent.select("cell", "lot", "qid", "floor", *numbers("q")).repartition(parts, "cell", "lot")
+        pairs = sent.join(held.repartition(parts, "cell", "lot").hint("shuffle_hash"), ["cell", "lot"]).withColumn("score", score).filter("floor is null or score >= floor")
+        hits = pairs.select("qid", "did", "score")
+        best = materialize(ranked(hits if best is None else best.drop("rank").unionByName(hits), k), "best")
+    return best
 
 
 def k_means(x: np.ndarray, cells: int, seed: int, rounds: int = 12) -> np.ndarray:
