@@ -8,6 +8,7 @@ sum to one. Long sequences are cut into windows that overlap; each id is scored
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,6 +89,8 @@ def windows(lengths: np.ndarray, shape: Shape, overlap: int | None = None) -> tu
 #: Logits are held under this, so that exponentials stay finite without a pass for the maximum.
 MOST = np.float32(60)
 _MASKS: dict[int, np.ndarray] = {}
+#: Arrays that a process uses again in every step; new ones of this size would be mapped by the system each time.
+_ROOM: dict[tuple[str, np.dtype], np.ndarray] = {}
 
 
 def _later(n: int) -> np.ndarray:
@@ -96,70 +99,107 @@ def _later(n: int) -> np.ndarray:
     return _MASKS[n]
 
 
+def _room(name: str, dims: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
+    size = math.prod(dims)
+    have = _ROOM.get((name, dtype))
+    if have is None or len(have) < size:
+        have = _ROOM[name, dtype] = np.empty(size, dtype)
+    return have[:size].reshape(dims)
+
+
 def _shares(z: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Exponentials of the last axis (where ``mask`` is one) and their sums; z is overwritten."""
-    np.minimum(z, MOST, out=z)
+    if z.size and z.max() > MOST:
+        np.minimum(z, MOST, out=z)
     np.exp(z, out=z)
     if mask is not None:
         z *= mask
     return z, (z.reshape(-1, z.shape[-1]) @ np.ones((z.shape[-1], 1), z.dtype)).reshape(*z.shape[:-1], 1)
 
 
-def _attend(model: dict[str, np.ndarray], slots: np.ndarray, shape: Shape):
-    d = shape.width
-    x = model["rows"].take(slots.ravel(), 0).reshape(*slots.shape, d) + model["places"]
-    qkv = x.reshape(-1, d) @ np.concatenate([model["query"] * np.float32(d**-0.5), model["key"], model["value"]], 1)
-    q, k, v = (np.ascontiguousarray(qkv[:, i * d : (i + 1) * d]).reshape(x.shape) for i in range(3))
-    e, total = _shares(q @ k.transpose(0, 2, 1), _later(shape.window))
-    o = e @ v
+def _folded(model: dict[str, np.ndarray]) -> np.ndarray:
+    """Query with key, and value with mix, each pair as the one matrix that it amounts to, side by side."""
+    scale = model["query"].dtype.type(len(model["query"]) ** -0.5)
+    return np.concatenate([model["query"] @ model["key"].T * scale, model["value"] @ model["mix"]], 1)
+
+
+def _attend(model: dict[str, np.ndarray], slots: np.ndarray, shape: Shape, first: int = 0):
+    """Rows, both products with the folded matrices, weights with their sums, what the places take over, and states with a one behind, of places from ``first`` on."""
+    (n, w), d, kind = slots.shape, shape.width, model["rows"].dtype
+    x = _room("x", (n, w, d), kind)
+    model["rows"].take(slots.ravel(), 0, out=x.reshape(-1, d), mode="clip")
+    x += model["places"]
+    y = np.matmul(x.reshape(-1, d), _folded(model), out=_room("y", (n * w, 2 * d), kind)).reshape(n, w, 2 * d)
+    e, total = _shares(np.matmul(y[:, first:, :d], x.transpose(0, 2, 1), out=_room("e", (n, w - first, w), kind)), _later(w)[first:])
+    o = np.matmul(e, y[:, :, d:], out=_room("o", (n, w - first, d), kind))
     o /= total
-    return x, q, k, v, e, total, o, x + (o.reshape(-1, d) @ model["mix"]).reshape(x.shape)
+    h = _room("h", (n, w - first, d + 1), kind)
+    np.add(o, x[:, first:], out=h[..., :d])
+    h[..., d] = 1
+    return x, y, e, total, o, h.reshape(-1, d + 1)
+
+
+def _logits(model: dict[str, np.ndarray], h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The states at ``place``, and what they say of each class."""
+    if len(place) < len(h):
+        h = h.take(place, 0)
+    top = np.concatenate([model["out"], model["bias"][None]])
+    return h, np.matmul(h, top, out=_room("z", (len(h), top.shape[1]), h.dtype))
 
 
 def log_likelihood(model: dict[str, np.ndarray], slots: np.ndarray, classes: np.ndarray, scored: np.ndarray, shape: Shape) -> np.ndarray:
     """Natural logarithm of the class's probability at each of the ``scored`` places of windows (slots, classes: windows x window)."""
-    place = np.flatnonzero(scored)
-    z = _attend(model, slots, shape)[-1].reshape(-1, shape.width).take(place, 0) @ model["out"]
-    z += model["bias"]
-    own = np.minimum(z.ravel().take(np.arange(len(place)) * shape.classes + classes.ravel().take(place)), MOST)
+    used = scored.any(0)
+    first = int(used.argmax()) if used.any() else 0
+    place = np.flatnonzero(scored[:, first:])
+    z = _logits(model, _attend(model, slots, shape, first)[-1], place)[1]
+    own = np.minimum(z.ravel().take(np.arange(len(place)) * shape.classes + classes[:, first:].ravel().take(place)), MOST)
     return own - np.log(_shares(z)[1][:, 0])
 
 
 def gradient(model: dict[str, np.ndarray], slots: np.ndarray, classes: np.ndarray, scored: np.ndarray, shape: Shape) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss (natural logarithm) over the scored places, and its gradient."""
-    x, q, k, v, e, total, o, h = _attend(model, slots, shape)
-    d, place = shape.width, np.flatnonzero(scored)
+    x, y, e, total, o, h = _attend(model, slots, shape)
+    d, place, kind = shape.width, np.flatnonzero(scored), x.dtype
     n = len(place)
-    own = h.reshape(-1, d).take(place, 0)
-    z = own @ model["out"]
-    z += model["bias"]
+    own, z = _logits(model, h, place)
     at = np.arange(n) * shape.classes + classes.ravel().take(place)
     logit = np.minimum(z.ravel().take(at), MOST)
     p, sums = _shares(z)
     loss = float(np.mean(np.log(sums[:, 0]) - logit))
-    p /= sums * n
-    p.ravel()[at] -= p.dtype.type(1 / n)
-    out = {"out": own.T @ p, "bias": p.sum(0)}
-    flat = np.zeros((x.size // d, d), x.dtype)
-    flat[place] = p @ model["out"].T
-    out["mix"] = o.reshape(-1, d).T @ flat
-    do = (flat @ model["mix"].T).reshape(x.shape)
+    # the gradient by the logits is p / (sums n), less 1 / n at the own class: the rows' factors are left to the narrow sides of the products
+    p.ravel()[at] -= sums[:, 0]
+    each = 1 / (sums * kind.type(n))
+    own *= each
+    top = own.T @ p
+    out = {"out": top[:d], "bias": top[d]}
+    back = np.matmul(p, model["out"].T, out=_room("back", (n, d), kind))
+    back *= each
+    dx = _room("dx", (x.size // d, d), kind)
+    if n < len(dx):
+        dx[:] = 0
+        dx[place] = back
+    else:
+        dx[:] = back
     # the softmax's gradient: a (da - sum(a da)), whose sum is do . o
-    do /= total
-    dv = e.transpose(0, 2, 1) @ do
-    ds = do @ v.transpose(0, 2, 1)
-    ds -= ((do * o).reshape(-1, d) @ np.ones((d, 1), x.dtype)).reshape(total.shape)
+    do = np.divide(dx.reshape(o.shape), total, out=_room("do", o.shape, kind))
+    g = _room("g", y.shape, kind)
+    np.matmul(e.transpose(0, 2, 1), do, out=g[..., d:])
+    ds = np.matmul(do, y[:, :, d:].transpose(0, 2, 1), out=_room("ds", e.shape, kind))
+    do *= o
+    ds -= (do.reshape(-1, d) @ np.ones((d, 1), kind)).reshape(total.shape)
     ds *= e
-    scale = x.dtype.type(d**-0.5)
-    grads = [(ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d), dv.reshape(-1, d)]
-    grads[0] *= scale  # q holds the scale already
-    dx, xs = flat, x.reshape(-1, d)
-    for name, g in zip(("query", "key", "value"), grads, strict=True):
-        out[name] = xs.T @ g
-        dx = dx + g @ model[name].T
+    np.matmul(ds, x, out=g[..., :d])
+    dx += np.matmul(ds.transpose(0, 2, 1), y[:, :, :d], out=o).reshape(-1, d)
+    g, xs = g.reshape(-1, 2 * d), x.reshape(-1, d)
+    dx += np.matmul(g, _folded(model).T, out=do.reshape(-1, d))
+    by = xs.T @ g
+    pair, scale = by[:, :d], kind.type(d**-0.5)
+    out["query"], out["key"] = pair @ model["key"] * scale, pair.T @ model["query"] * scale
+    out["value"], out["mix"] = by[:, d:] @ model["mix"].T, model["value"].T @ by[:, d:]
     out["places"] = dx.reshape(x.shape).sum(0)
-    where = slots.ravel()
-    out["rows"] = np.stack([np.bincount(where, c, shape.slots) for c in np.ascontiguousarray(dx.T)], 1).astype(x.dtype)
+    where = slots.reshape(-1, 1) * np.int64(d) + np.arange(d)
+    out["rows"] = np.bincount(where.ravel(), dx.ravel(), shape.slots * d).reshape(-1, d).astype(kind)
     return loss, out
 
 
@@ -174,6 +214,15 @@ class Adam:
         rate = np.float32(self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t))
         for k, g in grad.items():
             m, v = self.m[k], self.v[k]
-            m += np.float32(0.1) * (g - m)
-            v += np.float32(0.001) * (g * g - v)
-            model[k] -= rate * m / (np.sqrt(v) + np.float32(1e-8))
+            t = np.subtract(g, m, out=_room("adam", g.shape, m.dtype))
+            t *= np.float32(0.1)
+            m += t
+            np.multiply(g, g, out=t)
+            t -= v
+            t *= np.float32(0.001)
+            v += t
+            np.sqrt(v, out=t)
+            t += np.float32(1e-8)
+            np.divide(m, t, out=t)
+            t *= rate
+            model[k] -= t

@@ -8,6 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+
+from .kernel import binary_array, span_hashes
+from .tally import find
+
 #: Bytes of chunks and ids that a task remembers before it starts afresh, and what the objects of one chunk take besides.
 MEMO_BYTES, CHUNK_BYTES = 64 << 20, 200
 
@@ -46,3 +52,61 @@ class ChunkMemo:
                 self.bytes += sum(map(len, new)) + sum(map(len, made)) + CHUNK_BYTES * len(new)
         at, first = self.spaced.__getitem__, self.plain.__getitem__
         return [b"".join([first(p[0]), *map(at, p[1:])]) if one else b"".join(map(first, p)) for one, p in cut]
+
+
+#: Bytes behind which a space begins a chunk: none ends a white-space character (of the others in UTF-8 some do, too; a chunk may be longer).
+SOLID = np.ones(256, bool)
+SOLID[[*range(9, 14), *range(28, 33), *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
+#: Chunks and ids that a task remembers before it starts afresh.
+MEMO_CHUNKS, MEMO_IDS = 1 << 20, 1 << 23
+
+
+class HashedMemo:
+    """16-bit ids of the texts of a block, looked up by hashes of its chunks, of which 64 bits are kept.
+
+    New chunks are encoded as one text; ``sizes``, the bytes of each id, tell where in its ids a chunk ends.
+    """
+
+    def __init__(self, encode: Callable[[str], np.ndarray], sizes: np.ndarray):
+        self.encode, self.sizes = encode, sizes
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys, self.first, self.count, self.ids = (np.zeros(0, t) for t in (np.int64, np.int64, np.int64, "<u2"))
+
+    def _learn(self, keys: np.ndarray, parts: list[bytes]) -> None:
+        """Keep the ids of ``parts``, whose ``keys`` are sorted and new."""
+        joined = np.array([p[0] == 32 and bool(SOLID[p[-1]]) for p in parts])
+        order = np.append(np.flatnonzero(joined), np.flatnonzero(~joined))
+        n = int(joined.sum())
+        ids = self.encode(b"".join(parts[i] for i in order[:n]).decode())
+        ends = np.cumsum([len(parts[i]) for i in order[:n]], dtype=np.int64)
+        count = np.diff(np.searchsorted(np.cumsum(self.sizes[ids], dtype=np.int64), ends, "right"), prepend=0)
+        alone = [self.encode(parts[i].decode()) for i in order[n:]]
+        count = np.append(count, [len(x) for x in alone]).astype(np.int64)
+        first = len(self.ids) + np.cumsum(count) - count
+        self.ids = np.concatenate([self.ids, *(x.astype("<u2") for x in (ids, *alone))])
+        back = np.argsort(order)
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.first, self.count = np.insert(self.keys, at, keys), np.insert(self.first, at, first[back]), np.insert(self.count, at, count[back])
+
+    def texts(self, buf: np.ndarray, off: np.ndarray) -> pa.Array:
+        """The packed ids of each text."""
+        begins = np.zeros(len(buf) + 1, bool)
+        begins[1:-1] = (buf[1:] == 32) & SOLID[buf[:-1]]
+        begins[off[:-1]] = True
+        begins[-1] = False
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(buf))[: len(start)]
+        key, lead, which = np.unique(span_hashes(buf, start, end).view(np.int64), return_index=True, return_inverse=True)
+        if len(self.keys) > MEMO_CHUNKS or len(self.ids) > MEMO_IDS:
+            self._forget()
+        new = ~find(self.keys, key)[1]
+        if new.any():
+            raw = buf.tobytes()
+            self._learn(key[new], [raw[s:e] for s, e in zip(start[lead[new]].tolist(), end[lead[new]].tolist(), strict=True)])
+        at = find(self.keys, key)[0][which]
+        count = self.count[at]
+        to = np.append(0, np.cumsum(count))
+        flat = self.ids[np.repeat(self.first[at] - to[:-1], count) + np.arange(to[-1])]
+        return binary_array(flat.view(np.uint8), to[np.searchsorted(start, off)] * 2)

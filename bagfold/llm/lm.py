@@ -18,14 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import materialize, shuffle_width, ship
 from .attention import Adam, Shape, Vocabulary, flatten, gradient, log_likelihood, start, unflatten, windows
-from .chunks import ChunkMemo
-from .kernel import LOWER, Words, as_text, binary_array, blocks, per_doc, pieces, span_hashes, trim
+from .chunks import HashedMemo
+from .kernel import LOWER, Words, binary_array, blocks, per_doc, pieces, span_hashes, trim
 from .packing import encoder, vocabulary
 from .tally import COUNTS, Tally, distinct, find, frequent, rest_sums, summed, totals
 
@@ -57,12 +56,12 @@ def _word_counts(buckets: int):
     return run
 
 
-def _encoded(path: str, pattern: str, known, ends: bool):
-    """TEXTS rows; ``known``: sorted hashes and counts of frequent words; ``ends``: whether the end of a text is a known token."""
+def _encoded(path: str, pattern: str, known, ends: bool, sizes):
+    """TEXTS rows; ``known``: sorted hashes and counts of frequent words; ``ends``: whether the end of a text is a known token; ``sizes``: bytes of each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern)
-        memo = ChunkMemo(lambda texts: [encode(t, disallowed_special=()).astype("<u2").tobytes() for t in texts])
+        memo = HashedMemo(lambda text: encode(text, disallowed_special=()), sizes.value)
         keys, counts = known.value
         logs = np.log10(counts + 1.0)
         for batch, buf, off in blocks(batches):  # rid, doc_id, held_out, text
@@ -71,9 +70,8 @@ def _encoded(path: str, pattern: str, known, ends: bool):
             value = np.where(there, logs[at], 0.0) if len(logs) else np.zeros(len(h))
             total = np.append(0.0, np.cumsum(value))[words.bounds]
             rest = binary_array(np.ascontiguousarray(h[~there]).view(np.uint8), np.append(0, np.cumsum(~there))[words.bounds] * 8)
-            ids = memo.ids(pc.ascii_lower(as_text(batch.column(3))).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(words.count + 1), pa.array(per_doc(there, words.bounds) + int(ends)), pa.array(np.diff(total)), rest, pa.array(ids, pa.binary())], names=[x.split()[0] for x in TEXTS.split(", ")]
+                [*batch.columns[:3], pa.array(words.count + 1), pa.array(per_doc(there, words.bounds) + int(ends)), pa.array(np.diff(total)), rest, memo.texts(LOWER[buf], off)], names=[x.split()[0] for x in TEXTS.split(", ")]
             )
 
     return run
@@ -184,10 +182,14 @@ def _scores(model, voc, shape: Shape):
             before, after, length = _sequences(batch.column(7), words.end)
             doc, scored, slots, ids = _cut(before, after, length, words, shape)
             total = np.bincount(np.repeat(np.arange(len(length)), length), words.share[after], len(length))
-            for lo in range(0, len(doc), BATCH):
-                part = scored[lo : lo + BATCH]
-                z = log_likelihood(now, slots[lo : lo + BATCH], words.cls[ids[lo : lo + BATCH]], part, shape)
-                total += np.bincount(np.repeat(doc[lo : lo + BATCH], part.sum(1)), z.astype(np.float64), len(length)) * ten
+            lead = scored[:, 0]  # the other windows score none of their first places, so those need no states
+            for group in (np.flatnonzero(lead), np.flatnonzero(~lead)):
+                for lo in range(0, len(group), BATCH):
+                    some = group[lo : lo + BATCH]
+                    part = scored[some]
+                    z = log_likelihood(now, slots[some], words.cls[ids[some]], part, shape)
+                    own = doc[some]
+                    total[own[0] : own[-1] + 1] += np.bincount(np.repeat(own - own[0], part.sum(1)), z.astype(np.float64), own[-1] + 1 - own[0]) * ten
             yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(total)], names=[*batch.schema.names[:7], "score"])
         trim()
 
@@ -217,7 +219,10 @@ def encoded(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", te
     ends = docs.filter(~held_out(doc_id)).count()
     few = frequent(words, listed)[0].toArrow().sort_by("key")
     known = spark.sparkContext.broadcast((few.column("key").to_numpy(), few.column("n").to_numpy()))
-    texts = materialize(rows.mapInArrow(_encoded(path, pattern, known, ends > 0), TEXTS), "texts")
+    tokens = vocabulary(path)[0]
+    sizes = np.zeros(1 + max(tokens.values(), default=0), np.int32)
+    sizes[list(tokens.values())] = [len(x) for x in tokens]
+    texts = materialize(rows.mapInArrow(_encoded(path, pattern, known, ends > 0, spark.sparkContext.broadcast(sizes)), TEXTS), "texts")
     return texts, words, total + ends, many + (ends > 0), ends
 
 

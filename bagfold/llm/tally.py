@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import binary_array, mix, run_starts, trim
+from .kernel import binary_array, buffers, mix, pieces, run_starts, trim
 
 COUNTS = "bucket int, keys binary, counts binary"
 #: Keys that a task holds before it hands their counts on.
@@ -114,13 +114,15 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rid = batch.column(0).to_numpy()
-        for i, rest in enumerate(batch.column(1)):
-            key, times = distinct(np.frombuffer(rest.as_buffer(), np.int64))
-            for at in range(0, len(key), 1 << 16):
-                part = key[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), rid[i])), pa.array(part), pa.array(times[at : at + (1 << 16)].astype(np.int64))], names=["rid", "key", "times"])
+    for batch in pieces(batches, 1, 1 << 20):
+        raw, off = buffers(batch.column(1))
+        key, row = np.frombuffer(raw.tobytes(), np.int64), np.repeat(np.arange(batch.num_rows), np.diff(off) // 8)
+        order = np.lexsort((key, row))
+        key, row = key[order], row[order]
+        first = np.flatnonzero(run_starts(row, key))
+        rid, key, times = batch.column(0).to_numpy()[row[first]], key[first], np.diff(np.append(first, len(key)))
+        for at in range(0, len(key), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (rid, key, times)], names=["rid", "key", "times"])
 
 
 def rest_sums(rows: DataFrame, table: DataFrame, *values: str) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -194,3 +195,65 @@ def test_every_id_of_a_training_text_is_in_a_step(spark):
     rows = pa.RecordBatch.from_arrays([pa.array(range(len(ids)), pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["rid", "ids"])
     out = list(lm._trained(SimpleNamespace(value=model), SimpleNamespace(value=voc), lm.SHAPE, 0.01)(iter([rows])))
     assert out[0].column(1)[0].as_py() == sum(n + 1 for n in sizes)
+
+
+def test_a_step_takes_little_new_memory():
+    """Arrays of the size of a step are used again."""
+    draw = np.random.default_rng(2)
+    voc = Vocabulary(np.ones(300, np.int64), lm.SHAPE)
+    model = start(lm.SHAPE, voc)
+    slots, classes = draw.integers(0, 4096, (128, 32)).astype(np.int32), draw.integers(0, 64, (128, 32))
+    gradient(model, slots, classes, np.ones((128, 32), bool), lm.SHAPE)
+    tracemalloc.start()
+    try:
+        gradient(model, slots, classes, np.ones((128, 32), bool), lm.SHAPE)
+        assert tracemalloc.get_traced_memory()[1] < 2.5e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_likelihood_without_the_first_places_is_the_same():
+    draw = np.random.default_rng(3)
+    voc = Vocabulary(np.arange(14), TINY)
+    model = {k: draw.normal(size=x.shape) for k, x in start(TINY, voc).items()}
+    slots, classes = draw.integers(0, 12, (5, 6)), draw.integers(0, 7, (5, 6))
+    late = np.ones((5, 6), bool)
+    late[:, :2] = False
+    whole = log_likelihood(model, slots, classes, np.ones((5, 6), bool), TINY).reshape(5, 6)
+    assert log_likelihood(model, slots, classes, late, TINY) == pytest.approx(whole[:, 2:].ravel())
+
+
+def test_hashed_chunks_give_the_ids_of_whole_texts():
+    from bagfold.llm.chunks import HashedMemo
+    from bagfold.llm.packing import vocabulary
+
+    draw, encode, calls = random.Random(3), encoder(PATH, PATTERN), []
+    tokens = vocabulary(PATH)[0]
+    sizes = np.zeros(1 + max(tokens.values()), np.int32)
+    sizes[list(tokens.values())] = [len(x) for x in tokens]
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u2003", "\u3000", "\x1c", "\x85", "a", "é", "ш", "日", "'s", "1", "!", "<|endoftext|>", "\U0001f44d", "\r\n", "foo", "\u200b"]
+    texts = ["".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(3000)] + ["", " ", "x" * 3000, " " * 500 + "a", " a b ", "a  "]
+
+    def counted(text):
+        calls.append(text)
+        return encode(text, disallowed_special=())
+
+    memo = HashedMemo(counted, sizes)
+    for some in (texts, texts[:50], ["a b c d"] * 500, [""], []):
+        raw = [t.encode() for t in some]
+        before = len(calls)
+        got = memo.texts(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64))
+        assert got.to_pylist() == [encode(t, disallowed_special=()).astype("<u2").tobytes() for t in some]
+        assert some is texts or len(calls) <= before + 2  # new chunks are encoded together
+
+
+def test_packed_keys_are_counted_by_row():
+    import pyarrow as pa
+
+    from bagfold.llm.tally import _each
+
+    rows = [(7, [3, 1, 3]), (8, []), (9, [1]), (7, [3, 3])]
+    batch = pa.RecordBatch.from_arrays([pa.array([r for r, _ in rows]), pa.array([np.array(k, np.int64).tobytes() for _, k in rows], pa.binary())], names=["rid", "rest"])
+    out = list(_each(iter([batch])))
+    assert len(out) == 1  # one batch, not one a row
+    assert sorted(zip(*(c.to_pylist() for c in out[0].columns), strict=True)) == [(7, 1, 1), (7, 3, 2), (7, 3, 2), (9, 1, 1)]
