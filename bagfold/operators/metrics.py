@@ -83,7 +83,10 @@ def _relevant(qrels: DataFrame, ks: list[int]) -> DataFrame:
 
 def per_query(run: DataFrame, qrels: DataFrame, ks: list[int]) -> DataFrame:
     """(qid, k, recall, p, map, ndcg, mrr, r_cap, hole, accuracy) of every query in both tables."""
-    relevant = materialize(_relevant(qrels, ks), "judged-queries")
+    return _per_query(run, qrels, materialize(_relevant(qrels, ks), "judged-queries"), ks)
+
+
+def _per_query(run: DataFrame, qrels: DataFrame, relevant: DataFrame, ks: list[int]) -> DataFrame:
     hits = materialize(first_hits(run, relevant, max(ks)), "judged-hits")
     hits = counted_hits(hits.join(pairs_in(qrels, hits).select("qid", "did", "rel"), ["qid", "did"], "left"))
     hits = hits.join(qrels.select("did").distinct().withColumn("known", F.lit(1)), "did", "left")
@@ -124,8 +127,9 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks: list[int] | tuple[int, ...] =
     ks = list(ks)
     if ignore_identical:
         run = drop_self_hits(run)
-    rows = per_query(run, qrels, ks)
-    judged_queries = qrels.agg(F.count_distinct("qid").alias("judged"))
+    relevant = materialize(_relevant(qrels, ks), "judged-queries")
+    rows = _per_query(run, qrels, relevant, ks)
+    judged_queries = relevant.agg(F.count("qid").alias("judged"))  # a row a query: the judgements are not gone through again
     names = ["recall", "p", "map", "ndcg", "mrr", "r_cap", "hole", "accuracy"]
     sums = rows.groupBy("k").agg(F.count("*").alias("both"), *[F.coalesce(F.sum(m), F.lit(0.0)).alias(m) for m in names]).crossJoin(judged_queries)
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.try_divide(F.col(m), F.col("both") if i < 4 else F.col("judged")), 5).alias("value")) for i, m in enumerate(names)])

@@ -51,3 +51,13 @@ def test_pairs_in_keeps_repeats_and_drops_others(spark):
     found = spark.createDataFrame([(1, 1), (1, 2), (4, 4)], "qid long, did long")
     hits = spark.createDataFrame([(1, 1, 1), (1, 3, 2), (2, 1, 1), (4, 5, 1)], "qid long, did long, rank int")
     assert sorted((r.qid, r.did) for r in fusion.hard_negatives(hits, found).collect()) == [(1, 3), (4, 5)]
+
+
+def test_judged_queries_are_counted_without_the_pairs(spark, folder):
+    """The count of judged queries comes from the table of a row a query, not from all pairs once more; a null query is none."""
+    run = spark.createDataFrame([(1, 1, 0.5), (1, 2, 0.4)], "qid long, did long, score double")
+    qrels = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (2, 2, 0), (None, 1, 1)], "qid long, did long, rel int")
+    got = {r.metric: r.value for r in metrics.evaluate(run, qrels, [1, 2], ignore_identical=False).filter("k = 2").collect()}
+    assert got["mrr"] == 0.25 and got["accuracy"] == 0.5 and got["recall"] == 1.0
+    plan = metrics.evaluate(run, catalog._qrels_e(spark, folder), [10])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("NestedLoopJoin") == 3  # pairs for hits and for known documents, and the one row of the count
