@@ -89,6 +89,7 @@ def windows(lengths: np.ndarray, shape: Shape, overlap: int | None = None) -> tu
 #: Logits are held under this, so that exponentials stay finite without a pass for the maximum.
 MOST = np.float32(60)
 _MASKS: dict[int, np.ndarray] = {}
+_CELLS: dict[tuple[int, int], np.ndarray] = {}
 #: Arrays that a process uses again in every step; new ones of this size would be mapped by the system each time.
 _ROOM: dict[tuple[str, np.dtype], np.ndarray] = {}
 
@@ -99,6 +100,13 @@ def _later(n: int) -> np.ndarray:
     return _MASKS[n]
 
 
+def _cells(rows: int, width: int) -> np.ndarray:
+    """Places of the numbers of each row in the flat table."""
+    if (rows, width) not in _CELLS:
+        _CELLS[rows, width] = np.arange(rows * width).reshape(rows, width)
+    return _CELLS[rows, width]
+
+
 def _room(name: str, dims: tuple[int, ...], dtype: np.dtype) -> np.ndarray:
     size = math.prod(dims)
     have = _ROOM.get((name, dtype))
@@ -124,19 +132,20 @@ def _folded(model: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _attend(model: dict[str, np.ndarray], slots: np.ndarray, shape: Shape, first: int = 0):
-    """Rows, both products with the folded matrices, weights with their sums, what the places take over, and states with a one behind, of places from ``first`` on."""
+    """The folded matrices, rows, their products with both, weights with their sums, what the places take over, and states with a one behind, of places from ``first`` on."""
     (n, w), d, kind = slots.shape, shape.width, model["rows"].dtype
     x = _room("x", (n, w, d), kind)
     model["rows"].take(slots.ravel(), 0, out=x.reshape(-1, d), mode="clip")
     x += model["places"]
-    y = np.matmul(x.reshape(-1, d), _folded(model), out=_room("y", (n * w, 2 * d), kind)).reshape(n, w, 2 * d)
+    folded = _folded(model)
+    y = np.matmul(x.reshape(-1, d), folded, out=_room("y", (n * w, 2 * d), kind)).reshape(n, w, 2 * d)
     e, total = _shares(np.matmul(y[:, first:, :d], x.transpose(0, 2, 1), out=_room("e", (n, w - first, w), kind)), _later(w)[first:])
     o = np.matmul(e, y[:, :, d:], out=_room("o", (n, w - first, d), kind))
     o /= total
     h = _room("h", (n, w - first, d + 1), kind)
     np.add(o, x[:, first:], out=h[..., :d])
     h[..., d] = 1
-    return x, y, e, total, o, h.reshape(-1, d + 1)
+    return folded, x, y, e, total, o, h.reshape(-1, d + 1)
 
 
 def _logits(model: dict[str, np.ndarray], h: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,30 +166,32 @@ def log_likelihood(model: dict[str, np.ndarray], slots: np.ndarray, classes: np.
     return own - np.log(_shares(z)[1][:, 0])
 
 
-def gradient(model: dict[str, np.ndarray], slots: np.ndarray, classes: np.ndarray, scored: np.ndarray, shape: Shape) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean loss (natural logarithm) over the scored places, and its gradient."""
-    x, y, e, total, o, h = _attend(model, slots, shape)
+def gradient(model: dict[str, np.ndarray], slots: np.ndarray, classes: np.ndarray, scored: np.ndarray, shape: Shape, with_loss: bool = True) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean loss (natural logarithm; 0 if it isn't asked for) over the scored places, and its gradient."""
+    folded, x, y, e, total, o, h = _attend(model, slots, shape)
     d, place, kind = shape.width, np.flatnonzero(scored), x.dtype
+    weight = kind.type(1 / len(place))
+    if 4 * len(place) >= 3 * len(h):  # the few other places go along with weight 0, which takes less than to leave them out
+        place, weight = np.arange(len(h)), scored.reshape(-1, 1) * weight
     n = len(place)
     own, z = _logits(model, h, place)
     at = np.arange(n) * shape.classes + classes.ravel().take(place)
-    logit = np.minimum(z.ravel().take(at), MOST)
+    logit = np.minimum(z.ravel().take(at), MOST)[:, None] if with_loss else None
     p, sums = _shares(z)
-    loss = float(np.mean(np.log(sums[:, 0]) - logit))
-    # the gradient by the logits is p / (sums n), less 1 / n at the own class: the rows' factors are left to the narrow sides of the products
+    loss = float(np.sum(weight * (np.log(sums) - logit), dtype=np.float64)) if with_loss else 0.0
+    # the gradient by the logits is weight p / sums, less the weight at the own class: the rows' factors are left to the narrow sides of the products
     p.ravel()[at] -= sums[:, 0]
-    each = 1 / (sums * kind.type(n))
+    each = weight / sums
     own *= each
-    top = own.T @ p
+    top = (p.T @ own).T  # the wide side first: BLAS takes it in less time
     out = {"out": top[:d], "bias": top[d]}
     back = np.matmul(p, model["out"].T, out=_room("back", (n, d), kind))
     back *= each
-    dx = _room("dx", (x.size // d, d), kind)
-    if n < len(dx):
+    dx = back
+    if n < len(h):
+        dx = _room("dx", (len(h), d), kind)
         dx[:] = 0
         dx[place] = back
-    else:
-        dx[:] = back
     # the softmax's gradient: a (da - sum(a da)), whose sum is do . o
     do = np.divide(dx.reshape(o.shape), total, out=_room("do", o.shape, kind))
     g = _room("g", y.shape, kind)
@@ -192,37 +203,42 @@ def gradient(model: dict[str, np.ndarray], slots: np.ndarray, classes: np.ndarra
     np.matmul(ds, x, out=g[..., :d])
     dx += np.matmul(ds.transpose(0, 2, 1), y[:, :, :d], out=o).reshape(-1, d)
     g, xs = g.reshape(-1, 2 * d), x.reshape(-1, d)
-    dx += np.matmul(g, _folded(model).T, out=do.reshape(-1, d))
-    by = xs.T @ g
+    dx += np.matmul(g, folded.T, out=do.reshape(-1, d))
+    by = (g.T @ xs).T
     pair, scale = by[:, :d], kind.type(d**-0.5)
     out["query"], out["key"] = pair @ model["key"] * scale, pair.T @ model["query"] * scale
     out["value"], out["mix"] = by[:, d:] @ model["mix"].T, model["value"].T @ by[:, d:]
     out["places"] = dx.reshape(x.shape).sum(0)
-    where = slots.reshape(-1, 1) * np.int64(d) + np.arange(d)
-    out["rows"] = np.bincount(where.ravel(), dx.ravel(), shape.slots * d).reshape(-1, d).astype(kind)
+    where = _cells(shape.slots, d).take(slots.ravel(), 0, out=_room("where", (slots.size, d), np.dtype(np.int64)), mode="clip")
+    wide = _room("wide", dx.shape, np.dtype(np.float64))
+    wide[:] = dx
+    out["rows"] = np.bincount(where.ravel(), wide.ravel(), shape.slots * d).reshape(-1, d).astype(kind)
     return loss, out
 
 
 class Adam:
+    """Steps on a model, whose arrays become parts of one flat array, so that a step is a few passes over all numbers."""
+
     def __init__(self, model: dict[str, np.ndarray], rate: float):
         self.rate, self.t = rate, 0
-        self.m = {k: np.zeros_like(x) for k, x in model.items()}
-        self.v = {k: np.zeros_like(x) for k, x in model.items()}
+        self.flat = flatten(model)
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)  # sums that decay: 10 and 1000 times the means
+        at = 0
+        for k in SHAPES:
+            model[k] = self.flat[at : at + model[k].size].reshape(model[k].shape)
+            at += model[k].size
 
     def step(self, model: dict[str, np.ndarray], grad: dict[str, np.ndarray]) -> None:
         self.t += 1
-        rate = np.float32(self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t))
-        for k, g in grad.items():
-            m, v = self.m[k], self.v[k]
-            t = np.subtract(g, m, out=_room("adam", g.shape, m.dtype))
-            t *= np.float32(0.1)
-            m += t
-            np.multiply(g, g, out=t)
-            t -= v
-            t *= np.float32(0.001)
-            v += t
-            np.sqrt(v, out=t)
-            t += np.float32(1e-8)
-            np.divide(m, t, out=t)
-            t *= rate
-            model[k] -= t
+        rate = self.rate * (1 - 0.999**self.t) ** 0.5 / (1 - 0.9**self.t) * 0.1 / 0.001**0.5
+        t = flatten(grad)
+        self.m *= np.float32(0.9)
+        self.m += t
+        self.v *= np.float32(0.999)
+        t *= t
+        self.v += t
+        np.sqrt(self.v, out=t)
+        t += np.float32(1e-8 / 0.001**0.5)
+        np.divide(self.m, t, out=t)
+        t *= np.float32(rate)
+        self.flat -= t

@@ -56,22 +56,32 @@ def _word_counts(buckets: int):
     return run
 
 
+def _described(keys: np.ndarray, logs: np.ndarray):
+    """Of the words of each chunk, lower-cased: how many, how many of them listed (``keys``, sorted), what the list says of these; and the hashes of the others."""
+
+    def run(buf: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        words, h = _word_hashes(buf, off)
+        at, there = find(keys, h)
+        value = np.bincount(words.doc, np.where(there, logs[at], 0.0) if len(logs) else None, len(off) - 1) * bool(len(logs))
+        known = per_doc(there, words.bounds)
+        return [words.count, known, value], words.count - known, h[~there]
+
+    return run
+
+
 def _encoded(path: str, pattern: str, known, ends: bool, sizes):
     """TEXTS rows; ``known``: sorted hashes and counts of frequent words; ``ends``: whether the end of a text is a known token; ``sizes``: bytes of each id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, pattern)
-        memo = HashedMemo(lambda text: encode(text, disallowed_special=()), sizes.value)
         keys, counts = known.value
-        logs = np.log10(counts + 1.0)
+        memo = HashedMemo(lambda text: encode(text, disallowed_special=()), sizes.value, _described(keys, np.log10(counts + 1.0)))
         for batch, buf, off in blocks(batches):  # rid, doc_id, held_out, text
-            words, h = _word_hashes(buf, off)
-            at, there = find(keys, h)
-            value = np.where(there, logs[at], 0.0) if len(logs) else np.zeros(len(h))
-            total = np.append(0.0, np.cumsum(value))[words.bounds]
-            rest = binary_array(np.ascontiguousarray(h[~there]).view(np.uint8), np.append(0, np.cumsum(~there))[words.bounds] * 8)
+            rows, bounds = memo.find(LOWER[buf], off)
+            words, listed, value = (x[rows] for x in memo.more) if len(rows) else (rows, rows, rows)
+            total = np.append(0.0, np.cumsum(value))[bounds]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(words.count + 1), pa.array(per_doc(there, words.bounds) + int(ends)), pa.array(np.diff(total)), rest, memo.texts(LOWER[buf], off)], names=[x.split()[0] for x in TEXTS.split(", ")]
+                [*batch.columns[:3], pa.array(per_doc(words, bounds) + 1), pa.array(per_doc(listed, bounds) + int(ends)), pa.array(np.diff(total)), memo.packed_keys(rows, bounds), memo.packed(rows, bounds)], names=[x.split()[0] for x in TEXTS.split(", ")]
             )
 
     return run
@@ -127,7 +137,7 @@ def _trained(model, voc, shape: Shape, rate: float):
 
         def step(part) -> int:
             slots, classes, scored = (np.concatenate(x) for x in zip(*part, strict=True))
-            adam.step(now, gradient(now, slots, classes, scored, shape)[1])
+            adam.step(now, gradient(now, slots, classes, scored, shape, with_loss=False)[1])
             return int(scored.sum())
 
         for batch in pieces(batches, 1, 1 << 19):

@@ -257,3 +257,77 @@ def test_packed_keys_are_counted_by_row():
     out = list(_each(iter([batch])))
     assert len(out) == 1  # one batch, not one a row
     assert sorted(zip(*(c.to_pylist() for c in out[0].columns), strict=True)) == [(7, 1, 1), (7, 3, 2), (7, 3, 2), (9, 1, 1)]
+
+
+def test_places_with_weight_zero_change_nothing():
+    """A step over nearly all places equals the mean of what each place says alone."""
+    draw = np.random.default_rng(5)
+    voc = Vocabulary(np.arange(14), TINY)
+    model = {k: draw.normal(size=x.shape) for k, x in start(TINY, voc).items()}
+    slots, classes = draw.integers(0, 12, (3, 6)), draw.integers(0, 7, (3, 6))
+    for left_out in ([4], [4, 9, 17], list(range(3, 15))):
+        scored = np.ones((3, 6), bool)
+        scored.ravel()[left_out] = False
+        parts = []
+        for at in np.flatnonzero(scored):
+            one = np.zeros((3, 6), bool)
+            one.ravel()[at] = True
+            parts.append(gradient(model, slots, classes, one, TINY))
+        loss, grad = gradient(model, slots, classes, scored, TINY)
+        assert loss == pytest.approx(np.mean([x for x, _ in parts]))
+        same = gradient(model, slots, classes, scored, TINY, with_loss=False)
+        assert same[0] == 0
+        for k in grad:
+            assert grad[k] == pytest.approx(np.mean([g[k] for _, g in parts], axis=0), abs=1e-12)
+            assert (same[1][k] == grad[k]).all()
+
+
+def test_a_step_is_that_of_adam():
+    draw = np.random.default_rng(6)
+    model = start(TINY, Vocabulary(np.arange(14), TINY))
+    want = {k: x.astype(float) for k, x in model.items()}
+    m, v = ({k: np.zeros_like(x) for k, x in want.items()} for _ in range(2))
+    adam = Adam(model, 0.01)
+    assert len(adam.m) == sum(x.size for x in model.values()) and all(np.shares_memory(x, adam.flat) for x in model.values())  # one pass for all arrays
+    for t in range(1, 30):
+        grad = {k: draw.normal(size=x.shape).astype(np.float32) for k, x in model.items()}
+        adam.step(model, grad)
+        for k, g in grad.items():
+            m[k], v[k] = 0.9 * m[k] + 0.1 * g, 0.999 * v[k] + 0.001 * g**2
+            want[k] -= 0.01 * m[k] / (1 - 0.9**t) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    assert all(model[k] == pytest.approx(x, abs=1e-5) for k, x in want.items())
+
+
+def test_words_of_a_chunk_are_looked_up_once(monkeypatch):
+    """Words, listed words, their sum and the other words' hashes come with the chunks that a task remembers."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from bagfold.llm.packing import vocabulary
+
+    draw, tokens = random.Random(4), vocabulary(PATH)[0]
+    sizes = np.zeros(1 + max(tokens.values()), np.int32)
+    sizes[list(tokens.values())] = [len(x) for x in tokens]
+    parts = [" ", "  ", "\n", "\t", "\u00a0", "\u3000", "a", "B", "É", "the", "one two", "x\ny", "\x0bz", "日本"]
+    texts = [None, "", " ", "\n\n"] + ["".join(draw.choice(parts) for _ in range(draw.randint(0, 30))) for _ in range(500)]
+    def hashes(words):
+        raw = [w.encode() for w in words]
+        return lm._word_hashes(np.frombuffer(b" ".join(raw), np.uint8), np.array([0, len(b" ".join(raw))]))[1]
+
+    looked, find = [], lm.find
+    monkeypatch.setattr(lm, "find", lambda keys, h: looked.append(len(h)) or find(keys, h))
+    for listed in (["the", "a", "é", "two"], []):
+        keys = np.sort(hashes(listed)) if listed else np.zeros(0, np.int64)
+        counts = np.arange(len(listed)) + 1
+        run = lm._encoded(PATH, PATTERN, SimpleNamespace(value=(keys, counts)), True, SimpleNamespace(value=sizes))
+        n = len(texts)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(texts, pa.string())], names=["rid", "doc_id", "held_out", "text"])
+        looked.clear()
+        first, again = run(iter([batch, batch]))
+        assert len(looked) == 1 and first.equals(again)
+        logs = dict(zip(keys.tolist(), np.log10(counts + 1.0), strict=True))
+        for t, r in zip(texts, first.to_pylist(), strict=True):
+            h = hashes([w for w in lower(t or "").replace("\t", " ").replace("\n", " ").replace("\x0b", " ").split(" ") if w]).tolist()
+            assert r["n_tokens"] == len(h) + 1 and r["n_known"] == 1 + sum(x in logs for x in h)
+            assert r["listed"] == pytest.approx(sum(logs.get(x, 0) for x in h))
+            assert np.frombuffer(r["rest"], np.int64).tolist() == [x for x in h if x not in logs]
