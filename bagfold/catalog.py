@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import EncoderConfig, Encoding, Projection, RetrievalSettings
@@ -67,9 +67,18 @@ def projector() -> np.ndarray:
 
 
 def means_e(rows: DataFrame) -> DataFrame:
-    """(id, vec): the mean vector of every bag, number by number."""
-    parts = rows.select("id", F.posexplode("vec").alias("i", "x")).groupBy("id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda t: t["x"]).alias("vec"))
+    """(id, vec): the mean vector of every bag, number by number.
+
+    Bags are collected whole, and averaged where they lie: a row for each number of each bag would fill the task that reads them.
+    """
+    bags = rows.groupBy("id").agg(F.collect_list("vec").alias("bag"))
+    size = F.array_max(F.transform("bag", F.size))
+
+    def mean(i: Column) -> Column:
+        numbers = F.filter(F.transform("bag", lambda v: F.get(v, i).cast("double")), lambda x: x.isNotNull())
+        return F.try_divide(F.aggregate(numbers, F.lit(0.0), lambda s, x: s + x), F.size(numbers))
+
+    return bags.filter(size > 0).select("id", F.transform(F.sequence(F.lit(0), size - 1), mean).alias("vec"))
 
 
 SQL_E = """

@@ -61,3 +61,12 @@ def test_judged_queries_are_counted_without_the_pairs(spark, folder):
     assert got["mrr"] == 0.25 and got["accuracy"] == 0.5 and got["recall"] == 1.0
     plan = metrics.evaluate(run, catalog._qrels_e(spark, folder), [10])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("NestedLoopJoin") == 3  # pairs for hits and for known documents, and the one row of the count
+
+
+def test_means_make_no_row_a_number(spark, folder):
+    """Bags are averaged whole; null numbers, null vectors and short ones count as before, and bags without numbers have no mean."""
+    rows = [(1, [1.0, None, 3.0]), (1, [2.0, None]), (1, None), (2, None), (3, []), (4, [5.0]), (4, [0.5, 1.0]), (None, [2.0]), (None, [4.0])]
+    means = catalog.means_e(spark.createDataFrame(rows, "id long, vec array<float>"))
+    assert {r.id: r.vec for r in means.collect()} == {1: [1.5, None, 3.0], 4: [2.75, 1.0], None: [3.0]}
+    plan = catalog._means(spark, folder)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan
