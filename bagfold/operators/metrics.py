@@ -2,7 +2,7 @@
 
 Hits rank by score, equal ones by id. Recall, P, MAP and NDCG are averaged over queries that are in both tables (a query without relevant
 documents scores 0); MRR, Accuracy, R_cap and Hole are divided by the number of judged queries. R_cap leaves out queries without
-relevant documents. Values have five places.
+relevant documents. Hole asked for alone counts the hits of all of the run's queries, judged or not. Values have five places.
 """
 
 from __future__ import annotations
@@ -43,9 +43,11 @@ def judged(run: DataFrame, qrels: DataFrame, most: int) -> DataFrame:
     return counted_hits(hits)
 
 
-def first_hits(run: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+def first_hits(run: DataFrame, queries: DataFrame | None, most: int) -> DataFrame:
+    """The first ``most`` hits of each of ``queries`` (None: of all), with their place from 1."""
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "did")
-    return run.join(queries.select("qid"), "qid", "left_semi").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+    asked = run if queries is None else run.join(queries.select("qid"), "qid", "left_semi")
+    return asked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
 
 
 def pairs_in(pairs: DataFrame, hits: DataFrame) -> DataFrame:
@@ -136,7 +138,17 @@ def evaluate(run: DataFrame, qrels: DataFrame, ks: list[int] | tuple[int, ...] =
     return sums.select("k", F.explode(pairs).alias("x")).select("x.metric", "k", "x.value")
 
 
+def hole(run: DataFrame, qrels: DataFrame, ks: list[int] | tuple[int, ...]) -> DataFrame:
+    """(metric, k, value): the share of documents that no query judges among the first k hits, summed over all of the run's queries, over the number of judged queries."""
+    hits = first_hits(run, None, max(ks)).join(qrels.select("did").distinct().withColumn("known", F.lit(1)), "did", "left")
+    unknown = [F.sum(F.when((F.col("place") <= k) & F.col("known").isNull(), 1).otherwise(0)) for k in ks]
+    sums = hits.agg(F.count("*").alias("hits"), *[x.alias(f"unknown_{k}") for k, x in zip(ks, unknown, strict=True)]).filter("hits > 0")
+    rows = sums.crossJoin(qrels.agg(F.count_distinct("qid").alias("judged")))
+    values = F.array(*[F.struct(F.lit(k).alias("k"), F.round(F.try_divide(F.col(f"unknown_{k}") / k, F.col("judged")), 5).alias("value")) for k in ks])
+    return rows.select(F.explode(values).alias("x")).select(F.lit("hole").alias("metric"), "x.k", "x.value")
+
+
 def evaluate_one(run: DataFrame, qrels: DataFrame, ks: list[int], metric: str) -> DataFrame:
-    """One metric by any of its names; the run is taken as it is. Hole counts all of the run's queries."""
+    """One metric by any of its names; the run is taken as it is."""
     own = canonical(metric)
-    return evaluate(run, qrels, ks, ignore_identical=False).filter(F.col("metric") == own)
+    return hole(run, qrels, ks) if own == "hole" else evaluate(run, qrels, ks, ignore_identical=False).filter(F.col("metric") == own)

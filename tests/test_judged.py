@@ -70,3 +70,14 @@ def test_means_make_no_row_a_number(spark, folder):
     assert {r.id: r.vec for r in means.collect()} == {1: [1.5, None, 3.0], 4: [2.75, 1.0], None: [3.0]}
     plan = catalog._means(spark, folder)[1]._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan
+
+
+def test_hole_counts_hits_of_queries_that_are_not_judged(spark):
+    """Hole by name: all of the run's queries give hits, only judged ones are divided by."""
+    run = spark.createDataFrame([("a", "x", 3.0), ("a", "y", 2.0), ("b", "z", 2.0), ("b", "x", 1.0), ("c", "z", 2.0), ("c", "y", 1.0)], "qid string, did string, score double")
+    qrels = spark.createDataFrame([("a", "x", 1), ("d", "w", 0)], "qid string, did string, rel int")
+    for name in ("hole", "Hole@k"):
+        assert {r.k: (r.metric, r.value) for r in metrics.evaluate_one(run, qrels, [1, 2], name).collect()} == {1: ("hole", 1.0), 2: ("hole", 1.0)}
+    assert {r.k: r.value for r in metrics.evaluate(run, qrels, [1, 2], ignore_identical=False).filter("metric = 'hole'").collect()} == {1: 0.0, 2: 0.25}
+    assert {r.k: r.value for r in metrics.evaluate_one(run, qrels.limit(0), [2], "hole").collect()} == {2: None}
+    assert metrics.evaluate_one(run.limit(0), qrels, [2], "hole").count() == 0
