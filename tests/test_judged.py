@@ -81,3 +81,12 @@ def test_hole_counts_hits_of_queries_that_are_not_judged(spark):
     assert {r.k: r.value for r in metrics.evaluate(run, qrels, [1, 2], ignore_identical=False).filter("metric = 'hole'").collect()} == {1: 0.0, 2: 0.25}
     assert {r.k: r.value for r in metrics.evaluate_one(run, qrels.limit(0), [2], "hole").collect()} == {2: None}
     assert metrics.evaluate_one(run.limit(0), qrels, [2], "hole").count() == 0
+
+
+def test_passages_are_looked_for_once(spark, monkeypatch):
+    """What the metrics read are the judgements found, not the documents' texts again."""
+    read = []
+    evaluate = metrics.evaluate
+    monkeypatch.setattr(metrics, "evaluate", lambda run, qrels, *a, **k: read.append(qrels.inputFiles()) or evaluate(run.limit(0), qrels.limit(0), *a, **k))
+    catalog.flagship_retrieval(spark, "/root/testdata/sf0.001")
+    assert len(read) == 1 and read[0] and not any("documents" in f or "benchmark" in f for f in read[0])
